@@ -13,6 +13,7 @@ needs no summary text never reads or shuffles it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -66,12 +67,17 @@ def skill_first_lines(employees: DataFrame) -> DataFrame:
     )
 
 
-def build_profiles(employees: DataFrame) -> DataFrame:
+def build_profiles(employees: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """``employee_id``, header fields, ``skills`` list, ``skill_years`` map and ``profile_text``.
 
-    Unused outputs are pruned by the optimizer down to the scan.
+    Unused outputs are pruned by the optimizer down to the scan. ``only`` (``employee_id``) restricts the
+    result; the semi joins sit above the first aggregates, so rows of a large employee are reduced before
+    they meet on ``employee_id``, and the optimizer moves them below when the ids can be broadcast.
     """
-    raw = distinct_raw_skills(employees).repartition("employee_id")
+    raw, headers = distinct_raw_skills(employees), employee_headers(employees)
+    if only is not None:
+        raw, headers = raw.join(only, "employee_id", "left_semi"), headers.join(only, "employee_id", "left_semi")
+    raw = raw.repartition("employee_id")
     keyed = raw.withColumn("skill_key", tx.skill_key(F.col("skill")))
     scored = F.col("skill") != ""
     per_key = keyed.groupBy("employee_id", "skill_key").agg(
@@ -98,7 +104,7 @@ def build_profiles(employees: DataFrame) -> DataFrame:
         ).alias("skill_lines"),
         F.map_from_entries("years").alias("skill_years"),
     )
-    joined = employee_headers(employees).join(skills, "employee_id")
+    joined = headers.join(skills, "employee_id")
     blank = tx.blank_if_null
     return joined.select(
         "employee_id", *HEADER_FIELDS, "skills", "skill_years",
@@ -116,8 +122,6 @@ def number_rows(rows: DataFrame, key: str, order: list[str], chunk: F.Column) ->
     (key, chunk); the offsets come from the chunk counts, so a key with very many rows is shared
     out over its chunks.
     """
-    from pyspark.sql import Window as W
-
     chunked = rows.withColumn("_chunk", chunk)
     before = W.partitionBy(key).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     offsets = (

@@ -60,6 +60,7 @@ REGISTRY = T.StructType([
     T.StructField("employee_id", T.StringType()),
     T.StructField("vector_id", T.LongType()),
     T.StructField("vector_version", T.LongType()),
+    T.StructField("replaced", T.BooleanType()),
     T.StructField("text_hash", T.StringType()),
     T.StructField("embedded_at", T.TimestampType()),
     T.StructField("is_active", T.BooleanType()),

@@ -67,3 +67,21 @@ def typed_employees(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def load_employees(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """CSV to ``(clean, quarantine)``."""
     return typed_employees(read_employee_csv(spark, path))
+
+
+def save_snapshot(store, clean: DataFrame) -> dict[str, int]:
+    """Publish the cleaned rows as the new employee snapshot; the row count is taken during the write."""
+    from pyspark.sql import Observation
+
+    seen = Observation("snapshot")
+    version = store.current("employees") + 1
+    store.stage("employees", version, clean.observe(seen, F.count("*").alias("rows_loaded")))
+    store.publish("employees", version)
+    return {"version": version, "rows_loaded": seen.get["rows_loaded"]}
+
+
+def read_snapshot(store) -> DataFrame:
+    rows = store.read("employees", EMPLOYEE_SKILL)
+    if rows is None:
+        raise FileNotFoundError("no employee snapshot yet: load employees first")
+    return rows

@@ -26,26 +26,31 @@ def requirement_id(key: F.Column) -> F.Column:
     return F.concat(F.lit("REQ"), F.lpad(key.cast("string"), 6, "0"))
 
 
-def employees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item: its customer is the employee, the brand of its part the skill."""
+def employees(spark: SparkSession, sf_dir: str, summaries: bool = True) -> DataFrame:
+    """One row per line item: its customer is the employee, the brand of its part the skill.
+
+    Without ``summaries`` the document text is left null and the documents are not read.
+    """
     customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     lineitem, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    documents = table(spark, sf_dir, "documents")
-    n_documents = documents.select(F.count("*")).scalar()
     k = F.col("c_custkey")
-    people = (
-        customer.withColumn("doc_id", k % n_documents)
-        .join(documents.select("doc_id", "text"), "doc_id", "left")
-        .select(
-            k,
-            employee_id(k).alias("employee_id"),
-            F.col("c_name").alias("employee_name"),
-            F.col("c_mktsegment").alias("domain"),
-            (1 + (k * 5) % 12).cast("double").alias("domain_experience_years"),
-            (3 + (k * 7) % 18).cast("double").alias("total_experience_years"),
-            (((k * 13) % 21) * 5).cast("double").alias("current_bandwidth_percent"),
-            F.col("text").alias("past_project_execution_summary"),
+    if summaries:
+        documents = table(spark, sf_dir, "documents")
+        n_documents = documents.select(F.count("*")).scalar()
+        customer = customer.withColumn("doc_id", k % n_documents).join(
+            documents.select("doc_id", "text"), "doc_id", "left"
         )
+    else:
+        customer = customer.withColumn("text", F.lit(None).cast("string"))
+    people = customer.select(
+        k,
+        employee_id(k).alias("employee_id"),
+        F.col("c_name").alias("employee_name"),
+        F.col("c_mktsegment").alias("domain"),
+        (1 + (k * 5) % 12).cast("double").alias("domain_experience_years"),
+        (3 + (k * 7) % 18).cast("double").alias("total_experience_years"),
+        (((k * 13) % 21) * 5).cast("double").alias("current_bandwidth_percent"),
+        F.col("text").alias("past_project_execution_summary"),
     )
     # An arbitrary but fixed file order: hash of the columns that identify a line.
     line_key = F.concat_ws(
