@@ -73,3 +73,15 @@ def encode_requirements(requirements: DataFrame, encoder) -> DataFrame:
     from ..functions.text import requirement_embedding_text
 
     return encoder.encode(requirements.withColumn("text", requirement_embedding_text()))
+
+
+class LookupEncoder:
+    """Vectors computed elsewhere, keyed by ``id_column``; an id without a vector fails the run."""
+
+    def __init__(self, model: str, vectors: DataFrame, id_column: str = "employee_id"):
+        self.model, self.vectors, self.id_column = model, vectors, id_column
+
+    def encode(self, rows: DataFrame, text: str = "text") -> DataFrame:
+        found = rows.drop(text).join(self.vectors.select(self.id_column, "vec"), self.id_column, "left")
+        message = F.concat(F.lit("no vector for "), F.col(self.id_column))
+        return found.withColumn("vec", F.coalesce("vec", F.raise_error(message).cast("array<float>")))

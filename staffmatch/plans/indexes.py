@@ -89,6 +89,7 @@ def create_index(store: TableStore, index_name: str, model: str, index_type: str
                  nlist: int = NLIST, nprobe: int = NPROBE, seed: int = 7, centroids=None) -> dict:
     """Returns ``index_name`` and ``vector_count``. An existing name, an unknown type, missing vectors and
     vectors of unequal length are errors. ``centroids`` replaces training."""
+    index_type = "exact" if index_type == "flat" else index_type
     if index_type not in INDEX_TYPES:
         raise ValueError(f"unknown index type {index_type!r}; expected one of {INDEX_TYPES}")
     if not read_catalog(store).where(F.col("index_name") == index_name).isEmpty():

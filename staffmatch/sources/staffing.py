@@ -19,11 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def employee_id(key: F.Column) -> F.Column:
-    return F.concat(F.lit("EMP"), F.lpad(key.cast("string"), 6, "0"))
+    return F.concat(F.lit("EMP"), F.lpad(key.cast("string"), 12, "0"))
 
 
 def requirement_id(key: F.Column) -> F.Column:
-    return F.concat(F.lit("REQ"), F.lpad(key.cast("string"), 6, "0"))
+    return F.concat(F.lit("REQ"), F.lpad(key.cast("string"), 12, "0"))
 
 
 def employees(spark: SparkSession, sf_dir: str, summaries: bool = True) -> DataFrame:
