@@ -22,8 +22,8 @@ FROM customer"""
 
 CTES["employee_skill"] = """
 SELECT p.*,
-       CAST(concat('0x', substr(sha256(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey,
-            CAST(l_quantity AS BIGINT), CAST(floor(l_extendedprice*100.0 + 0.5) AS BIGINT))), 1, 15)) AS BIGINT) AS row_seq,
+       (l_orderkey*8 + l_linenumber)*1048576
+         + (l_partkey*7919 + l_suppkey*104729 + CAST(l_quantity AS BIGINT)*15485863)%1048573 AS row_seq,
        p_brand AS skill, p_type AS skill_category,
        CAST(1 + CAST(l_quantity AS BIGINT)%12 AS DOUBLE) AS skill_experience_years
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey

@@ -110,9 +110,9 @@ def employee_skill_lines(spark, sf):
 
 
 def employee_row_order(spark, sf):
-    """Dense order of an employee's rows; chunks of the hashed key space share out large employees."""
+    """Dense order of an employee's rows; chunks of 16,384 orders share out large employees."""
     rows = st.employees(spark, sf, False).select("employee_id", F.col("row_seq").alias("source_order"))
-    chunk = F.shiftright("source_order", 57)
+    chunk = F.shiftright("source_order", 37)
     return pf.number_rows(rows, "employee_id", ["source_order"], chunk)
 
 

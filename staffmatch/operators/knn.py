@@ -45,7 +45,7 @@ class KnnOptions:
     broadcast_rows: int = 8192  # most requirement rows that are ever broadcast
     broadcast_bytes: int = 128 * 1024 * 1024  # and their most bytes
     block_rows: int | None = None  # item rows per grid block; default from the dimension
-    seed_fraction: float | None = None  # share of items in the pre-scan; None: 1 % once it pays
+    seed_fraction: float | None = None  # share of items in the pre-scan; None: 1 % for a large known item count
     seed_min_items: int = 5_000_000
     cell_limit: int = 65_536  # bound of the per-cell statistics table that is broadcast
 
@@ -301,7 +301,7 @@ def top_k(
 
     ``queries``: ``requirement_id, vec`` (+ ``cells`` array when searching cells), one row per id;
     ``items``: ``employee_id, vec`` (+ ``cell``), one row per id. Vectors are expected to be unit
-    vectors. ``item_count`` saves counting the items when it is known, e.g. from the index catalog.
+    vectors. ``item_count`` (the index catalog knows it) turns the pre-scan on for large item sides.
     """
     if k < 1:
         raise ValueError(f"k must be at least 1, got {k}")
@@ -319,8 +319,7 @@ def top_k(
 
     fraction = options.seed_fraction
     if fraction is None:
-        n_items = item_count if item_count is not None else items.count()
-        fraction = 0.01 if n_items >= options.seed_min_items else 0.0
+        fraction = 0.01 if (item_count or 0) >= options.seed_min_items else 0.0
 
     if use_grid:
         bare = queries.withColumn("floor", F.lit(float("-inf")))

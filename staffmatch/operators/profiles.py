@@ -5,7 +5,7 @@ years from its last row, and the displayed list holds the raw values in first-se
 
 Shuffle plan: rows are first reduced per (employee, raw skill), with partial aggregation on the map
 side, so an employee owning a large part of all rows is spread over its skills. Only distinct skills
-are then moved once by ``employee_id``; the per-key and per-employee steps reuse that partitioning.
+are then moved by ``employee_id`` and collected; equal keys are resolved inside the small sorted array.
 The header is a separate narrow aggregate, and each header field its own aggregate, so a query that
 needs no summary text never reads or shuffles it.
 """
@@ -77,32 +77,34 @@ def build_profiles(employees: DataFrame, only: DataFrame | None = None) -> DataF
     raw, headers = distinct_raw_skills(employees), employee_headers(employees)
     if only is not None:
         raw, headers = raw.join(only, "employee_id", "left_semi"), headers.join(only, "employee_id", "left_semi")
-    raw = raw.repartition("employee_id")
-    keyed = raw.withColumn("skill_key", tx.skill_key(F.col("skill")))
-    scored = F.col("skill") != ""
-    per_key = keyed.groupBy("employee_id", "skill_key").agg(
-        F.collect_list(F.struct("first_seq", "skill")).alias("variants"),
-        F.min_by(
-            F.struct(
-                "first_seq", tx.strip(F.col("skill")).alias("skill"),
-                tx.blank_if_null(F.col("first_category")).alias("category"), F.col("first_years").alias("years"),
-            ),
-            "first_seq",
-        ).alias("line"),
-        F.max_by(F.when(scored, F.col("last_years")), F.when(scored, F.col("last_seq"))).alias("years"),
-    )
-    per_employee = per_key.groupBy("employee_id").agg(
-        F.flatten(F.collect_list("variants")).alias("variants"),
-        F.collect_list(F.when(F.col("skill_key") != "", F.col("line"))).alias("lines"),
-        F.collect_list(F.when(F.col("years").isNotNull(), F.struct("skill_key", "years"))).alias("years"),
-    )
-    skills = per_employee.select(
+    key = tx.skill_key(F.col("skill"))
+    line = F.struct(tx.strip(F.col("skill")).alias("skill"), tx.blank_if_null(F.col("first_category")).alias("category"),
+                    F.col("first_years").alias("years"))
+    # Separate lists, so that a query without texts drops the text part before the shuffles. Per key the
+    # first row gives the text line and the last row the scoring years: the lists are sorted by
+    # (key, order) and the first or last of each run of equal keys is kept.
+    by_key = raw.groupBy("employee_id").agg(
+        F.collect_list(F.struct("first_seq", "skill")).alias("listed"),
+        F.collect_list(F.when(key != "", F.struct(key.alias("key"), F.col("first_seq").alias("at"), line.alias("line"))))
+        .alias("first_of_key"),
+        F.collect_list(F.when(F.col("skill") != "", F.struct(
+            key.alias("key"), F.col("last_seq").alias("at"), F.col("last_years").alias("years")))).alias("last_of_key"),
+    ).select("employee_id", *[F.array_sort(c).alias(c) for c in ("listed", "first_of_key", "last_of_key")])
+
+    def run_starts(runs):
+        return F.filter(runs, lambda x, i: ~x["key"].eqNullSafe(F.when(i > 0, F.get(F.col(runs), i - 1)["key"])))
+
+    def run_ends(runs):
+        return F.filter(runs, lambda x, i: ~x["key"].eqNullSafe(F.get(F.col(runs), i + 1)["key"]))
+
+    lines = F.array_sort(F.transform(run_starts("first_of_key"), lambda x: F.struct(x["at"].alias("at"), x["line"].alias("line"))))
+    skills = by_key.select(
         "employee_id",
-        F.transform(F.array_sort("variants"), lambda x: x["skill"]).alias("skills"),
-        F.array_join(
-            F.transform(F.array_sort("lines"), lambda x: tx.skill_line(x["skill"], x["category"], x["years"])), "\n"
-        ).alias("skill_lines"),
-        F.map_from_entries("years").alias("skill_years"),
+        F.transform("listed", lambda x: x["skill"]).alias("skills"),
+        F.array_join(F.transform(lines, lambda x: tx.skill_line(
+            x["line"]["skill"], x["line"]["category"], x["line"]["years"])), "\n").alias("skill_lines"),
+        F.map_from_entries(F.transform(
+            run_ends("last_of_key"), lambda x: F.struct(x["key"].alias("key"), x["years"].alias("years")))).alias("skill_years"),
     )
     joined = headers.join(skills, "employee_id")
     blank = tx.blank_if_null

@@ -8,14 +8,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..functions import vectors as vx
+from .tables import spread
 
 MODEL = "table-64"
 
 
+# Columns in use; a given schema spares the footer-reading job of schema inference.
+SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double",
+    "part": "p_partkey bigint, p_brand string, p_type string",
+    "supplier": "s_suppkey bigint, s_name string",
+    "documents": "doc_id bigint, text string",
+    "embeddings": "vec_id bigint, embedding array<float>",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def employee_id(key: F.Column) -> F.Column:
@@ -32,7 +45,7 @@ def employees(spark: SparkSession, sf_dir: str, summaries: bool = True) -> DataF
     Without ``summaries`` the document text is left null and the documents are not read.
     """
     customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    lineitem, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    lineitem, part = spread(table(spark, sf_dir, "lineitem"), "l_orderkey"), table(spark, sf_dir, "part")
     k = F.col("c_custkey")
     if summaries:
         documents = table(spark, sf_dir, "documents")
@@ -52,17 +65,15 @@ def employees(spark: SparkSession, sf_dir: str, summaries: bool = True) -> DataF
         (((k * 13) % 21) * 5).cast("double").alias("current_bandwidth_percent"),
         F.col("text").alias("past_project_execution_summary"),
     )
-    # An arbitrary but fixed file order: hash of the columns that identify a line.
-    line_key = F.concat_ws(
-        "|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        F.col("l_quantity").cast("bigint"), F.floor(F.col("l_extendedprice") * 100.0 + 0.5),
-    )
+    # File order: by order and line; the lower part tells lines with the same order and line number apart.
+    below = (F.col("l_partkey") * 7919 + F.col("l_suppkey") * 104729 + F.col("l_quantity").cast("bigint") * 15485863) % 1048573
+    line_order = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1048576 + below
     lines = (
         lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .select(
             "o_custkey",
-            vx.hash60(line_key).alias("row_seq"),
+            line_order.alias("row_seq"),
             F.col("p_brand").alias("skill"),
             F.col("p_type").alias("skill_category"),
             (1 + F.col("l_quantity").cast("bigint") % 12).cast("double").alias("skill_experience_years"),

@@ -32,6 +32,13 @@ def read_or_none(spark: SparkSession, path: str, schema: T.StructType | None = N
         raise
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A file scan that splits into fewer tasks than there are cores (one small unsplittable file) is
+    shared out by ``key`` before heavy work; larger inputs are left alone."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def work_folder(spark: SparkSession) -> str:
     """A fresh folder under ``spark.checkpoint.dir``; a temporary one only for local sessions without it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
