@@ -19,7 +19,7 @@ _CORRUPT = "_corrupt_record"
 def read_requirement_texts(spark: SparkSession, path: str) -> DataFrame:
     """One row per UTF-8 ``.txt`` file: ``source_file, requirement_text``; other suffixes are skipped."""
     return (
-        spark.read.option("pathGlobFilter", "*.[tT][xX][tT]").option("wholetext", True).text(path)
+        spark.read.option("pathGlobFilter", "*.[tT][xX][tT]").text(path, wholetext=True)
         .select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("requirement_text"))
     )
 
