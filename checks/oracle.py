@@ -322,6 +322,7 @@ BODIES = {
         count(*) FILTER (action = 'DELETE') AS deleted_count, count(*) FILTER (action = 'REACTIVATE') AS reactivated_count,
         count(*) FILTER (is_active) AS total_active, count(*) FILTER (action IN ('DELETE', 'REACTIVATE')) > 0 AS rebuild_indexes_required
         FROM labelled GROUP BY step""",
+    "vector_id_lookup": f"SELECT requirement_id, employee_id, {_VECTOR_ID} AS vector_id FROM candidate",
     "vectors_normalized": """SELECT vec_id, floor(sqrt(list_inner_product(unit, unit))*10000.0 + 0.5)/10000.0 AS norm,
         floor(unit[1]*10000.0 + 0.5)/10000.0 AS first_component
         FROM (SELECT vec_id, [x/sqrt(list_inner_product(v, v)) FOR x IN v] AS unit FROM
@@ -355,6 +356,8 @@ BODIES = {
     "match_top_n_weighted": _matches("ranked_weighted"),
     "match_skill_years": _matches("ranked_by_years", 50),
     "explanation_prompts": _prompt_sql(),
+    "match_with_explanations": "SELECT requirement_id, employee_id, rank, CASE WHEN rank <= 10 THEN 'fit: ' || confidence END "
+                               "AS explanation FROM ranked WHERE rank <= 15",
     "stream_match": _matches("ranked", 20, "s%10 NOT IN (8, 9)"),
     "stream_sync": f"SELECT employee_id, {_VECTOR_ID} AS vector_id, true AS is_active FROM active",
 }

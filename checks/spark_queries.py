@@ -17,7 +17,7 @@ from staffmatch.operators.knn import KnnOptions, top_k
 from staffmatch.operators.scoring import score_pairs
 from staffmatch.plans import embeddings as eb
 from staffmatch.plans import indexes as ix
-from staffmatch.plans.explain import explanation_prompts
+from staffmatch.plans.explain import attach_explanations, explanation_prompts
 from staffmatch.plans.match import candidates, match, rank_pairs
 from staffmatch.schemas import EMPLOYEE_SKILL, REGISTRY, REQUIREMENT_RAW
 from staffmatch.sources import staffing as st
@@ -33,8 +33,8 @@ WEIGHTS = {"mandatory": 0.25, "skill_exp": 0.25, "domain": 0.4, "experience": 0.
 
 # ---- shared parts --------------------------------------------------------------------------
 
-def _profiles(spark, sf, summaries=False):
-    return pf.build_profiles(st.employees(spark, sf, summaries))
+def _profiles(spark, sf, with_text=False):
+    return pf.build_profiles(st.employees(spark, sf, with_text), with_text=with_text)
 
 
 def _pairs(spark, sf):
@@ -339,6 +339,22 @@ def match_skill_years(spark, sf):
                              WEIGHTS, use_skill_years=True, top_n=50))
 
 
+def vector_id_lookup(spark, sf):
+    """Candidates held as vector ids only, named again through the active registry rows."""
+    people = st.active_vectors(spark, sf)
+    hits = _pairs(spark, sf).join(people.select("employee_id", "vector_id"), "employee_id").drop("employee_id")
+    registry = people.select("employee_id", "vector_id", F.lit(True).alias("is_active"))
+    return sy.name_vector_ids(hits, registry).select("requirement_id", "employee_id", "vector_id")
+
+
+def match_with_explanations(spark, sf):
+    """Stored answers, here one short line per prompt, joined back to the first matches."""
+    matches = match(st.requirements(spark, sf), _profiles(spark, sf), st.active_vectors(spark, sf), top_n=15)
+    answers = matches.where("rank <= 10").select(
+        "requirement_id", "employee_id", F.concat(F.lit("fit: "), "confidence").alias("explanation"))
+    return attach_explanations(matches, answers).select("requirement_id", "employee_id", "rank", "explanation")
+
+
 def explanations(spark, sf):
     requirements, profiles = st.requirements(spark, sf), _profiles(spark, sf, True)
     matches = match(requirements, profiles, st.active_vectors(spark, sf))
@@ -363,7 +379,7 @@ def stream_match(spark, sf):
     folder = work_folder(spark)
     st.requirement_replies(spark, sf).select("requirement_id", "raw").repartition(4, "requirement_id").write.json(f"{folder}/in")
     profiles = _profiles(spark, sf)
-    profiles.select("employee_id", *pf.HEADER_FIELDS, "skills", "skill_years").write.parquet(f"{folder}/profiles")
+    profiles.write.parquet(f"{folder}/profiles")
     stored = spark.read.parquet(f"{folder}/profiles")
     vectors = st.active_vectors(spark, sf)
     requirement_vectors = st.requirements(spark, sf).select("requirement_id", "vec")
@@ -410,6 +426,7 @@ QUERIES = {
     "registry_after_sync": registry_after_sync,
     "registry_active": registry_active,
     "sync_summary": sync_summary,
+    "vector_id_lookup": vector_id_lookup,
     "vectors_normalized": vectors_normalized,
     "pair_similarity": pair_similarity,
     "knn_exact": knn_exact,
@@ -437,6 +454,7 @@ QUERIES = {
     "match_top_n_weighted": match_top_n_weighted,
     "match_skill_years": match_skill_years,
     "explanation_prompts": explanations,
+    "match_with_explanations": match_with_explanations,
     "encode_default": encode_default,
     "stream_match": stream_match,
     "stream_sync": stream_sync_query,

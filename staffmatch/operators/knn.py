@@ -240,7 +240,7 @@ def _numbers(count: str) -> F.Column:
     return F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1)
 
 
-def _grid_plan(queries, items, k, with_cells, options: KnnOptions, dim: int) -> DataFrame:
+def _grid_plan(queries, items, k, with_cells, options: KnnOptions, dim: int, bounded_cells: bool) -> DataFrame:
     """Cells x query blocks x item blocks, co-grouped. Block numbers come from counts per cell."""
     rows = options.block_rows or max(256, _BLOCK_VALUES // max(dim, 1))
     if with_cells:
@@ -257,8 +257,8 @@ def _grid_plan(queries, items, k, with_cells, options: KnnOptions, dim: int) ->
             F.ceil(F.col("n_queries") / per_block).cast("bigint").alias("query_blocks"),
         )
     )
-    # One row per cell; the number of cells is bounded by cell_limit, which the caller checks.
-    sizes = F.broadcast(sizes)
+    if bounded_cells:
+        sizes = F.broadcast(sizes)  # one row per cell, and the number of cells has been checked
     cut_items = (
         items.select("employee_id", "vec", "cell").join(sizes, "cell")
         .withColumn("item_block", F.pmod(F.xxhash64("employee_id"), "item_blocks"))
@@ -321,14 +321,16 @@ def top_k(
     if fraction is None:
         fraction = 0.01 if (item_count or 0) >= options.seed_min_items else 0.0
 
+    bounded = not cells or cell_count is not None
+
     if use_grid:
         bare = queries.withColumn("floor", F.lit(float("-inf")))
         if fraction > 0:
-            seeds = _seed_floors(_keep_top(_grid_plan(bare, _sampled(items, fraction), k, cells, options, dim), k), k)
+            seeds = _seed_floors(_keep_top(_grid_plan(bare, _sampled(items, fraction), k, cells, options, dim, bounded), k), k)
             bare = queries.join(seeds, "requirement_id", "left").withColumn(
                 "floor", F.coalesce(F.col("floor"), F.lit(float("-inf")))
             )
-        return _keep_top(_grid_plan(bare, items, k, cells, options, dim), k)
+        return _keep_top(_grid_plan(bare, items, k, cells, options, dim, bounded), k)
 
     floors = None
     if fraction > 0:

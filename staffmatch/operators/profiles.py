@@ -6,8 +6,7 @@ years from its last row, and the displayed list holds the raw values in first-se
 Shuffle plan: rows are first reduced per (employee, raw skill), with partial aggregation on the map
 side, so an employee owning a large part of all rows is spread over its skills. Only distinct skills
 are then moved by ``employee_id`` and collected; equal keys are resolved inside the small sorted array.
-The header is a separate narrow aggregate, and each header field its own aggregate, so a query that
-needs no summary text never reads or shuffles it.
+The header is a separate aggregate over its own columns, so wide summary texts never travel with skills.
 """
 
 from __future__ import annotations
@@ -18,15 +17,23 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
+SUMMARY = "past_project_execution_summary"
 HEADER_FIELDS = [
     "employee_name", "domain", "domain_experience_years", "total_experience_years",
-    "current_bandwidth_percent", "past_project_execution_summary",
+    "current_bandwidth_percent", SUMMARY,
 ]
 
 
-def employee_headers(employees: DataFrame) -> DataFrame:
-    """One row per employee, every field from the employee's first row."""
-    return employees.groupBy("employee_id").agg(*[F.min_by(c, "row_seq").alias(c) for c in HEADER_FIELDS])
+def employee_headers(employees: DataFrame, fields: list[str] = HEADER_FIELDS) -> DataFrame:
+    """One row per employee, every field from the employee's first row.
+
+    Header values repeat on all rows of an employee, so narrow headers are first reduced to the distinct
+    ones: a hash aggregate with map-side reduction. With the long summary text, hashing costs more than
+    the sort of a direct first-row aggregate (measured), which also reduces on the map side.
+    """
+    if SUMMARY not in fields:
+        employees = employees.groupBy("employee_id", *fields).agg(F.min("row_seq").alias("row_seq"))
+    return employees.groupBy("employee_id").agg(*[F.min_by(c, "row_seq").alias(c) for c in fields])
 
 
 def distinct_raw_skills(employees: DataFrame) -> DataFrame:
@@ -67,14 +74,15 @@ def skill_first_lines(employees: DataFrame) -> DataFrame:
     )
 
 
-def build_profiles(employees: DataFrame, only: DataFrame | None = None) -> DataFrame:
+def build_profiles(employees: DataFrame, only: DataFrame | None = None, with_text: bool = True) -> DataFrame:
     """``employee_id``, header fields, ``skills`` list, ``skill_years`` map and ``profile_text``.
 
-    Unused outputs are pruned by the optimizer down to the scan. ``only`` (``employee_id``) restricts the
-    result; the semi joins sit above the first aggregates, so rows of a large employee are reduced before
+    ``with_text=False`` leaves the summary and the profile text out, so the summary is not even read;
+    matching needs neither. ``only`` (``employee_id``) restricts the result; the semi joins sit above the first aggregates, so rows of a large employee are reduced before
     they meet on ``employee_id``, and the optimizer moves them below when the ids can be broadcast.
     """
-    raw, headers = distinct_raw_skills(employees), employee_headers(employees)
+    fields = HEADER_FIELDS if with_text else [c for c in HEADER_FIELDS if c != SUMMARY]
+    raw, headers = distinct_raw_skills(employees), employee_headers(employees, fields)
     if only is not None:
         raw, headers = raw.join(only, "employee_id", "left_semi"), headers.join(only, "employee_id", "left_semi")
     key = tx.skill_key(F.col("skill"))
@@ -107,12 +115,14 @@ def build_profiles(employees: DataFrame, only: DataFrame | None = None) -> DataF
             run_ends("last_of_key"), lambda x: F.struct(x["key"].alias("key"), x["years"].alias("years")))).alias("skill_years"),
     )
     joined = headers.join(skills, "employee_id")
+    if not with_text:
+        return joined.drop("skill_lines")
     blank = tx.blank_if_null
     return joined.select(
-        "employee_id", *HEADER_FIELDS, "skills", "skill_years",
+        "employee_id", *fields, "skills", "skill_years",
         tx.profile_layout(
             blank(F.col("domain")), F.col("domain_experience_years"), F.col("total_experience_years"),
-            blank(F.col("past_project_execution_summary")), F.col("skill_lines"),
+            blank(F.col(SUMMARY)), F.col("skill_lines"),
         ).alias("profile_text"),
     )
 

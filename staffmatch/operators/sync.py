@@ -104,3 +104,8 @@ def only_live(vectors: DataFrame, registry: DataFrame) -> DataFrame:
         stale = (F.col("employee_id") == F.col("renewed_id")) & (F.col("version") < F.col("live_version"))
         vectors = vectors.join(sized(newer, counts["renewed"]), stale, "left_anti")
     return vectors
+
+
+def name_vector_ids(hits: DataFrame, registry: DataFrame) -> DataFrame:
+    """``employee_id`` for rows that hold only a ``vector_id``; ids unknown or inactive drop out."""
+    return hits.join(registry.where("is_active").select("vector_id", "employee_id"), "vector_id")

@@ -28,19 +28,28 @@ def strip_fences(raw: F.Column) -> F.Column:
     return tx.strip(F.regexp_replace(raw, "```json|```", ""))
 
 
+def _once(rows: DataFrame, *columns: F.Column) -> DataFrame:
+    """Adds columns through a one-row generator. Filters and projections on them are not merged into the
+    expressions, so an expensive parse runs once per row however often its result is used."""
+    return rows.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def _classified(replies: DataFrame) -> DataFrame:
     schema = T.StructType(REQUIREMENT_BODY.fields + [T.StructField(_CORRUPT, T.StringType())])
     options = {"columnNameOfCorruptRecord": _CORRUPT, "mode": "PERMISSIVE", "allowSingleQuotes": "false"}
-    cleaned = replies.withColumn("raw_output", strip_fences(tx.blank_if_null(F.col("raw"))))
-    variant = F.try_parse_json("raw_output")
-    is_object = F.coalesce(F.startswith(F.schema_of_variant(variant), F.lit("OBJECT")), F.lit(False))
-    parsed = cleaned.withColumn("_body", F.from_json("raw_output", schema, options)).withColumn(
+    cleaned = _once(replies, strip_fences(tx.blank_if_null(F.col("raw"))).alias("raw_output"))
+    parsed = _once(
+        cleaned,
+        F.try_parse_json("raw_output").alias("_variant"),
+        F.from_json("raw_output", schema, options).alias("_body"),
+    )
+    is_object = F.coalesce(F.startswith(F.schema_of_variant("_variant"), F.lit("OBJECT")), F.lit(False))
+    return parsed.withColumn(
         "error",
-        F.when(variant.isNull(), F.lit(NOT_JSON))
+        F.when(F.col("_variant").isNull(), F.lit(NOT_JSON))
         .when(~is_object, F.lit(WRONG_SHAPE))
         .when(F.col("_body").isNull() | F.col(f"_body.{_CORRUPT}").isNotNull(), F.lit(WRONG_SHAPE)),
     )
-    return parsed
 
 
 def parse_requirements(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
