@@ -46,7 +46,8 @@ class KnnOptions:
     broadcast_bytes: int = 128 * 1024 * 1024  # and their most bytes
     block_rows: int | None = None  # item rows per grid block; default from the dimension
     seed_fraction: float | None = None  # share of items in the pre-scan; None: 1 % for a large known item count
-    seed_min_items: int = 5_000_000
+    seed_min_items: int = 5_000_000  # the pre-scan reads the items once more, so both sides must be large
+    seed_min_queries: int = 256
     cell_limit: int = 65_536  # bound of the per-cell statistics table that is broadcast
 
 
@@ -240,14 +241,15 @@ def _numbers(count: str) -> F.Column:
     return F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1)
 
 
-def _grid_plan(queries, items, k, with_cells, options: KnnOptions, dim: int, bounded_cells: bool) -> DataFrame:
-    """Cells x query blocks x item blocks, co-grouped. Block numbers come from counts per cell."""
-    rows = options.block_rows or max(256, _BLOCK_VALUES // max(dim, 1))
-    if with_cells:
-        queries = queries.withColumn("cell", F.explode("cells"))
-    else:
-        queries, items = queries.withColumn("cell", F.lit(0)), items.withColumn("cell", F.lit(0))
+def _with_block_counts(queries, items, with_cells: bool, rows: int, bounded_cells: bool):
+    """Both sides with ``cell``, ``item_blocks`` and ``query_blocks``, from the counts per cell."""
     per_block = F.lit(float(rows))
+    if not with_cells:
+        blocks = [F.lit(0).alias("cell")]
+        for side, name in ((items, "item_blocks"), (queries, "query_blocks")):
+            blocks.append(F.lit(max(1, math.ceil(side.count() / rows))).cast("bigint").alias(name))
+        return queries.select("*", *blocks), items.select("*", *blocks)
+    queries = queries.withColumn("cell", F.explode("cells"))
     sizes = (
         items.groupBy("cell").agg(F.count("*").alias("n_items"))
         .join(queries.groupBy("cell").agg(F.count("*").alias("n_queries")), "cell")
@@ -259,15 +261,20 @@ def _grid_plan(queries, items, k, with_cells, options: KnnOptions, dim: int, bou
     )
     if bounded_cells:
         sizes = F.broadcast(sizes)  # one row per cell, and the number of cells has been checked
+    return queries.join(sizes, "cell"), items.join(sizes, "cell")
+
+
+def _grid_plan(queries, items, k, with_cells, options: KnnOptions, dim: int, bounded_cells: bool) -> DataFrame:
+    """Cells x query blocks x item blocks, co-grouped. Block numbers come from counts per cell."""
+    rows = options.block_rows or max(256, _BLOCK_VALUES // max(dim, 1))
+    queries, items = _with_block_counts(queries, items, with_cells, rows, bounded_cells)
     cut_items = (
-        items.select("employee_id", "vec", "cell").join(sizes, "cell")
-        .withColumn("item_block", F.pmod(F.xxhash64("employee_id"), "item_blocks"))
+        items.withColumn("item_block", F.pmod(F.xxhash64("employee_id"), "item_blocks"))
         .withColumn("query_block", F.explode(_numbers("query_blocks")))
         .select("cell", "item_block", "query_block", "employee_id", "vec")
     )
     cut_queries = (
-        queries.select("requirement_id", "vec", "floor", "cell").join(sizes, "cell")
-        .withColumn("query_block", F.pmod(F.xxhash64("requirement_id"), "query_blocks"))
+        queries.withColumn("query_block", F.pmod(F.xxhash64("requirement_id"), "query_blocks"))
         .withColumn("item_block", F.explode(_numbers("item_blocks")))
         .select("cell", "item_block", "query_block", "requirement_id", "vec", "floor")
     )
@@ -319,7 +326,8 @@ def top_k(
 
     fraction = options.seed_fraction
     if fraction is None:
-        fraction = 0.01 if (item_count or 0) >= options.seed_min_items else 0.0
+        worth_it = (item_count or 0) >= options.seed_min_items and size["n"] >= options.seed_min_queries
+        fraction = 0.01 if worth_it else 0.0
 
     bounded = not cells or cell_count is not None
 

@@ -15,13 +15,17 @@ TEXTS = ["employee_name", "domain", "past_project_execution_summary", "skill", "
 _NAMELESS = re.compile(r"^(Unnamed|_c\d+$)")
 
 
-def read_employee_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings, nameless columns dropped. Accepts a ``.csv`` file or a directory of them."""
+def read_employee_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """All columns as strings, nameless columns dropped. Accepts a ``.csv`` file or a directory of them.
+
+    With ``multi_line`` values may hold line breaks, but Spark cannot split a file then; for very large
+    files without line breaks inside values, turn it off.
+    """
     leaf = path.rstrip("/").rsplit("/", 1)[-1]
     if "." in leaf and not leaf.lower().endswith(".csv"):
         raise ValueError(f"employee files must be .csv, got {path!r}")
     rows = (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
         .option("pathGlobFilter", "*.[cC][sS][vV]").csv(path)
     )
     return rows.select(*[F.col(f"`{c}`") for c in rows.columns if not _NAMELESS.match(c)])
@@ -64,9 +68,9 @@ def typed_employees(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return clean, checked.where("reason <> ''").select(*names, "reason")
 
 
-def load_employees(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def load_employees(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """CSV to ``(clean, quarantine)``."""
-    return typed_employees(read_employee_csv(spark, path))
+    return typed_employees(read_employee_csv(spark, path, multi_line))
 
 
 def save_snapshot(store, clean: DataFrame) -> dict[str, int]:
