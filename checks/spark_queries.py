@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staffmatch.functions import numeric as nm
@@ -13,13 +13,13 @@ from staffmatch.operators import ivf
 from staffmatch.operators import profiles as pf
 from staffmatch.operators import sync as sy
 from staffmatch.operators.encode import HashingEncoder, LookupEncoder, encode_profiles, encode_requirements
-from staffmatch.operators.knn import KnnOptions, top_k
+from staffmatch.operators.knn import KnnOptions
 from staffmatch.operators.scoring import score_pairs
 from staffmatch.plans import embeddings as eb
 from staffmatch.plans import indexes as ix
 from staffmatch.plans.explain import attach_explanations, explanation_prompts
 from staffmatch.plans.match import candidates, match, rank_pairs
-from staffmatch.schemas import EMPLOYEE_SKILL, REGISTRY, REQUIREMENT_RAW
+from staffmatch.schemas import EMPLOYEE_SKILL, REGISTRY
 from staffmatch.sources import staffing as st
 from staffmatch.sources.employees import read_snapshot, save_snapshot, typed_employees
 from staffmatch.sources.requirements import parse_requirements, split_by_weights
