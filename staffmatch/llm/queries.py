@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staffmatch.llm import quality_adaptive, simhash_bk
+from staffmatch.llm import langid_nb, quality_adaptive, simhash_bk, toxicity_gru
+from staffmatch.llm.sampling import held_out
 from staffmatch.llm.scratch import Scratch
 
 
@@ -16,10 +17,23 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid_nb.fit(docs)
+    return langid_nb.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity_gru.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity_gru.score(docs, net).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_adaptive.quality(_table(spark, sf_dir, "documents"), Scratch(spark, "quality")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_langid, op7_toxicity, op9_quality)}
 SQL: dict[str, str] = {}
