@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from staffmatch.llm import langid_nb, quality_adaptive, simhash_bk, toxicity_gru
+from staffmatch.llm import debruijn, langid_nb, quality_adaptive, simhash_bk, toxicity_gru
 from staffmatch.llm.sampling import held_out
 from staffmatch.llm.scratch import Scratch
 
@@ -24,6 +25,11 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     net = toxicity_gru.fit(docs, _table(spark, sf_dir, "labels"))
@@ -35,5 +41,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_langid, op7_toxicity, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_langid, op5_substring, op7_toxicity, op9_quality)}
 SQL: dict[str, str] = {}

@@ -44,3 +44,10 @@ class Scratch:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(schema).parquet(self.path(name))
+
+    def drop(self, *names: str) -> None:
+        """Remove tables that no later step reads."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path.getFileSystem(conf).delete(path, True)
