@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffmatch.llm import debruijn, langid_nb, quality_adaptive, simhash_bk, toxicity_gru
+from staffmatch.llm import debruijn, langid_nb, quality_adaptive, simhash_bk, spm_offsets, tokenfiles, toxicity_gru
 from staffmatch.llm.sampling import held_out
 from staffmatch.llm.scratch import Scratch
 
@@ -30,6 +31,12 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "tokens").path("files")
+    tokenfiles.write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokenfiles.read_documents(spark, path)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     net = toxicity_gru.fit(docs, _table(spark, sf_dir, "labels"))
@@ -41,5 +48,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_langid, op5_substring, op7_toxicity, op9_quality)}
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm_offsets.document_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_langid, op5_substring, op6_tokens, op7_toxicity, op9_quality, op10_pieces)}
 SQL: dict[str, str] = {}
