@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffmatch.llm import debruijn, langid_nb, quality_adaptive, simhash_bk, spm_offsets, tokenfiles, toxicity_gru
+from staffmatch.llm import (
+    debruijn,
+    embed_int8,
+    langid_nb,
+    packing,
+    quality_adaptive,
+    simhash_bk,
+    spm_offsets,
+    tokenfiles,
+    toxicity_gru,
+    warc_dict,
+)
 from staffmatch.llm.sampling import held_out
 from staffmatch.llm.scratch import Scratch
 
@@ -19,6 +30,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = Scratch(spark, "packing").store(packing.word_lengths(_table(spark, sf_dir, "documents")), "lengths")
+    return packing.pack(lengths)
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid_nb.fit(docs)
@@ -26,6 +42,12 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "warc").path("archives")
+    warc_dict.write_archives(_table(spark, sf_dir, "pages"), path)
+    return warc_dict.read_archives(spark, path).drop("url", "payload")
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.remove_repeats(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -43,6 +65,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_gru.score(docs, net).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_int8.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_adaptive.quality(_table(spark, sf_dir, "documents"), Scratch(spark, "quality")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -52,5 +78,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm_offsets.document_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_langid, op5_substring, op6_tokens, op7_toxicity, op9_quality, op10_pieces)}
+QUERIES = {f.__name__: f for f in (
+    op1_simhash, op2_packing, op3_langid, op4_warc, op5_substring, op6_tokens, op7_toxicity, op8_embeddings, op9_quality,
+    op10_pieces)}
 SQL: dict[str, str] = {}
