@@ -21,12 +21,12 @@ from staffmatch.llm.sampling import bounded_sample, held_out
 from staffmatch.llm.words import pieces, split_words, text_bytes, word_codes
 
 WINDOW, STRIDE = 64, 32
-WORD_BUCKETS, GRAM_BUCKETS = 1 << 15, 1 << 16
+WORD_BUCKETS, GRAM_BUCKETS = 1 << 19, 1 << 18
 GRAMS = (4, 5, 6)
 WORD_DIM = CHAR_DIM = 4
 HIDDEN = 6
 #: Labelled texts of each class that training reads, about; a parameter of `fit`.
-TRAIN_DOCS = 2000
+TRAIN_DOCS = 1500
 EPOCHS, ROUNDS, BATCH, RATE = 4, 2, 128, 0.01
 #: Pseudo-counts behind the first guess of an embedding, the log odds of its class.
 PRIOR = 4.0
@@ -46,18 +46,25 @@ class Inputs:
     first: np.ndarray
 
 
-def word_inputs(distinct: pa.Array) -> Inputs:
-    """Hashed features of distinct lower-case words, each marked by a byte at either end."""
+def word_inputs(distinct: pa.Array, step: int = 20_000) -> Inputs:
+    """Hashed features of distinct lower-case words, `step` words at a time."""
+    parts = [_some_inputs(distinct.slice(low, step)) for low in range(0, len(distinct), step)] or [_some_inputs(distinct)]
+    shifts = np.cumsum([0] + [len(p.grams) for p in parts])
+    return Inputs(np.concatenate([p.word for p in parts]), np.concatenate([p.grams for p in parts]),
+                  np.concatenate([p.first + shift for p, shift in zip(parts, shifts)]))
+
+
+def _some_inputs(distinct: pa.Array) -> Inputs:
+    """Every word is marked by a byte at either end; the whole word counts as one n-gram more."""
     data, at = text_bytes(distinct)
     n, sizes = len(at) - 1, np.diff(at)
     padded = np.full(len(data) + 2 * n, 1, dtype=np.uint64)
-    begin = at[:-1] + 2 * np.arange(n)
-    inside = np.arange(len(data)) + 2 * np.repeat(np.arange(n), sizes) + 1
-    padded[inside] = data
     length = sizes + 2
-    owner = np.repeat(np.arange(n), length)
+    begin = np.cumsum(length) - length
+    owner = np.repeat(np.arange(n, dtype=np.int32), length)
+    padded[np.arange(len(data)) + 2 * np.repeat(np.arange(n), sizes) + 1] = data
     rolling = np.zeros(len(padded), dtype=np.uint64)
-    pieces_of, owners = [], []
+    buckets, owners = [], []
     for width in range(1, max(GRAMS) + 1):
         reach = len(padded) - width + 1
         if reach <= 0:
@@ -65,20 +72,18 @@ def word_inputs(distinct: pa.Array) -> Inputs:
         rolling = (rolling[:reach] ^ (rolling[:reach] >> np.uint64(31))) * _MULT + padded[width - 1:]
         if width in GRAMS:
             whole = owner[:reach] == owner[width - 1:]
-            mixed = (rolling ^ (rolling >> np.uint64(29))) * _MULT
-            pieces_of.append((mixed[whole] >> np.uint64(48)).astype(np.int64) % GRAM_BUCKETS)
+            mixed = ((rolling ^ (rolling >> np.uint64(29))) * _MULT)[whole]
+            buckets.append((mixed >> np.uint64(40)).astype(np.int32) % GRAM_BUCKETS)
             owners.append(owner[:reach][whole])
-    # The whole word is one n-gram more, so that short words have one, too.
-    powers = np.cumprod(np.full(max(int(length.max()), 1) if n else 1, 0xD1342543DE82EF95, dtype=np.uint64))
+    powers = np.cumprod(np.full(int(length.max()) if n else 1, 0xD1342543DE82EF95, dtype=np.uint64))
     place = np.arange(len(padded)) - np.repeat(begin, length)
     sums = np.add.reduceat((padded + np.uint64(7)) * powers[place], begin) if n else np.zeros(0, dtype=np.uint64)
     sums = (sums ^ (sums >> np.uint64(32))) * _MULT
-    word = (sums >> np.uint64(49)).astype(np.int64) % WORD_BUCKETS
-    pieces_of.append((sums >> np.uint64(33)).astype(np.int64) % GRAM_BUCKETS)
-    owners.append(np.arange(n))
-    grams, owners = np.concatenate(pieces_of), np.concatenate(owners)
-    order = np.argsort(owners, kind="stable")
-    return Inputs(word, grams[order], np.searchsorted(owners[order], np.arange(n)))
+    buckets.append((sums >> np.uint64(34)).astype(np.int32) % GRAM_BUCKETS)
+    owners.append(np.arange(n, dtype=np.int32))
+    order = np.argsort(np.concatenate(owners), kind="stable")
+    counts = np.bincount(np.concatenate(owners), minlength=n)
+    return Inputs((sums >> np.uint64(44)).astype(np.int32) % WORD_BUCKETS, np.concatenate(buckets)[order], np.cumsum(counts) - counts)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -123,11 +128,11 @@ class Network:
     def learn_inputs(self, x: Inputs, embedded: np.ndarray, counts: np.ndarray, d_in: np.ndarray) -> None:
         """A gradient step on the learned coordinates; of n-grams, those that gave the maximum."""
         w, c = WORD_DIM - 1, CHAR_DIM - 1
-        at = x.word[:, None] * w + np.arange(w)
+        at = x.word.astype(np.int64)[:, None] * w + np.arange(w)
         np.subtract.at(self.words.ravel(), at.ravel(), np.float32(RATE) * d_in[:, 1:WORD_DIM].ravel())
         top = np.repeat(np.arange(len(x.word)), counts)
         row, dim = np.nonzero(self.chars[x.grams] == embedded[top][:, WORD_DIM + 1:])
-        np.subtract.at(self.chars.ravel(), x.grams[row] * c + dim, np.float32(RATE) * d_in[top[row], WORD_DIM + 1 + dim])
+        np.subtract.at(self.chars.ravel(), x.grams[row].astype(np.int64) * c + dim, np.float32(RATE) * d_in[top[row], WORD_DIM + 1 + dim])
 
     def _side(self, side: str, proj: np.ndarray, idx: np.ndarray, keep: np.ndarray | None, cache: list | None):
         """Hidden states in reading order of one direction; proj: input part per distinct word, with the bias."""
@@ -233,7 +238,7 @@ def read(column: pa.Array) -> Reading:
     place = head[:, None] + np.arange(WINDOW)
     keep = place < counts[owner][:, None]
     padded = np.append(codes, len(distinct))
-    idx = np.where(keep, padded[np.minimum(starts[owner][:, None] + place, len(codes))], len(distinct))
+    idx = padded[np.where(keep, starts[owner][:, None] + place, len(codes))].astype(np.int32)
     return Reading(word_inputs(distinct), idx, keep, owner, len(counts))
 
 
@@ -272,21 +277,20 @@ def class_odds(x: Reading, y: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray
     """Smoothed log odds of every word bucket and n-gram bucket, by the texts among `texts` that have it."""
     share = float(np.clip(y[texts].mean(), 0.01, 0.99)) if len(texts) else 0.5
     n_words = len(x.inputs.word) + 1
-    flat_owner, flat_word = np.repeat(x.owner, WINDOW)[x.keep.ravel()], x.idx.ravel()[x.keep.ravel()]
-    chosen = np.isin(flat_owner, texts)
-    pairs = _sorted_distinct(flat_owner[chosen] * np.int64(n_words) + flat_word[chosen])
+    some = np.flatnonzero(np.isin(x.owner, texts))
+    pairs = _sorted_distinct((x.owner[some, None] * np.int64(n_words) + x.idx[some])[x.keep[some]])
     doc, word = pairs // n_words, pairs % n_words
     counts = np.diff(np.append(x.inputs.first, len(x.inputs.grams)))
     tables = []
     for size, grams in ((WORD_BUCKETS, False), (GRAM_BUCKETS, True)):
         seen, bad = np.zeros(size), np.zeros(size)
-        for low in range(0, len(pairs), 100_000):
-            d, w = doc[low:low + 100_000], word[low:low + 100_000]
+        for low in range(0, len(pairs), 50_000):
+            d, w = doc[low:low + 50_000], word[low:low + 50_000]
             if grams:
                 feature, d = x.inputs.grams[_spread(x.inputs.first[w], counts[w])], np.repeat(d, counts[w])
             else:
                 feature = x.inputs.word[w]
-            both = _sorted_distinct(d * size + feature)
+            both = _sorted_distinct(d * np.int64(size) + feature)
             seen += np.bincount(both % size, minlength=size)
             bad += np.bincount(both % size, weights=y[both // size], minlength=size)
         odds = (np.log((bad + PRIOR * share) / (PRIOR * share))
@@ -295,9 +299,12 @@ def class_odds(x: Reading, y: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray
     return tables[0], tables[1]
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
+def train(texts: list[str], labels: np.ndarray, toxic_share: float | None = None, seed: int = 7) -> Network:
     """Fit a network on labelled texts; deterministic for a given order of the texts.
 
+    `toxic_share` is the share of class 1 where the network will be used; the output is shifted from the sample's
+    share to that.
+
     The texts are cut into two halves, and each half learns with class odds counted on the other, so that no text
     is judged by its own words. The finished network has the odds of all texts.
     """
@@ -351,16 +358,20 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
                 part = np.flatnonzero(half[x.owner] == h)
                 value[part] = window_scores(net, Reading(x.inputs, x.idx[part], x.keep[part], x.owner[part], x.n_texts))
     net.word_odds, net.gram_odds = class_odds(x, y, np.arange(len(y)))
+    if toxic_share is not None:
+        odds = lambda share: np.log(share / (1 - share))
+        net.p["c"] += np.float32(odds(np.clip(toxic_share, 1e-3, 1 - 1e-3)) - odds(y.mean()))
     return net
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Network:
     """Learn `labels.toxic` from about `train_docs` texts of each class at the most; held-out ids are never read."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    both = [bounded_sample(known.where(c), "doc_id", train_docs) for c in (F.col("toxic") == 1, F.col("toxic") != 1)]
-    chosen = both[0].unionByName(both[1])
+    toxic, clean = known.where("toxic = 1"), known.where("toxic <> 1")
+    share = known.agg(F.avg((F.col("toxic") == 1).cast("int"))).first()[0]
+    chosen = bounded_sample(toxic, "doc_id", train_docs).unionByName(bounded_sample(clean, "doc_id", train_docs))
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(chosen, "doc_id").orderBy("doc_id", "text").collect()
-    return train([r["text"] for r in rows], np.array([int(r["toxic"] == 1) for r in rows]))
+    return train([r["text"] for r in rows], np.array([int(r["toxic"] == 1) for r in rows]), share)
 
 
 def _scored(shared) -> callable:
