@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from staffmatch.llm.scratch import Scratch
 from staffmatch.llm.words import pieces, row_of, split_words, text_bytes, word_codes
@@ -177,13 +178,16 @@ def _digest(words: list[bytes]) -> bytes:
     return hashlib.sha256(b" ".join(words)).digest()
 
 
-def _removed(k: int):
+_CHECKS = pa.list_(pa.struct([("source_doc", pa.int64()), ("source_pos", pa.int32()), ("length", pa.int32()), ("digest", pa.binary())]))
+
+
+def _removed(k: int, carried: list[str]):
     """Per document: what is left of it, and digests of the spans it repeats and of those that others repeat of it."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             out = []
             for doc, text, spans, sources, copy_of in zip(*(batch.column(c).to_pylist() for c in
-                                                            ("doc_id", "text", "spans", "sources", "copy_of"))):
+                                                            ("doc_key", "text", "spans", "sources", "copy_of"))):
                 words = (text or b"").split()
                 covered, checks = np.zeros(len(words) + 1, dtype=np.int64), []
                 if copy_of is not None and len(words) >= k:
@@ -195,50 +199,52 @@ def _removed(k: int):
                 for s in sources or []:
                     checks.append((doc, s["pos"], s["length"], _digest(words[s["pos"]:s["pos"] + s["length"]])))
                 left = [words[i] for i in np.flatnonzero(np.cumsum(covered[:-1]) == 0).tolist()] if covered.any() else words
-                out.append((doc, len(words), len(words) - len(left), b" ".join(left).decode(),
+                joined = b" ".join(left)
+                out.append((text if len(left) == len(words) else joined, len(words), len(words) - len(left),
+                            hashlib.sha256(joined).hexdigest(),
                             [dict(zip(("source_doc", "source_pos", "length", "digest"), c)) for c in sorted(set(checks))]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), _REMOVED.values())], list(_REMOVED))
+            made = [pa.array(c, t) for c, t in zip(zip(*out), (pa.large_binary(), pa.int64(), pa.int64(), pa.string(), _CHECKS))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *made], [*carried, *_MADE])
     return run
 
 
-_REMOVED = {
-    "doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_text": pa.large_string(),
-    "checks": pa.list_(pa.struct([("source_doc", pa.int64()), ("source_pos", pa.int32()), ("length", pa.int32()), ("digest", pa.binary())])),
-}
+_MADE = {"text": BinaryType(), "n_words": LongType(), "n_removed": LongType(), "kept_sha256": StringType(),
+         "checks": ArrayType(StructType().add("source_doc", LongType()).add("source_pos", IntegerType())
+                             .add("length", IntegerType()).add("digest", BinaryType()))}
 
 
 def remove_repeats(docs: DataFrame, k: int = K, hash_seed: int = 1) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text) per row of `docs` (doc_id, text; other columns are ignored).
+    """Every row of `docs` (doc_id, text and any others) without the words that repeat an earlier document.
 
     Removed is every word in a run of `k` words that also starts in a document with a smaller id; runs are judged on
-    the input. A null or empty text has no words. Within one document nothing counts as a repeat. Repeated rows
-    each come out. A null id, and an id with two different texts, neither removes nor loses words. An empty table gives an empty result. The kept words are joined by one space.
+    the input. `text` is the kept words joined by one space where words went, and as it was elsewhere; added are
+    n_words, n_removed and kept_sha256 (of the kept words joined by one space); columns of these names in `docs` are
+    replaced. A null or empty text has no words. Within one document nothing counts as a repeat. Repeated rows each
+    come out. A null id, and an id with two different texts, neither removes nor loses words. An empty table gives an
+    empty result.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "debruijn")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    known = texts.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    scratch = Scratch(docs.sparkSession, "debruijn")
+    carried = [c for c in docs.columns if c not in _MADE]
+    texts = docs.select(*carried, F.col("doc_id").cast("long").alias("doc_key"), F.col("text").cast("binary").alias("text"))
+    known = texts.select(F.col("doc_key").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     twofold = scratch.store(known.groupBy("doc_id").agg(F.min(F.md5("text")).alias("a"), F.max(F.md5("text")).alias("b"))
                             .where("a <> b").select("doc_id"), "twofold")
     if not twofold.isEmpty():
         known = known.join(twofold, "doc_id", "left_anti")
     copies = scratch.store(copy_classes(known), "copies")
-    for attempt in range(ATTEMPTS):
-        seed = hash_seed + attempt
+    schema = StructType([*docs.select(*carried).schema.fields, *(StructField(n, t) for n, t in _MADE.items())])
+    for seed in range(hash_seed, hash_seed + ATTEMPTS):
         spans = repeated_spans(known, copies, scratch, k, seed)
         per_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "length", "source_doc", "source_pos")).alias("spans"))
         sources = (spans.select("source_doc", "source_pos", "length").distinct()
                    .groupBy(F.col("source_doc").alias("doc_id"))
                    .agg(F.collect_list(F.struct(F.col("source_pos").alias("pos"), "length")).alias("sources")))
-        notes = per_doc.join(sources, "doc_id", "full").join(copies, "doc_id", "full")
-        result = scratch.store(
-            texts.join(notes, "doc_id", "left").select("doc_id", "text", "spans", "sources", "copy_of")
-            .mapInArrow(_removed(k), "doc_id long, n_words long, n_removed long, kept_text string, checks "
-                        "array<struct<source_doc: long, source_pos: int, length: int, digest: binary>>"), f"result-{seed}")
+        notes = (per_doc.join(sources, "doc_id", "full").join(copies, "doc_id", "full")
+                 .withColumnRenamed("doc_id", "doc_key"))
+        result = scratch.store(texts.join(notes, "doc_key", "left").mapInArrow(_removed(k, carried), schema), f"result-{seed}")
         unequal = (result.select(F.explode("checks").alias("c")).select("c.*")
                    .groupBy("source_doc", "source_pos", "length").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
                    .where("a <> b"))
         if unequal.isEmpty():
-            return result.select("doc_id", "n_words", "n_removed", "kept_text")
+            return result.drop("checks").withColumn("text", F.col("text").cast("string"))
     raise RuntimeError(f"{ATTEMPTS} hash seeds in a row gave one hash to two k-mers")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+import corpus_pipeline
 from staffmatch.llm import (
     debruijn,
     embed_int8,
@@ -49,8 +49,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return debruijn.remove_repeats(_table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    return debruijn.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +80,5 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_packing, op3_langid, op4_warc, op5_substring, op6_tokens, op7_toxicity, op8_embeddings, op9_quality,
-    op10_pieces)}
+    op10_pieces)} | {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {}
