@@ -15,18 +15,21 @@ from staffmatch.llm.scratch import Scratch
 LEAST_LANGUAGE_SCORE = 0.5
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """The text beside the whole row, so that no column of a scorer replaces one of the documents'."""
+    return docs.select("text", F.struct("*").alias("row"))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network predicts to be toxic go. Texts without words score 0 and stay."""
     net = toxicity_gru.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
-    return toxicity_gru.score(docs, net).where("predicted = 0").select(*names)
+    return toxicity_gru.score(_carried(docs), net).where("predicted = 0").select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in which no language has the majority of the posterior, go."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    found = langid_nb.identify(docs, langid_nb.fit(docs))
-    return found.where((F.col("lang_pred") != langid_nb.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*names)
+    found = langid_nb.identify(_carried(docs), langid_nb.fit(docs))
+    return found.where((F.col("lang_pred") != langid_nb.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

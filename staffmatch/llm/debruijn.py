@@ -181,7 +181,7 @@ def _digest(words: list[bytes]) -> bytes:
 _CHECKS = pa.list_(pa.struct([("source_doc", pa.int64()), ("source_pos", pa.int32()), ("length", pa.int32()), ("digest", pa.binary())]))
 
 
-def _removed(k: int, carried: list[str]):
+def _removed(k: int):
     """Per document: what is left of it, and digests of the spans it repeats and of those that others repeat of it."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -204,7 +204,7 @@ def _removed(k: int, carried: list[str]):
                             hashlib.sha256(joined).hexdigest(),
                             [dict(zip(("source_doc", "source_pos", "length", "digest"), c)) for c in sorted(set(checks))]))
             made = [pa.array(c, t) for c, t in zip(zip(*out), (pa.large_binary(), pa.int64(), pa.int64(), pa.string(), _CHECKS))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *made], [*carried, *_MADE])
+            yield pa.RecordBatch.from_arrays([batch.column("carried"), *made], ["carried", *_MADE])
     return run
 
 
@@ -224,15 +224,15 @@ def remove_repeats(docs: DataFrame, k: int = K, hash_seed: int = 1) -> DataFrame
     empty result.
     """
     scratch = Scratch(docs.sparkSession, "debruijn")
-    carried = [c for c in docs.columns if c not in _MADE]
-    texts = docs.select(*carried, F.col("doc_id").cast("long").alias("doc_key"), F.col("text").cast("binary").alias("text"))
+    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in _MADE]).alias("carried")
+    texts = docs.select(carried, F.col("doc_id").cast("long").alias("doc_key"), F.col("text").cast("binary").alias("text"))
     known = texts.select(F.col("doc_key").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     twofold = scratch.store(known.groupBy("doc_id").agg(F.min(F.md5("text")).alias("a"), F.max(F.md5("text")).alias("b"))
                             .where("a <> b").select("doc_id"), "twofold")
     if not twofold.isEmpty():
         known = known.join(twofold, "doc_id", "left_anti")
     copies = scratch.store(copy_classes(known), "copies")
-    schema = StructType([*docs.select(*carried).schema.fields, *(StructField(n, t) for n, t in _MADE.items())])
+    schema = StructType([*docs.select(carried).schema.fields, *(StructField(n, t) for n, t in _MADE.items())])
     for seed in range(hash_seed, hash_seed + ATTEMPTS):
         spans = repeated_spans(known, copies, scratch, k, seed)
         per_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "length", "source_doc", "source_pos")).alias("spans"))
@@ -241,10 +241,11 @@ def remove_repeats(docs: DataFrame, k: int = K, hash_seed: int = 1) -> DataFrame
                    .agg(F.collect_list(F.struct(F.col("source_pos").alias("pos"), "length")).alias("sources")))
         notes = (per_doc.join(sources, "doc_id", "full").join(copies, "doc_id", "full")
                  .withColumnRenamed("doc_id", "doc_key"))
-        result = scratch.store(texts.join(notes, "doc_key", "left").mapInArrow(_removed(k, carried), schema), f"result-{seed}")
+        result = scratch.store(texts.join(notes, "doc_key", "left").select("carried", "doc_key", "text", "spans", "sources", "copy_of")
+                               .mapInArrow(_removed(k), schema), f"result-{seed}")
         unequal = (result.select(F.explode("checks").alias("c")).select("c.*")
                    .groupBy("source_doc", "source_pos", "length").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
                    .where("a <> b"))
         if unequal.isEmpty():
-            return result.drop("checks").withColumn("text", F.col("text").cast("string"))
+            return result.select("carried.*", F.col("text").cast("string").alias("text"), "n_words", "n_removed", "kept_sha256")
     raise RuntimeError(f"{ATTEMPTS} hash seeds in a row gave one hash to two k-mers")

@@ -20,6 +20,7 @@ from staffmatch.llm import (
 )
 from staffmatch.llm.sampling import held_out
 from staffmatch.llm.scratch import Scratch
+from staffmatch.llm.sql import SQL  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,4 +82,3 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_packing, op3_langid, op4_warc, op5_substring, op6_tokens, op7_toxicity, op8_embeddings, op9_quality,
     op10_pieces)} | {"pipeline": corpus_pipeline.run}
-SQL: dict[str, str] = {}

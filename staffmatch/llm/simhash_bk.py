@@ -122,7 +122,7 @@ def near_duplicates(docs: DataFrame, shard_limit: int = SHARD_LIMIT) -> DataFram
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.store(
-        docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"),
         "fingerprints")
     distinct = scratch.store(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
     edges = near_edges(distinct, shard_limit)
