@@ -126,7 +126,8 @@ class Piecewise:
         self.bare = spm.SentencePieceProcessor(model_proto=proto.SerializeToString())
         # Text may be cut before a mark that follows something else if no piece spans such a place.
         mark = MARK.decode()
-        self.cuttable = (proto.trainer_spec.model_type == 2 and proto.trainer_spec.byte_fallback and not any(
+        self.byte_fallback = proto.trainer_spec.byte_fallback
+        self.cuttable = (proto.trainer_spec.model_type == 2 and self.byte_fallback and not any(
             p.type == 4 or mark in p.piece.lstrip(mark) for p in proto.pieces))
         # Bytes of normalised text behind every id: a byte piece (type 6) stands for one.
         self.widths = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in proto.pieces], dtype=np.int64)
@@ -174,11 +175,12 @@ class Piecewise:
             stops = np.cumsum(self.widths[ids])
         else:
             raw = normal.tobytes()
-            found = [self.bare.encode(raw[a:b].decode(), out_type="immutable_proto").pieces
-                     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            ids = np.array([p.id for f in found for p in f], dtype=np.uint32)
+            texts = [raw[a:b].decode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            found = [[(p.id, len(p.surface.encode())) for p in self.bare.encode(t, return_type="proto").pieces] for t in texts]
+            ids = np.array([i for f in found for i, _ in f], dtype=np.uint32)
             starts = np.append(0, np.cumsum([len(f) for f in found], dtype=np.int64))
-            stops = np.cumsum(np.array([len(p.surface.encode()) for f in found for p in f], dtype=np.int64))
+            # A text's unknown pieces are as long as their surface; byte pieces (whose surface comes at the last) one byte.
+            stops = np.cumsum(self.widths[ids] if self.byte_fallback else np.array([n for f in found for _, n in f], dtype=np.int64))
         if len(stops) and stops[-1] != len(normal):
             raise ValueError("pieces do not cover the normalised text")
         heads = np.append(0, stops[:-1])[:len(stops)]
