@@ -7,8 +7,6 @@ from __future__ import annotations
 
 import re
 
-from staffmatch.plans.explain import INTRO, SECTIONS
-
 CTES: dict[str, str] = {}
 
 CTES["people"] = """
@@ -228,10 +226,6 @@ def _similarity4(name: str = "similarity") -> str:
     return f"floor({name}*10000.0 + 0.5)/10000.0 AS similarity"
 
 
-def _literal(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 _EMBEDDING_TEXT = """
 SELECT r.requirement_id, concat('Employee Profile', chr(10), 'Primary Domain: ', coalesce(nullif(r.domain, ''), 'N/A'), chr(10),
   'Domain Experience: ', CAST(CAST(coalesce(minimum_overall_experience_years, 0) AS BIGINT) AS VARCHAR), ' years', chr(10),
@@ -282,15 +276,25 @@ def _score_sql(name: str) -> str:
     return f"SELECT requirement_id, employee_id, {name} FROM ruled"
 
 
-def _prompt_sql() -> str:
-    parts = [
-        _literal(INTRO), "''", "'Person:'", "profile_text", "''", "'Role:'", "embedding_text", "''",
-        "concat('Match score from 0 to 1: ', printf('%.4f', final_rank))", "''", "'Answer in these sections:'",
-        *[_literal(s) for s in SECTIONS],
-    ]
-    prompt = "concat_ws(chr(10), " + ", ".join(parts) + ")"
-    return (f"SELECT requirement_id, employee_id, rank, {prompt} AS prompt FROM ranked "
-            "JOIN profile USING (employee_id) JOIN requirement_text USING (requirement_id) WHERE rank <= 10")
+_PROMPT = """
+SELECT r.requirement_id, r.employee_id, r.rank, concat(
+  'Wanted:', chr(10), t.embedding_text, chr(10), chr(10), 'Offered:', chr(10), p.profile_text, chr(10), chr(10),
+  'Findings:', chr(10), '- Place ', CAST(r.rank AS VARCHAR), ' of ', CAST(r.total_matches AS VARCHAR), ', score ',
+  printf('%.4f', r.final_rank), ' (', r.confidence, ')', chr(10), '- Mandatory skills: ', CAST(coalesce(f.wanted, 0) AS VARCHAR),
+  ' wanted, ', CAST(coalesce(f.absent, 0) AS VARCHAR), ' absent', chr(10), '- Absent: ', coalesce(f.missing, 'none'), chr(10),
+  '- Short of years: ', coalesce(f.short, 'none'), chr(10), '- Free capacity: ',
+  CAST(CAST(r.current_bandwidth_percent AS BIGINT) AS VARCHAR), ' percent', chr(10), chr(10),
+  'Which of these findings decide the match, and what should be clarified before it is made?') AS prompt
+FROM ranked r JOIN profile p USING (employee_id) JOIN requirement_text t USING (requirement_id)
+LEFT JOIN (
+  SELECT c.requirement_id, c.employee_id, count(*) AS wanted, count(*) FILTER (l.years IS NULL) AS absent,
+         string_agg(lower(trim(m.skill)), ', ' ORDER BY m.j) FILTER (l.years IS NULL) AS missing,
+         string_agg(concat(trim(m.skill), ' (', CAST(CAST(l.years AS BIGINT) AS VARCHAR), ' of ', CAST(m.years AS VARCHAR), ')'), ', ' ORDER BY m.j)
+           FILTER (l.years < m.years) AS short
+  FROM candidate c JOIN mandatory m USING (requirement_id)
+  LEFT JOIN skill_last l ON l.employee_id = c.employee_id AND l.skill_key = lower(trim(m.skill)) GROUP BY 1, 2) f
+  ON f.requirement_id = r.requirement_id AND f.employee_id = r.employee_id
+WHERE r.rank <= 10"""
 
 
 BODIES = {
@@ -355,7 +359,7 @@ BODIES = {
     "match_top_n": "SELECT * FROM match_rows",
     "match_top_n_weighted": _matches("ranked_weighted"),
     "match_skill_years": _matches("ranked_by_years", 50),
-    "explanation_prompts": _prompt_sql(),
+    "explanation_prompts": _PROMPT,
     "match_with_explanations": "SELECT requirement_id, employee_id, rank, CASE WHEN rank <= 10 THEN 'fit: ' || confidence END "
                                "AS explanation FROM ranked WHERE rank <= 15",
     "stream_match": _matches("ranked", 20, "s%10 NOT IN (8, 9)"),

@@ -82,7 +82,7 @@ def test_argument_checks(spark):
     from staffmatch.plans.explain import explanation_prompts
 
     with pytest.raises(ValueError):
-        explanation_prompts(None, None, None, explain_top=51)
+        explanation_prompts(None, None, None, explain_top=-1)
 
 
 def test_rows_with_weights_out_of_range_are_set_aside(spark):
