@@ -89,20 +89,29 @@ CTES["active"] = """
 SELECT * FROM people WHERE k IN (SELECT o_custkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
 
 CTES["vector"] = """
-SELECT a.employee_id, a.k, a.c_nationkey, CAST(e.embedding AS DOUBLE[]) AS vec FROM active a JOIN embeddings e ON e.vec_id = a.k"""
+SELECT a.employee_id, a.k, a.c_nationkey, CAST(e.embedding AS DOUBLE[]) AS vec FROM active a JOIN embeddings e ON e.vec_id = a.k % (SELECT count(*) FROM embeddings)"""
 
 CTES["query_vector"] = """
-SELECT r.requirement_id, r.s, CAST(e.embedding AS DOUBLE[]) AS vec FROM requirement r JOIN embeddings e ON e.vec_id = r.s"""
+SELECT r.requirement_id, r.s, CAST(e.embedding AS DOUBLE[]) AS vec FROM requirement r JOIN embeddings e ON e.vec_id = r.s % (SELECT count(*) FROM embeddings)"""
 
-CTES["candidate"] = """
+def _candidates(most: int) -> str:
+    return f"""
 SELECT *, row_number() OVER (PARTITION BY requirement_id ORDER BY similarity DESC, employee_id) AS candidate_rank
 FROM (SELECT q.requirement_id, v.employee_id,
              floor(list_inner_product(q.vec, v.vec)*1000000000.0 + 0.5)/1000000000.0 AS similarity
       FROM query_vector q, vector v)
-QUALIFY candidate_rank <= 50"""
+QUALIFY candidate_rank <= {most}"""
+
+
+CTES["candidate"] = _candidates(50)
+CTES["candidate_100"] = _candidates(100)
 
 CTES["centroid"] = """
-SELECT CAST(vec_id AS BIGINT) AS cell, CAST(embedding AS DOUBLE[]) AS centre FROM embeddings ORDER BY vec_id LIMIT 20"""
+SELECT cell, [x/sqrt(list_inner_product(mean, mean)) FOR x IN mean] AS centre FROM (
+  SELECT cell, list(total/n ORDER BY pos) AS mean FROM (
+    SELECT vec_id%20 AS cell, pos, CAST(sum(CAST(floor(CAST(x AS DOUBLE)*1e9 + 0.5) AS BIGINT)) AS DOUBLE) AS total, CAST(count(*) AS DOUBLE) AS n
+    FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2)
+  GROUP BY cell)"""
 
 CTES["celled"] = """
 SELECT v.employee_id, v.vec, v.c_nationkey, c.cell FROM vector v, centroid c
@@ -122,7 +131,7 @@ FROM (SELECT p.requirement_id, v.employee_id,
 QUALIFY candidate_rank <= 50"""
 
 
-def _scored(ratio: str = "1.0") -> str:
+def _scored(ratio: str = "1.0", candidate: str = "candidate") -> str:
     return f"""
 SELECT c.requirement_id, c.employee_id, c.similarity, h.employee_name, h.domain, h.total_experience_years,
        h.current_bandwidth_percent, r.s,
@@ -133,17 +142,18 @@ SELECT c.requirement_id, c.employee_id, c.similarity, h.employee_name, h.domain,
             ELSE CAST(1.0 AS DOUBLE) END AS domain_score,
        least(h.total_experience_years/CAST(10.0 AS DOUBLE), CAST(1.0 AS DOUBLE)) AS experience_score,
        CAST(0.5 AS DOUBLE) + h.current_bandwidth_percent/CAST(200.0 AS DOUBLE) AS availability
-FROM candidate c JOIN requirement r USING (requirement_id) JOIN header h USING (employee_id)
+FROM {candidate} c JOIN requirement r USING (requirement_id) JOIN header h USING (employee_id)
 LEFT JOIN (
   SELECT p.requirement_id, p.employee_id, count(*) AS n,
          count(DISTINCT CASE WHEN l.years IS NOT NULL THEN q.skill_key END) AS matched,
          list_sum(list(CASE WHEN l.years IS NULL THEN CAST(0.0 AS DOUBLE) ELSE CAST({ratio} AS DOUBLE) END ORDER BY q.j)) AS ratios
-  FROM candidate p JOIN (SELECT *, lower(trim(skill)) AS skill_key FROM mandatory) q USING (requirement_id)
+  FROM {candidate} p JOIN (SELECT *, lower(trim(skill)) AS skill_key FROM mandatory) q USING (requirement_id)
   LEFT JOIN skill_last l ON l.employee_id = p.employee_id AND l.skill_key = q.skill_key
   GROUP BY 1, 2) m ON m.requirement_id = c.requirement_id AND m.employee_id = c.employee_id"""
 
 
 CTES["scored"] = _scored()
+CTES["scored_100"] = _scored("1.0", "candidate_100")
 CTES["scored_by_years"] = _scored("CASE WHEN q.years > 0 THEN least(l.years/q.years, 1.0) ELSE 1.0 END")
 
 
@@ -157,6 +167,7 @@ FROM (SELECT *, {m}*skill_coverage + {e}*skill_experience_score + {d}*domain_sco
 
 
 CTES["ruled"] = _ruled("scored")
+CTES["ruled_100"] = _ruled("scored_100")
 CTES["ruled_by_years"] = _ruled("scored_by_years", "0.25", "0.25", "0.4", "0.1")
 CTES["ruled_weighted"] = _ruled(
     "scored",
@@ -177,6 +188,7 @@ WHERE {where}"""
 
 # 0/3, 1/3, 2/3, 3/3 and 4/3 are the domain weights; the last is out of range.
 CTES["ranked"] = _ranked("ruled")
+CTES["ranked_100"] = _ranked("ruled_100")
 CTES["ranked_by_years"] = _ranked("ruled_by_years")
 CTES["ranked_weighted"] = _ranked("ruled_weighted", "s%3 = 0 OR s%5 <= 3")
 
@@ -333,7 +345,7 @@ BODIES = {
               (SELECT vec_id, [CAST(x*3 AS DOUBLE) FOR x IN embedding] AS v FROM embeddings))""",
     "pair_similarity": "SELECT q.requirement_id, p.employee_id, "
                        "floor(list_inner_product(q.vec, CAST(e.embedding AS DOUBLE[]))*10000.0 + 0.5)/10000.0 AS similarity "
-                       "FROM query_vector q JOIN people p ON p.k = q.s JOIN embeddings e ON e.vec_id = p.k",
+                       "FROM query_vector q JOIN people p ON p.k = q.s JOIN embeddings e ON e.vec_id = p.k % (SELECT count(*) FROM embeddings)",
     "knn_exact": _KNN + "candidate",
     "knn_exact_grid": _KNN + "candidate",
     "ivf_cells": "SELECT employee_id, cell FROM celled",
@@ -357,6 +369,8 @@ BODIES = {
     "final_rank": "SELECT requirement_id, employee_id, final_rank, confidence, rank FROM ranked",
     "confidence_counts": "SELECT confidence, count(*) AS pairs FROM ranked GROUP BY confidence",
     "match_top_n": "SELECT * FROM match_rows",
+    "match_top_100": _matches("ranked_100", 100),
+    "weights_rejected": "SELECT requirement_id, 'weights must lie in [0, 1]' AS error FROM query_vector WHERE s%3 <> 0 AND s%5 > 3",
     "match_top_n_weighted": _matches("ranked_weighted"),
     "match_skill_years": _matches("ranked_by_years", 50),
     "explanation_prompts": _PROMPT,

@@ -53,10 +53,20 @@ def _score(name):
     return lambda spark, sf: _scored(spark, sf).select("requirement_id", "employee_id", name)
 
 
+CELLS = 20
+
+
 def _table_centroids(spark, sf) -> np.ndarray:
-    """The first 20 vectors of the table as fixed cell centres."""
-    rows = st.table(spark, sf, "embeddings").orderBy("vec_id").limit(20).collect()
-    return np.array([r["embedding"] for r in rows], dtype=np.float64)
+    """Cell centres from every vector of the table: the mean per ``vec_id % 20``, at unit length.
+
+    Components are summed on a grid of 1e-9 as whole numbers, so that any engine gets the same means.
+    """
+    parts = st.table(spark, sf, "embeddings").select(
+        (F.col("vec_id") % CELLS).alias("cell"), F.posexplode("embedding").alias("pos", "x"))
+    sums = parts.groupBy("cell", "pos").agg(
+        F.sum(F.floor(F.col("x").cast("double") * 1e9 + 0.5)).alias("total"), F.count("*").alias("n")).orderBy("cell", "pos").collect()
+    means = np.array([r["total"] / r["n"] for r in sums]).reshape(CELLS, -1)
+    return means / np.sqrt((means * means).sum(axis=1, keepdims=True))
 
 
 # ---- ingest and profiles -------------------------------------------------------------------
@@ -268,7 +278,7 @@ def ivf_search_grid(spark, sf):
 
 def ivf_full_probe_equals_exact(spark, sf):
     vectors = st.active_vectors(spark, sf)
-    centroids = ivf.train_centroids(vectors, 20)
+    centroids = ivf.train_centroids(vectors, CELLS)
     cells = ivf.assign_cells(vectors, centroids)
     return _knn_columns(candidates(st.requirements(spark, sf), cells, centroids=centroids, nprobe=20))
 
@@ -321,8 +331,12 @@ def match_top_n(spark, sf):
     return _flat_match(match(st.requirements(spark, sf), _profiles(spark, sf), st.active_vectors(spark, sf)))
 
 
-def match_top_n_weighted(spark, sf):
-    """Weights per requirement: partly given, some out of range and set aside."""
+def match_top_100(spark, sf):
+    """More matches than the default pool holds."""
+    return _flat_match(match(st.requirements(spark, sf), _profiles(spark, sf), st.active_vectors(spark, sf), top_n=100))
+
+
+def _with_weights(spark, sf):
     s = F.col("s")
     weights = F.when(s % 3 != 0, F.struct(
         F.when(s % 3 == 1, F.lit(0.5)).alias("mandatory"),
@@ -330,10 +344,21 @@ def match_top_n_weighted(spark, sf):
         (s % 5 / F.lit(3.0)).alias("domain"),
         F.lit(0.15).alias("experience"),
     ))
-    ok, _ = split_by_weights(st.requirements(spark, sf).withColumn("weights", weights))
+    return st.requirements(spark, sf).withColumn("weights", weights)
+
+
+def match_top_n_weighted(spark, sf):
+    """Weights per requirement: partly given, some out of range and set aside."""
+    ok, _ = split_by_weights(_with_weights(spark, sf))
     return _flat_match(match(ok, _profiles(spark, sf), st.active_vectors(spark, sf), weights_column="weights"))
 
 
+def weights_rejected(spark, sf):
+    """Requirements whose own weights are out of range."""
+    _, bad = split_by_weights(_with_weights(spark, sf))
+    return bad.select("requirement_id", "error")
+
+
 def match_skill_years(spark, sf):
     return _flat_match(match(st.requirements(spark, sf), _profiles(spark, sf), st.active_vectors(spark, sf),
                              WEIGHTS, use_skill_years=True, top_n=50))
@@ -451,7 +476,9 @@ QUERIES = {
     "final_rank": final_rank,
     "confidence_counts": confidence_counts,
     "match_top_n": match_top_n,
+    "match_top_100": match_top_100,
     "match_top_n_weighted": match_top_n_weighted,
+    "weights_rejected": weights_rejected,
     "match_skill_years": match_skill_years,
     "explanation_prompts": explanations,
     "match_with_explanations": match_with_explanations,

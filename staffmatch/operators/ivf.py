@@ -14,44 +14,44 @@ from pyspark.sql import types as T
 
 from .knn import _PRODUCT_VALUES, _matrix
 
-# Training reads this many rows per cell, chosen by an id hash; all rows are assigned afterwards.
-TRAIN_ROWS_PER_CELL = 1024
-MAX_CELLS = 65_536
-
-
-def train_centroids(vectors: DataFrame, nlist: int, *, seed: int = 7, max_iter: int = 20,
-                    vector_count: int | None = None) -> np.ndarray:
-    """``nlist`` unit centroids by distributed k-means. Fewer vectors than cells is an error."""
-    if not 1 <= nlist <= MAX_CELLS:
-        raise ValueError(f"nlist must lie in 1..{MAX_CELLS}, got {nlist}")
-    n = vectors.count() if vector_count is None else vector_count
-    if n < nlist:
-        raise ValueError(f"{n} vectors cannot train {nlist} cells")
-    wanted = nlist * TRAIN_ROWS_PER_CELL
-    training = vectors
-    if n > wanted:
-        share = int(wanted / n * 1_000_000_000)
-        training = vectors.where(F.pmod(F.xxhash64("employee_id"), F.lit(1_000_000_000)) < share)
-    features = training.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+# Centroids pass through the driver and are broadcast, also inside k-means: their bytes are checked.
+MAX_CENTROID_BYTES = 512 * 1024 * 1024
+
+
+def check_centroid_bytes(cells: int, dim: int) -> None:
+    if cells * dim * 8 > MAX_CENTROID_BYTES:
+        raise ValueError(f"{cells} centroids of {dim} values exceed {MAX_CENTROID_BYTES} bytes; use fewer cells")
+
+
+def train_centroids(vectors: DataFrame, nlist: int, *, seed: int = 7, max_iter: int = 20) -> np.ndarray:
+    """``nlist`` unit centroids by distributed k-means over all vectors. Fewer vectors than cells is an error."""
+    if nlist < 1:
+        raise ValueError(f"nlist must be at least 1, got {nlist}")
+    size = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    if size["n"] < nlist:
+        raise ValueError(f"{size['n']} vectors cannot train {nlist} cells")
+    check_centroid_bytes(nlist, size["dim"])
+    features = vectors.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
     centers = np.array(KMeans(k=nlist, seed=seed, maxIter=max_iter).fit(features).clusterCenters())
     norms = np.linalg.norm(centers, axis=1, keepdims=True)
     return np.divide(centers, norms, out=np.zeros_like(centers), where=norms > 0)
 
 
 def centroid_table(spark, centroids: np.ndarray) -> DataFrame:
-    rows = [(int(i), [float(x) for x in c]) for i, c in enumerate(centroids)]
-    return spark.createDataFrame(rows, "cell int, centroid array<double>")
+    flat = pa.array(np.ascontiguousarray(centroids, dtype=np.float64).ravel())
+    offsets = pa.array(np.arange(0, len(flat) + 1, centroids.shape[1], dtype=np.int32))
+    return spark.createDataFrame(pa.table({
+        "cell": pa.array(np.arange(len(centroids), dtype=np.int32)), "centroid": pa.ListArray.from_arrays(offsets, flat)}))
 
 
 def read_centroids(table: DataFrame) -> np.ndarray:
-    """At most MAX_CELLS rows; checked before they reach the driver."""
-    n = table.count()
-    if n > MAX_CELLS:
-        raise ValueError(f"{n} centroids exceed the limit of {MAX_CELLS}")
-    rows = sorted(table.select("cell", "centroid").collect(), key=lambda r: r["cell"])
-    if [r["cell"] for r in rows] != list(range(n)):
+    """The centroid matrix; its bytes are checked before it reaches the driver."""
+    size = table.agg(F.count("*").alias("n"), F.max(F.size("centroid")).alias("dim")).first()
+    check_centroid_bytes(size["n"], size["dim"] or 0)
+    rows = table.select("cell", "centroid").toArrow().sort_by("cell")
+    if rows.column("cell").to_pylist() != list(range(size["n"])):
         raise ValueError("centroid cells must be numbered 0..n-1")
-    return np.array([r["centroid"] for r in rows], dtype=np.float64)
+    return _matrix(rows.column("centroid"), size["dim"])
 
 
 def _nearest(vectors: np.ndarray, turned: np.ndarray, count: int) -> np.ndarray:

@@ -6,7 +6,7 @@ partial limit runs before the shuffle).
 
 Two physical plans, chosen by the counted size of the requirement side:
 
-* ``broadcast`` - the requirement matrix fits the row bound: it is broadcast, the employee vectors are
+* ``broadcast`` - the requirement matrix fits the byte bound: it is broadcast, the employee vectors are
   scanned where they lie and are not shuffled at all.
 * ``grid`` - both sides are cut into bounded blocks by a hash of their ids and every block pair meets
   in one co-grouped task. Blocks are sized from counts per cell, so a cell (or a requirement set)
@@ -42,13 +42,11 @@ _PRODUCT_VALUES = 4_000_000  # similarities held at once (32 MB as doubles)
 @dataclass(frozen=True)
 class KnnOptions:
     plan: str = "auto"  # auto | broadcast | grid
-    broadcast_rows: int = 8192  # most requirement rows that are ever broadcast
-    broadcast_bytes: int = 128 * 1024 * 1024  # and their most bytes
+    broadcast_bytes: int = 128 * 1024 * 1024  # most bytes of requirement vectors that are ever broadcast
     block_rows: int | None = None  # item rows per grid block; default from the dimension
     seed_fraction: float | None = None  # share of items in the pre-scan; None: 1 % for a large known item count
     seed_min_items: int = 5_000_000  # the pre-scan reads the items once more, so both sides must be large
     seed_min_queries: int = 256
-    cell_limit: int = 65_536  # bound of the per-cell statistics table that is broadcast
 
 
 # ---- inside tasks --------------------------------------------------------------------------
@@ -231,8 +229,7 @@ def _broadcast_plan(queries, items, k, with_cells, floors: dict | None) -> DataF
                 by_cell.setdefault(c, []).append(position)
         probes = {c: np.array(p) for c, p in by_cell.items()}
         item_columns.append("cell")
-        if len(probes) <= 1000:  # literal list: prunes cell partitions at the scan
-            items = items.where(F.col("cell").isin(sorted(probes)))
+        items = items.where(F.col("cell").isin(sorted(probes)))  # prunes cell partitions at the scan
     shared = spark.sparkContext.broadcast((query_ids, matrix, start, probes))
     return items.select(*item_columns).mapInArrow(_scan_task(shared, k, with_cells), _OUT)
 
@@ -260,7 +257,7 @@ def _with_block_counts(queries, items, with_cells: bool, rows: int, bounded_cell
         )
     )
     if bounded_cells:
-        sizes = F.broadcast(sizes)  # one row per cell, and the number of cells has been checked
+        sizes = F.broadcast(sizes)  # one row per cell, and their bytes have been checked
     return queries.join(sizes, "cell"), items.join(sizes, "cell")
 
 
@@ -314,12 +311,13 @@ def top_k(
         raise ValueError(f"k must be at least 1, got {k}")
     if options.plan not in ("auto", "broadcast", "grid"):
         raise ValueError(f"unknown plan {options.plan!r}")
-    if cells and cell_count is not None and cell_count > options.cell_limit:
-        raise ValueError(f"{cell_count} cells exceed the limit of {options.cell_limit}")
 
+    # Sizes, bounds and the search itself read the requirements, and an encoder may stand before them: keep
+    # what it gave. A lost executor costs its part again.
+    queries = queries.select("requirement_id", "vec", *(["cells"] if cells else [])).persist()
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
     dim = size["dim"] or 1
-    small = size["n"] <= options.broadcast_rows and size["n"] * dim * 8 <= options.broadcast_bytes
+    small = size["n"] * dim * 8 <= options.broadcast_bytes
     if options.plan == "broadcast" and not small:
         raise ValueError(f"{size['n']} requirement vectors of {dim} values exceed the broadcast bound")
     use_grid = options.plan == "grid" or not small
@@ -329,7 +327,8 @@ def top_k(
         worth_it = (item_count or 0) >= options.seed_min_items and size["n"] >= options.seed_min_queries
         fraction = 0.01 if worth_it else 0.0
 
-    bounded = not cells or cell_count is not None
+    # The statistics per cell (three numbers and a key) are broadcast only if they are known to be small.
+    bounded = not cells or (cell_count is not None and cell_count * 32 <= options.broadcast_bytes)
 
     if use_grid:
         bare = queries.withColumn("floor", F.lit(float("-inf")))
@@ -343,5 +342,7 @@ def top_k(
     floors = None
     if fraction > 0:
         seeds = _seed_floors(_keep_top(_broadcast_plan(queries, _sampled(items, fraction), k, cells, None), k), k)
-        floors = {r["requirement_id"]: r["floor"] for r in seeds.collect()}  # at most broadcast_rows rows
-    return _keep_top(_broadcast_plan(queries, items, k, cells, floors), k)
+        floors = {r["requirement_id"]: r["floor"] for r in seeds.collect()}  # bounded like the broadcast rows
+    found = _keep_top(_broadcast_plan(queries, items, k, cells, floors), k)
+    queries.unpersist()
+    return found

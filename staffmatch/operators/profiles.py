@@ -68,7 +68,7 @@ def skill_first_lines(employees: DataFrame) -> DataFrame:
         .agg(
             F.min("row_seq").alias("first_seq"),
             F.min_by(tx.strip(F.col("skill")), "row_seq").alias("skill"),
-            F.min_by("skill_category", "row_seq").alias("category"),
+            F.min_by(tx.blank_if_null(F.col("skill_category")), "row_seq").alias("category"),
             F.min_by("skill_experience_years", "row_seq").alias("years"),
         )
     )

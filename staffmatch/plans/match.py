@@ -19,14 +19,17 @@ from ..schemas import MATCH_COLUMNS
 # Fixed values of the request defaults.
 CANDIDATE_K = 50
 TOP_N = 20
-MAX_TOP_N = 100
 
 
-def check_arguments(top_n: int, candidate_k: int) -> None:
-    if not 1 <= top_n <= MAX_TOP_N:
-        raise ValueError(f"top_n must lie in 1..{MAX_TOP_N}, got {top_n}")
-    if candidate_k < 1:
-        raise ValueError(f"candidate_k must be at least 1, got {candidate_k}")
+def pool_size(top_n: int, candidate_k: int | None) -> int:
+    """The given pool, or the default one, never below what is to be returned."""
+    if top_n < 1:
+        raise ValueError(f"top_n must be at least 1, got {top_n}")
+    if candidate_k is None:
+        return max(CANDIDATE_K, top_n)
+    if candidate_k < top_n:
+        raise ValueError(f"a pool of {candidate_k} candidates cannot give {top_n} matches")
+    return candidate_k
 
 
 def candidates(requirements: DataFrame, vectors: DataFrame, candidate_k: int = CANDIDATE_K, *,
@@ -38,7 +41,7 @@ def candidates(requirements: DataFrame, vectors: DataFrame, candidate_k: int = C
     """
     if centroids is None:
         return top_k(requirements, vectors, candidate_k, options=options, item_count=vector_count)
-    probes = ivf.probe_cells(requirements, centroids, nprobe or len(centroids))
+    probes = ivf.probe_cells(requirements, centroids, len(centroids) if nprobe is None else nprobe)
     return top_k(probes, vectors, candidate_k, cells=True, options=options, item_count=vector_count,
                  cell_count=len(centroids))
 
@@ -63,7 +66,7 @@ def match(
     weights: dict[str, float] | None = None,
     *,
     weights_column: str | None = None,
-    candidate_k: int = CANDIDATE_K,
+    candidate_k: int | None = None,
     top_n: int = TOP_N,
     use_skill_years: bool = False,
     centroids=None,
@@ -75,9 +78,10 @@ def match(
 
     ``requirements``: one row per ``requirement_id`` with ``vec``; ``profiles``: ``build_profiles`` output
     or its stored table; ``vectors``: unit vectors of live employees (with ``cell`` for an IVF search).
-    ``candidate_k`` bounds the pool before rule scoring, so no more than that many can be returned.
+    ``candidate_k`` is the pool before rule scoring: 50, or ``top_n`` where more are wanted; a pool below
+    ``top_n`` is an error.
     """
-    check_arguments(top_n, candidate_k)
+    candidate_k = pool_size(top_n, candidate_k)
     pool = candidates(requirements, vectors, candidate_k, centroids=centroids, nprobe=nprobe, options=options,
                       vector_count=vector_count)
     scored = score_pairs(pool, profiles, requirements, weights, weights_column=weights_column,

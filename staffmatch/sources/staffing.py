@@ -87,10 +87,11 @@ def employees(spark: SparkSession, sf_dir: str, summaries: bool = True) -> DataF
 
 
 def employee_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of the customers that have one: ``employee_id, vector_id, vec``."""
+    """A vector for every customer, shared by customers whose numbers differ by the number of vectors."""
     customer, embeddings = table(spark, sf_dir, "customer"), table(spark, sf_dir, "embeddings")
+    n_vectors = embeddings.select(F.count("*")).scalar()
     eid = employee_id(F.col("c_custkey"))
-    return customer.join(embeddings, F.col("c_custkey") == F.col("vec_id")).select(
+    return customer.withColumn("vec_id", F.col("c_custkey") % n_vectors).join(embeddings, "vec_id").select(
         eid.alias("employee_id"), vx.vector_id(eid).alias("vector_id"), F.col("embedding").alias("vec")
     )
 
@@ -146,8 +147,9 @@ def requirements(spark: SparkSession, sf_dir: str, with_vectors: bool = True) ->
     )
     if not with_vectors:
         return rows
-    embeddings = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("s"), F.col("embedding").alias("vec"))
-    return rows.join(embeddings, "s")
+    embeddings = table(spark, sf_dir, "embeddings")
+    n_vectors = embeddings.select(F.count("*")).scalar()
+    return rows.withColumn("vec_id", F.col("s") % n_vectors).join(embeddings, "vec_id").withColumnRenamed("embedding", "vec").drop("vec_id")
 
 
 def requirement_replies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,7 +103,7 @@ def test_small_sides_and_bad_input(spark, data):
     with pytest.raises(ValueError):
         top_k(queries, queries, 0)
     with pytest.raises(ValueError, match="exceed the broadcast bound"):
-        top_k(queries, queries, 1, options=KnnOptions(plan="broadcast", broadcast_rows=1))
+        top_k(queries, queries, 1, options=KnnOptions(plan="broadcast", broadcast_bytes=1))
     with pytest.raises(ValueError, match="cannot train"):
         ivf.train_centroids(frame(spark, "employee_id", ii[:3], it[:3]), 4)
 
@@ -111,7 +111,7 @@ def test_small_sides_and_bad_input(spark, data):
 def test_large_requirement_side_switches_to_the_grid(spark, data):
     qi, q, ii, it = data
     got = top_k(frame(spark, "requirement_id", qi, q), frame(spark, "employee_id", ii, it), 5,
-                options=KnnOptions(broadcast_rows=10, block_rows=64))
+                options=KnnOptions(broadcast_bytes=10, block_rows=64))
     assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().toString()
     assert rows(got) == brute_force(qi, q, ii, it, 5)
 
