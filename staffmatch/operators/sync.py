@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from ..functions.vectors import vector_id
 
 EMBED_ACTIONS = ["NEW", "CHANGE"]
-BROADCAST_IDS = 1_000_000
 
 
 def label_ids(current: DataFrame, registry: DataFrame, detect_changes: bool = False) -> DataFrame:
@@ -83,27 +82,11 @@ def summarize(labelled: DataFrame) -> DataFrame:
 def only_live(vectors: DataFrame, registry: DataFrame) -> DataFrame:
     """Vectors (``employee_id``, ``version``, ...) of active employees, in the version the registry names.
 
-    Normally few ids are inactive or re-embedded, so the excluded ids are what joins. They are counted
-    first: none at all needs no join, up to ``BROADCAST_IDS`` are broadcast and the large vector table
-    stays where it is, more of them go through a shuffle join.
+    A semi join on both keys: whatever else lies in the vector table, left by an unfinished run or replaced,
+    drops out. The optimizer broadcasts the registry's two columns where it knows them to be small.
     """
-    gone = ~F.col("is_active")
-    renewed = F.col("is_active") & F.col("replaced")
-    counts = registry.agg(F.count_if(gone).alias("gone"), F.count_if(renewed).alias("renewed")).first()
-
-    def sized(ids: DataFrame, n: int) -> DataFrame:
-        return F.broadcast(ids) if n <= BROADCAST_IDS else ids
-
-    if counts["gone"]:
-        excluded = registry.where(gone).select("employee_id")
-        vectors = vectors.join(sized(excluded, counts["gone"]), "employee_id", "left_anti")
-    if counts["renewed"]:
-        newer = registry.where(renewed).select(
-            F.col("employee_id").alias("renewed_id"), F.col("vector_version").alias("live_version")
-        )
-        stale = (F.col("employee_id") == F.col("renewed_id")) & (F.col("version") < F.col("live_version"))
-        vectors = vectors.join(sized(newer, counts["renewed"]), stale, "left_anti")
-    return vectors
+    live = registry.where("is_active").select("employee_id", F.col("vector_version").alias("version"))
+    return vectors.join(live, ["employee_id", "version"], "left_semi")
 
 
 def name_vector_ids(hits: DataFrame, registry: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators.encode import encode_profiles
 from ..operators.profiles import build_profiles
 from ..operators.sync import EMBED_ACTIONS, label_ids, next_registry, only_live, summarize
 from ..schemas import EMBEDDING, REGISTRY
-from ..sources.tables import TableStore, read_or_none
+from ..sources.tables import TableStore, folder_name, read_or_none
 
 
 @dataclass(frozen=True)
@@ -27,11 +27,16 @@ class SyncResult:
 
 
 def registry_name(model: str) -> str:
-    return f"registry/{model}"
+    return f"registry/{folder_name(model)}"
 
 
-def read_registry(store: TableStore, model: str, active_only: bool = False) -> DataFrame:
-    registry = store.read(registry_name(model), REGISTRY)
+def _vector_folder(model: str, version: int) -> tuple[str, str, str]:
+    return "vectors", f"model={folder_name(model)}", f"version={version}"
+
+
+def read_registry(store: TableStore, model: str, active_only: bool = False, version: int | None = None) -> DataFrame:
+    """The published registry, or an earlier version of it."""
+    registry = store.read(registry_name(model), REGISTRY, version)
     if registry is None:
         registry = store.spark.createDataFrame([], REGISTRY)
     return registry.where("is_active") if active_only else registry
@@ -40,9 +45,9 @@ def read_registry(store: TableStore, model: str, active_only: bool = False) -> D
 def sync_embeddings(store: TableStore, employees: DataFrame, encoder, *, detect_changes: bool = False) -> SyncResult:
     """Label all ids, encode only what is new (or changed), then publish.
 
-    Order: registry version written but not visible, vectors written, version published. The labelled
-    registry is read back from storage, so encoding and counting never recompute the join. A run that
-    changes nothing publishes nothing.
+    Order: labels counted, and nothing written if nothing changed; registry version written but not visible,
+    vectors written, version published. Vectors that an unfinished run left under the same version are removed
+    even if this run embeds nothing.
     """
     model, name = encoder.model, registry_name(encoder.model)
     before = store.current(name)
@@ -53,11 +58,14 @@ def sync_embeddings(store: TableStore, employees: DataFrame, encoder, *, detect_
     else:
         current = employees.select("employee_id").distinct()
     labels = label_ids(current, read_registry(store, model), detect_changes)
-    staged = store.stage(name, version, next_registry(labels, model, version))
-    counts = summarize(staged).first().asDict()
+    following = next_registry(labels, model, version).persist()
+    counts = summarize(following).first().asDict()
     touched = sum(counts[c] for c in ("new_count", "changed_count", "deleted_count", "reactivated_count"))
     if touched == 0:
+        following.unpersist()
         return SyncResult(version=before, **counts)
+    staged = store.stage(name, version, following)
+    following.unpersist()
     to_embed = counts["new_count"] + counts["changed_count"]
     if to_embed:
         if to_embed < counts["total_active"]:
@@ -66,19 +74,26 @@ def sync_embeddings(store: TableStore, employees: DataFrame, encoder, *, detect_
         vectors = encode_profiles(profiles, encoder).select(
             "employee_id", vector_id(F.col("employee_id")).alias("vector_id"), "vec"
         )
-        vectors.write.mode("overwrite").parquet(store.path("vectors", f"model={model}", f"version={version}"))
+        vectors.write.mode("overwrite").parquet(store.path(*_vector_folder(model, version)))
+    else:
+        store.delete_folder(*_vector_folder(model, version))
     store.publish(name, version)
     return SyncResult(version=version, **counts)
 
 
-def read_vectors(store: TableStore, model: str, live_only: bool = True) -> DataFrame | None:
-    """Published vectors of a model (partition pruned), only live ones by default; None without any."""
+def published_vectors(store: TableStore, model: str) -> DataFrame | None:
+    """Every published vector of a model (partition pruned), replaced ones included; None without any."""
     rows = read_or_none(store.spark, store.path("vectors"), EMBEDDING)
     version = store.current(registry_name(model))
     if rows is None or version == 0:
         return None
-    rows = rows.where((F.col("model") == model) & (F.col("version") <= version))
-    return only_live(rows, read_registry(store, model)) if live_only else rows
+    return rows.where((F.col("model") == model) & (F.col("version") <= version))
+
+
+def read_vectors(store: TableStore, model: str, live_only: bool = True) -> DataFrame | None:
+    """Published vectors of a model, only live ones by default; None without any."""
+    rows = published_vectors(store, model)
+    return only_live(rows, read_registry(store, model)) if rows is not None and live_only else rows
 
 
 def embedding_sets(store: TableStore) -> DataFrame:
@@ -87,7 +102,7 @@ def embedding_sets(store: TableStore) -> DataFrame:
     if rows is None:
         return store.spark.createDataFrame([], "model string, vector_count bigint, dim int")
     published = F.broadcast(store.log().select(  # one row per model
-        F.regexp_replace("name", "^registry/", "").alias("model"), F.col("version").alias("published")
+        F.url_decode(F.regexp_replace("name", "^registry/", "")).alias("model"), F.col("version").alias("published")
     ).where("published > 0"))
     return (
         rows.join(published, "model").where(F.col("version") <= F.col("published"))

@@ -2,7 +2,8 @@
 
 ``exact`` is a catalog row over the vector table, bounded by the vector version it was made from.
 ``ivf`` stores the vectors by cell (``build=N/part=M/cell=C``) with a small centroid table.
-Either way results are cosine similarities, and employees that left are filtered before the search.
+Either way results are cosine similarities, and employees that left are filtered before the search. A changed
+employee is found by the vector the index holds until the new one is appended.
 """
 
 from __future__ import annotations
@@ -14,10 +15,9 @@ from pyspark.sql import types as T
 from ..functions.vectors import require_dim
 from ..operators import ivf
 from ..operators.knn import KnnOptions
-from ..operators.sync import only_live
 from ..schemas import INDEX_CATALOG
-from ..sources.tables import TableStore
-from .embeddings import read_registry, read_vectors, registry_name
+from ..sources.tables import TableStore, folder_name
+from .embeddings import published_vectors, read_registry, read_vectors, registry_name
 from .match import match
 
 CATALOG = "index_catalog"
@@ -65,35 +65,48 @@ def _put(store: TableStore, index_name: str, row: dict | None) -> None:
     store.publish(CATALOG, version)
 
 
+def _folder(index_name: str, build: int) -> tuple[str, str, str]:
+    return "index", folder_name(index_name), f"build={build}"
+
+
 def _write_cells(store, index_name: str, build: int, part: int, vectors: DataFrame, centroids) -> None:
     """Vectors by cell. The rebalance hint groups rows by cell and splits cells that are too large."""
     (
         ivf.assign_cells(vectors.select("employee_id", "vec", "version"), centroids)
         .hint("rebalance", "cell")
         .write.mode("overwrite").partitionBy("cell")
-        .parquet(store.path("index", index_name, f"build={build}", "cells", f"part={part}"))
+        .parquet(store.path(*_folder(index_name, build), "cells", f"part={part}"))
     )
 
 
 def _cells(store: TableStore, row: Row) -> DataFrame:
-    path = store.path("index", row["index_name"], f"build={row['build']}", "cells")
+    path = store.path(*_folder(row["index_name"], row["build"]), "cells")
     return store.spark.read.schema(_CELL_ROWS).parquet(path).where(F.col("part") < row["parts"])
 
 
 def index_centroids(store: TableStore, row: Row):
-    path = store.path("index", row["index_name"], f"build={row['build']}", "centroids")
+    path = store.path(*_folder(row["index_name"], row["build"]), "centroids")
     return ivf.read_centroids(store.spark.read.parquet(path))
 
 
 def create_index(store: TableStore, index_name: str, model: str, index_type: str = "exact", *,
                  nlist: int = NLIST, nprobe: int = NPROBE, seed: int = 7, centroids=None) -> dict:
-    """Returns ``index_name`` and ``vector_count``. An existing name, an unknown type, missing vectors and
-    vectors of unequal length are errors. ``centroids`` replaces training."""
+    """Returns ``index_name``, ``vector_count`` and ``unpaired``, the active employees without a stored vector.
+
+    An existing name, an unknown type, missing vectors and vectors of unequal length are errors. ``centroids``
+    replaces training; a rebuild then takes the stored ones again.
+    """
     index_type = "exact" if index_type == "flat" else index_type
     if index_type not in INDEX_TYPES:
         raise ValueError(f"unknown index type {index_type!r}; expected one of {INDEX_TYPES}")
     if not read_catalog(store).where(F.col("index_name") == index_name).isEmpty():
         raise ValueError(f"index {index_name!r} exists already; append to it or rebuild it")
+    return _build(store, index_name, model, index_type, nlist, nprobe, None if centroids is not None else seed, centroids)
+
+
+def _build(store: TableStore, index_name: str, model: str, index_type: str, nlist: int, nprobe: int,
+           seed: int | None, centroids) -> dict:
+    """Write a new build, then put its catalog row in the place of any older one."""
     vectors = read_vectors(store, model)
     sizes = None
     if vectors is not None:
@@ -104,17 +117,19 @@ def create_index(store: TableStore, index_name: str, model: str, index_type: str
     vectors = vectors.withColumn("vec", require_dim(F.col("vec"), sizes["dim"]))
     if index_type == "ivf":
         if centroids is None:
-            centroids = ivf.train_centroids(vectors, nlist, seed=seed, vector_count=sizes["n"])
+            centroids = ivf.train_centroids(vectors, nlist, seed=seed)
         nlist = len(centroids)
         ivf.centroid_table(store.spark, centroids).coalesce(1).write.mode("overwrite").parquet(
-            store.path("index", index_name, f"build={build}", "centroids"))
+            store.path(*_folder(index_name, build), "centroids"))
+        store.delete_folder(*_folder(index_name, build), "cells")  # of an unfinished build
         _write_cells(store, index_name, build, 0, vectors, centroids)
     _put(store, index_name, {
         "index_name": index_name, "index_type": index_type, "model": model, "dim": sizes["dim"],
         "nlist": nlist, "nprobe": nprobe, "vector_count": sizes["n"], "build": build, "parts": 1,
-        "vector_version": store.current(registry_name(model)), "created_at": None,
+        "vector_version": store.current(registry_name(model)), "seed": seed, "created_at": None,
     })
-    return {"index_name": index_name, "vector_count": sizes["n"]}
+    active = read_registry(store, model, active_only=True).count()
+    return {"index_name": index_name, "vector_count": sizes["n"], "unpaired": active - sizes["n"]}
 
 
 def missing_vectors(vectors: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -123,52 +138,64 @@ def missing_vectors(vectors: DataFrame, indexed: DataFrame) -> DataFrame:
 
 
 def append_index(store: TableStore, index_name: str, rebuild: bool = False) -> dict:
-    """Add the vectors an index lacks, under its stored centroids, or rebuild it from its stored parameters."""
+    """Add the vectors an index lacks, under its stored centroids, or rebuild it from its stored parameters.
+
+    ``total`` is what a search can find afterwards. A rebuild leaves the old build in use until the new one is
+    complete.
+    """
     row = index_row(store, index_name)
     model, version = row["model"], store.current(registry_name(row["model"]))
     if rebuild:
-        _put(store, index_name, None)
-        made = create_index(store, index_name, model, row["index_type"], nlist=row["nlist"], nprobe=row["nprobe"])
+        given = index_centroids(store, row) if row["index_type"] == "ivf" and row["seed"] is None else None
+        made = _build(store, index_name, model, row["index_type"], row["nlist"], row["nprobe"], row["seed"], given)
+        _delete_build(store, row)
         return {"appended": 0, "total": made["vector_count"]}
-    vectors = read_vectors(store, model)
+    vectors, parts = read_vectors(store, model), row["parts"]
     if row["index_type"] == "exact":
         appended = vectors.where(F.col("version") > row["vector_version"]).count()
-        parts = row["parts"]
     else:
         missing = missing_vectors(vectors, _cells(store, row))
-        parts = row["parts"] + 1
-        _write_cells(store, index_name, row["build"], row["parts"], missing, index_centroids(store, row))
-        appended = _cells(store, Row(**{**row.asDict(), "parts": parts})).where(F.col("part") == row["parts"]).count()
-    total = row["vector_count"] + appended
+        _write_cells(store, index_name, row["build"], parts, missing, index_centroids(store, row))
+        parts += 1
+        appended = _cells(store, Row(**{**row.asDict(), "parts": parts})).where(F.col("part") == parts - 1).count()
+    following = {**row.asDict(), "parts": parts, "vector_version": version}
+    total = index_vectors(store, Row(**following)).count()
     if appended or version != row["vector_version"]:
-        _put(store, index_name, {**row.asDict(), "vector_count": total, "parts": parts, "vector_version": version})
+        _put(store, index_name, following | {"vector_count": total})
     return {"appended": appended, "total": total}
 
 
+def _delete_build(store: TableStore, row: Row) -> None:
+    if row["index_type"] == "ivf":
+        store.delete_folder(*_folder(row["index_name"], row["build"]))
+
+
 def drop_index(store: TableStore, index_name: str) -> None:
     row = index_row(store, index_name)
     _put(store, index_name, None)
-    if row["index_type"] == "ivf":
-        store.delete_folder("index", index_name, f"build={row['build']}")
+    _delete_build(store, row)
 
 
 def index_vectors(store: TableStore, row: Row) -> DataFrame:
-    """Live vectors of an index: ``employee_id, vec`` (+ ``cell``)."""
-    if row["index_type"] == "exact":
-        return read_vectors(store, row["model"]).where(F.col("version") <= row["vector_version"])
-    return only_live(_cells(store, row), read_registry(store, row["model"]))
+    """What an index finds: ``employee_id, vec`` (+ ``cell``) of employees active now, each by the vector that the
+    registry named when the index was made or last appended to."""
+    held = published_vectors(store, row["model"]) if row["index_type"] == "exact" else _cells(store, row)
+    then = read_registry(store, row["model"], version=row["vector_version"]).select(
+        "employee_id", F.col("vector_version").alias("version"))
+    now = read_registry(store, row["model"], active_only=True).select("employee_id")
+    return held.join(then.join(now, "employee_id", "left_semi"), ["employee_id", "version"], "left_semi")
 
 
 def search_index(store: TableStore, index_name: str, requirements: DataFrame, profiles: DataFrame, *,
-                 model: str | None = None, nprobe: int | None = None, options: KnnOptions = KnnOptions(),
+                 model: str, nprobe: int | None = None, options: KnnOptions = KnnOptions(),
                  **match_arguments) -> DataFrame:
-    """``match`` against a stored index. The requirement vectors must come from the index's model and
-    have its dimension; ``nprobe`` overrides the stored one."""
+    """``match`` against a stored index. ``model`` is what the requirement vectors come from; another model or
+    dimension than the index's is an error. ``nprobe`` overrides the stored one."""
     row = index_row(store, index_name)
-    if model is not None and model != row["model"]:
+    if model != row["model"]:
         raise ValueError(f"index {index_name!r} holds vectors of {row['model']!r}, not of {model!r}")
     checked = requirements.withColumn("vec", require_dim(F.col("vec"), row["dim"]))
     if row["index_type"] == "ivf":
-        match_arguments |= {"centroids": index_centroids(store, row), "nprobe": nprobe or row["nprobe"]}
+        match_arguments |= {"centroids": index_centroids(store, row), "nprobe": row["nprobe"] if nprobe is None else nprobe}
     return match(checked, profiles, index_vectors(store, row), options=options,
                  vector_count=row["vector_count"], **match_arguments)

@@ -73,6 +73,7 @@ INDEX_CATALOG = T.StructType([
     T.StructField("build", T.LongType()),
     T.StructField("parts", T.LongType()),
     T.StructField("vector_version", T.LongType()),
+    T.StructField("seed", T.LongType()),
     T.StructField("created_at", T.TimestampType()),
 ])
 

@@ -7,7 +7,8 @@ overwrites only the directory nobody reads. One writer per table is assumed.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -40,17 +41,16 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a temporary one only for local sessions without it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        return tempfile.mkdtemp(prefix="staffmatch-")
-    import uuid
-
+    """A fresh folder under ``spark.checkpoint.dir``, or under the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/staffmatch-{uuid.uuid4().hex}"
 
 
+def folder_name(name: str) -> str:
+    """A name as one path part; Spark's partition discovery turns it back."""
+    return quote(name, safe="")
+
+
 class TableStore:
     """Named versioned tables under one root folder (any file system Spark can write to)."""
 
@@ -85,9 +85,9 @@ class TableStore:
         rows.write.mode("overwrite").parquet(target)
         return self.spark.read.schema(rows.schema).parquet(target)
 
-    def read(self, name: str, schema: T.StructType | None = None) -> DataFrame | None:
-        """The published version, None when there is none."""
-        version = self.current(name)
+    def read(self, name: str, schema: T.StructType | None = None, version: int | None = None) -> DataFrame | None:
+        """The published (or the given) version, None when there is none."""
+        version = self.current(name) if version is None else version
         if version == 0:
             return None
         return read_or_none(self.spark, self.path(name, f"version={version}"), schema)

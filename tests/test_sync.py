@@ -5,6 +5,7 @@ from staffmatch.operators.encode import BatchEncoder, HashingEncoder, LookupEnco
 from staffmatch.operators.profiles import build_profiles
 from staffmatch.plans import embeddings as eb
 from staffmatch.plans import indexes as ix
+from staffmatch.sources.tables import TableStore
 from tests.helpers import employee_rows, employees, requirement, requirements
 
 ENCODER = HashingEncoder(16)
@@ -109,15 +110,15 @@ def test_index_life_cycle(spark, filled):
             ix.create_index(store, *bad)
 
     def both():
-        a, b = (found(ix.search_index(store, n, wanted, profiles, candidate_k=31, top_n=31)) for n in ("flat", "cells"))
+        a, b = (found(ix.search_index(store, n, wanted, profiles, model=ENCODER.model, top_n=31)) for n in ("flat", "cells"))
         assert a == b
         return {r[2] for r in a if r[0] == "R1"}
 
     assert both() == set(ids)
     eb.sync_embeddings(store, people(spark, *ids[1:], "30"), ENCODER)  # 00 left, 30 joined
     assert both() == set(ids[1:])  # the leaver is gone at once, the newcomer waits for the append
-    assert ix.append_index(store, "cells") == {"appended": 1, "total": 31}
-    assert ix.append_index(store, "flat") == {"appended": 1, "total": 31}
+    assert ix.append_index(store, "cells") == {"appended": 1, "total": 30}
+    assert ix.append_index(store, "flat") == {"appended": 1, "total": 30}
     assert both() == {*ids[1:], "30"}
     assert ix.append_index(store, "cells")["appended"] == 0
     assert ix.append_index(store, "cells", rebuild=True)["total"] == 30
@@ -128,14 +129,96 @@ def test_index_life_cycle(spark, filled):
         ix.search_index(store, "flat", wanted, profiles, model="other")
     with pytest.raises(Exception, match="vector dimension must be 16"):
         short = wanted.selectExpr("* EXCEPT (vec)", "slice(vec, 1, 3) AS vec")
-        ix.search_index(store, "flat", short, profiles).collect()
+        ix.search_index(store, "flat", short, profiles, model=ENCODER.model).collect()
     ix.drop_index(store, "cells")
     with pytest.raises(ValueError, match="not in the catalog"):
-        ix.search_index(store, "cells", wanted, profiles)
+        ix.search_index(store, "cells", wanted, profiles, model=ENCODER.model)
     with pytest.raises(ValueError, match="not in the catalog"):
         ix.drop_index(store, "cells")
 
 
+class Dying(TableStore):
+    """A store whose runs end right before they publish."""
+
+    def publish(self, name, version):
+        raise RuntimeError("lost driver")
+
+
+def test_vectors_of_a_lost_run_never_come_alive(spark, store):
+    eb.sync_embeddings(store, people(spark, "a", "b", "c"), ENCODER)
+    with pytest.raises(RuntimeError, match="lost driver"):
+        eb.sync_embeddings(Dying(spark, store.root), people(spark, "a", "b", "c", "x"), ENCODER)
+    assert counts(eb.sync_embeddings(store, people(spark, "a", "b"), ENCODER)) == (0, 1, 0, 2, True)
+    assert sorted(r["employee_id"] for r in eb.read_vectors(store, ENCODER.model).collect()) == ["a", "b"]
+    eb.sync_embeddings(store, people(spark, "a", "b", "x"), ENCODER)
+    assert sorted(r["employee_id"] for r in eb.read_vectors(store, ENCODER.model).collect()) == ["a", "b", "x"]
+
+
+def test_names_may_hold_any_character(spark, store):
+    slashed = HashingEncoder(8)
+    slashed.model = "org/name=1 %"
+    eb.sync_embeddings(store, people(spark, "1", "2"), slashed)
+    eb.sync_embeddings(store, people(spark, "1"), ENCODER)
+    assert set(vectors(store, slashed.model)) == {"1", "2"} and set(vectors(store)) == {"1"}
+    assert [tuple(r) for r in eb.embedding_sets(store).collect()] == [("hashing-tf-16", 1, 16), ("org/name=1 %", 2, 8)]
+    assert ix.create_index(store, "a/b", slashed.model, "ivf", nlist=2)["vector_count"] == 2
+    assert ix.append_index(store, "a/b", rebuild=True)["total"] == 2
+
+
+def test_nothing_is_written_when_nothing_changed(spark, store, monkeypatch):
+    eb.sync_embeddings(store, people(spark, "1"), ENCODER)
+    monkeypatch.setattr(store, "stage", None)
+    assert eb.sync_embeddings(store, people(spark, "1"), ENCODER).version == 1
+
+
+@pytest.mark.parametrize("kind", ["exact", "ivf"])
+def test_a_changed_employee_stays_in_the_index(spark, store, kind):
+    eb.sync_embeddings(store, people(spark, "1", "2", "3"), ENCODER, detect_changes=True)
+    assert ix.create_index(store, "i", ENCODER.model, kind, nlist=2)["unpaired"] == 0
+    old = vectors(store)
+    moved = people(spark, "1", "3").unionByName(people(spark, "2", domain="Retail"))
+    eb.sync_embeddings(store, moved, ENCODER, detect_changes=True)
+
+    def held():
+        return {r["employee_id"]: r["vec"] for r in ix.index_vectors(store, ix.index_row(store, "i")).collect()}
+
+    assert held() == {k: v[0] for k, v in old.items()}
+    assert ix.append_index(store, "i") == {"appended": 1, "total": 3}
+    assert held() == {k: v[0] for k, v in vectors(store).items()} and ix.index_row(store, "i")["vector_count"] == 3
+
+
+def test_a_failed_rebuild_leaves_the_index_as_it_was(spark, filled):
+    store, ids = filled
+    ix.create_index(store, "cells", ENCODER.model, "ivf", nlist=4, seed=11)
+    row = ix.index_row(store, "cells")
+    with pytest.raises(RuntimeError, match="lost driver"):
+        ix.append_index(Dying(spark, store.root), "cells", rebuild=True)
+    assert ix.index_row(store, "cells") == row and ix.index_vectors(store, row).count() == 30
+    ix.append_index(store, "cells", rebuild=True)
+    again = ix.index_row(store, "cells")
+    assert again["seed"] == 11 and again["build"] > row["build"]
+    assert (ix.index_centroids(store, again) == ix.index_centroids(store, again)).all() and ix.index_vectors(store, again).count() == 30
+
+
+def test_an_encoder_reads_each_requirement_once(spark, filled):
+    store, ids = filled
+    calls = spark.sparkContext.accumulator(0)
+
+    def load():
+        def encode(texts):
+            calls.add(len(texts))
+            return np.ones((len(texts), 16))
+        return encode
+
+    encoder = BatchEncoder("counted", 16, load)
+    wanted = encoder.encode(requirements(spark, *[requirement(f"R{i}") for i in range(10)]).withColumn("text", requirement_text()))
+    eb.sync_embeddings(store, people(spark, *ids), encoder)
+    calls.value = 0
+    from staffmatch.plans.match import candidates
+
+    assert candidates(wanted, eb.read_vectors(store, "counted"), 5).count() == 50 and calls.value == 10
+
+
 def requirement_text():
     from staffmatch.functions.text import requirement_embedding_text
 
