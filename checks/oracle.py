@@ -22,8 +22,10 @@ CTES["employee_skill"] = """
 SELECT p.*,
        (l_orderkey*8 + l_linenumber)*1048576
          + (l_partkey*7919 + l_suppkey*104729 + CAST(l_quantity AS BIGINT)*15485863)%1048573 AS row_seq,
-       p_brand AS skill, p_type AS skill_category,
-       CAST(1 + CAST(l_quantity AS BIGINT)%12 AS DOUBLE) AS skill_experience_years
+       CASE l_suppkey%41 WHEN 0 THEN '' WHEN 1 THEN '  ' WHEN 2 THEN concat(' ', p_brand, '  ') WHEN 3 THEN upper(p_brand)
+            ELSE p_brand END AS skill,
+       CASE WHEN l_suppkey%7 <> 6 THEN p_type END AS skill_category,
+       CAST(1 + CAST(l_quantity AS BIGINT)%12 AS DOUBLE) + CASE WHEN l_suppkey%5 = 4 THEN 0.5 ELSE 0 END AS skill_experience_years
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 JOIN part ON l_partkey = p_partkey
 JOIN people p ON o_custkey = p.k"""
@@ -43,10 +45,14 @@ CTES["skill_last"] = """
 SELECT employee_id, lower(trim(skill)) AS skill_key, arg_max(skill_experience_years, row_seq) AS years
 FROM employee_skill WHERE skill <> '' GROUP BY 1, 2"""
 
-CTES["skill_first"] = """
+def _number(value: str) -> str:
+    return f"CASE WHEN {value} = floor({value}) THEN CAST(CAST({value} AS BIGINT) AS VARCHAR) ELSE CAST({value} AS VARCHAR) END"
+
+
+CTES["skill_first"] = f"""
 SELECT employee_id, lower(trim(skill)) AS skill_key, min(row_seq) AS first_seq,
-       concat('- Skill: ', arg_min(trim(skill), row_seq), ' | Category: ', arg_min(skill_category, row_seq),
-              ' | Experience: ', CAST(arg_min(CAST(skill_experience_years AS BIGINT), row_seq) AS VARCHAR), ' years') AS line
+       concat('- Skill: ', arg_min(trim(skill), row_seq), ' | Category: ', arg_min(coalesce(skill_category, ''), row_seq),
+              ' | Experience: ', arg_min({_number('skill_experience_years')}, row_seq), ' years') AS line
 FROM employee_skill WHERE trim(skill) <> '' GROUP BY 1, 2"""
 
 CTES["skill_list"] = """
@@ -269,6 +275,8 @@ FROM requirement r LEFT JOIN (
   FROM mandatory GROUP BY 1) m USING (requirement_id)
 LEFT JOIN optional o USING (requirement_id)"""
 
+CTES["requirement_display"] = _DISPLAY_TEXT
+
 _PARSED = """
 SELECT r.requirement_id, project_description, r.domain, project_criticality, project_duration_months,
   required_bandwidth_percentage, minimum_overall_experience_years, coalesce(m.skills, '') AS mandatory,
@@ -279,7 +287,7 @@ FROM requirement r LEFT JOIN (
 LEFT JOIN optional o USING (requirement_id) WHERE r.s%10 NOT IN (8, 9)"""
 
 _INGEST_COLUMNS = """employee_id, row_seq, employee_name, domain, domain_experience_years, total_experience_years,
-       current_bandwidth_percent, skill, skill_category, skill_experience_years"""
+       current_bandwidth_percent, skill, coalesce(skill_category, '') AS skill_category, skill_experience_years"""
 
 _KNN = f"SELECT requirement_id, employee_id, CAST(candidate_rank AS INTEGER) AS candidate_rank, {_similarity4()} FROM "
 
@@ -288,7 +296,7 @@ def _score_sql(name: str) -> str:
     return f"SELECT requirement_id, employee_id, {name} FROM ruled"
 
 
-_PROMPT = """
+_PROMPT = f"""
 SELECT r.requirement_id, r.employee_id, r.rank, concat(
   'Wanted:', chr(10), t.embedding_text, chr(10), chr(10), 'Offered:', chr(10), p.profile_text, chr(10), chr(10),
   'Findings:', chr(10), '- Place ', CAST(r.rank AS VARCHAR), ' of ', CAST(r.total_matches AS VARCHAR), ', score ',
@@ -301,7 +309,7 @@ FROM ranked r JOIN profile p USING (employee_id) JOIN requirement_text t USING (
 LEFT JOIN (
   SELECT c.requirement_id, c.employee_id, count(*) AS wanted, count(*) FILTER (l.years IS NULL) AS absent,
          string_agg(lower(trim(m.skill)), ', ' ORDER BY m.j) FILTER (l.years IS NULL) AS missing,
-         string_agg(concat(trim(m.skill), ' (', CAST(CAST(l.years AS BIGINT) AS VARCHAR), ' of ', CAST(m.years AS VARCHAR), ')'), ', ' ORDER BY m.j)
+         string_agg(concat(trim(m.skill), ' (', {_number('l.years')}, ' of ', CAST(m.years AS VARCHAR), ')'), ', ' ORDER BY m.j)
            FILTER (l.years < m.years) AS short
   FROM candidate c JOIN mandatory m USING (requirement_id)
   LEFT JOIN skill_last l ON l.employee_id = c.employee_id AND l.skill_key = lower(trim(m.skill)) GROUP BY 1, 2) f
@@ -309,12 +317,77 @@ LEFT JOIN (
 WHERE r.rank <= 10"""
 
 
+def _words(source: str, key: str, text: str) -> str:
+    """Unit vectors of hashed word counts, one row per bucket; components are kept as 4-byte floats."""
+    return f"""
+SELECT {key}, b, CAST(CAST(n/sqrt(sum(n*n) OVER (PARTITION BY {key})) AS FLOAT) AS DOUBLE) AS x FROM (
+  SELECT {key}, CAST(concat('0x', substr(sha256(w), 1, 15)) AS BIGINT)%256 AS b, CAST(count(*) AS DOUBLE) AS n
+  FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[^\\x20\\x09-\\x0D]+')) AS w FROM {source}) GROUP BY 1, 2)"""
+
+
+CTES["profile_words"] = _words("profile", "employee_id", "profile_text")
+CTES["requirement_words"] = _words("requirement_text", "requirement_id", "embedding_text")
+CTES["word_candidate"] = """
+SELECT *, row_number() OVER (PARTITION BY requirement_id ORDER BY similarity DESC, employee_id) AS candidate_rank
+FROM (SELECT requirement_id, employee_id, floor(sum(r.x*p.x)*1000000000.0 + 0.5)/1000000000.0 AS similarity
+      FROM requirement_words r JOIN profile_words p USING (b) GROUP BY 1, 2)
+QUALIFY candidate_rank <= 50"""
+
+
+def _letters(source: str, key: str, text: str) -> str:
+    return f"""
+SELECT {key}, [CAST(CAST(x/sqrt(list_inner_product(v, v)) AS FLOAT) AS DOUBLE) FOR x IN v] AS vec FROM (
+  SELECT {key}, [CAST(length({text}) - length(replace({text}, c, '')) AS DOUBLE) FOR c IN string_split('abcdefghijklmnopqrstuvwxyz', '')] AS v
+  FROM {source})"""
+
+
+CTES["profile_letters"] = _letters("profile", "employee_id", "profile_text")
+CTES["requirement_letters"] = _letters("requirement_text", "requirement_id", "embedding_text")
+CTES["letter_candidate"] = """
+SELECT *, row_number() OVER (PARTITION BY requirement_id ORDER BY similarity DESC, employee_id) AS candidate_rank
+FROM (SELECT r.requirement_id, p.employee_id, floor(list_inner_product(r.vec, p.vec)*1000000000.0 + 0.5)/1000000000.0 AS similarity
+      FROM requirement_letters r, profile_letters p)
+QUALIFY candidate_rank <= 50"""
+
+# The text columns of the CSV files and what is wrong with a row; numbers beyond those checks are in order.
+CTES["csv_row"] = """
+SELECT *, CASE WHEN k%19 = 3 THEN '' ELSE employee_id END AS id, concat(employee_name, ' "of"', chr(10), 'two, lines') AS full_name,
+  concat_ws('; ', CASE WHEN k%19 = 3 THEN 'employee_id is empty' END,
+    CASE WHEN k%17 = 5 THEN 'domain_experience_years is not a number' END,
+    CASE WHEN k%23 = 7 THEN 'total_experience_years is not a number' END,
+    CASE WHEN k%29 = 1 THEN 'skill_experience_years is not a number' END,
+    CASE WHEN k%31 = 2 THEN 'current_bandwidth_percent is not a number' END) AS reason
+FROM employee_skill"""
+
+_INDEXES = "(SELECT unnest(['all', 'cells']) AS index_name)"
+
 BODIES = {
+    "csv_load": "SELECT id AS employee_id, full_name AS employee_name, skill, coalesce(skill_category, '') AS skill_category, reason, "
+                "row_number() OVER (PARTITION BY k ORDER BY row_seq) AS place FROM csv_row",
+    "requirement_files": "SELECT display_text || chr(10) AS requirement_text FROM requirement_display",
+    "encode_default": "SELECT requirement_id, employee_id, CAST(candidate_rank AS INTEGER) AS candidate_rank, "
+                      "floor(similarity*10000.0 + 0.5)/10000.0 AS similarity FROM word_candidate",
+    "encode_batch": "SELECT requirement_id, employee_id, CAST(candidate_rank AS INTEGER) AS candidate_rank, "
+                    "floor(similarity*10000.0 + 0.5)/10000.0 AS similarity FROM letter_candidate",
+    "sync_after_failure": """SELECT CAST(step AS INTEGER) AS step, employee_id, CAST(1 AS BIGINT) AS vectors FROM active,
+        (SELECT unnest([2, 3]) AS step) WHERE step = 3 OR c_nationkey NOT IN (0, 1)""",
+    "index_after_append": f"""SELECT step, index_name, employee_id,
+        CAST(CASE step WHEN 'before' THEN (SELECT count(*) FROM vector WHERE c_nationkey <> 0)
+             ELSE (SELECT count(*) FROM vector WHERE c_nationkey <> 1) END AS BIGINT) AS stored_total
+        FROM vector, (SELECT unnest(['before', 'after']) AS step), {_INDEXES}
+        WHERE c_nationkey <> 1 AND (step = 'after' OR c_nationkey <> 0)""",
+    "index_after_change": f"""SELECT step, index_name, employee_id,
+        floor(vec[1]*CASE WHEN step = 'after' AND c_nationkey = 2 THEN -1 ELSE 1 END*10000.0 + 0.5)/10000.0 AS first_component,
+        (SELECT count(*) FROM vector) AS stored_total
+        FROM vector, (SELECT unnest(['before', 'after']) AS step), {_INDEXES}""",
+    "index_after_rebuild": f"""SELECT index_name, employee_id, (SELECT count(*) FROM vector WHERE c_nationkey <> 1) AS stored_total,
+        CAST(CASE index_name WHEN 'cells' THEN 20 ELSE 20 END AS INTEGER) AS nlist
+        FROM vector, {_INDEXES} WHERE c_nationkey <> 1""",
+    "index_after_drop": "SELECT 'all' AS index_name, (SELECT count(*) FROM vector WHERE c_nationkey <> 1) AS vector_count",
     "ingest_clean": f"SELECT {_INGEST_COLUMNS} FROM employee_skill WHERE c_acctbal >= 0",
     "ingest_quarantine": "SELECT employee_id, row_seq, skill, 'total_experience_years is not a number' AS reason "
                          "FROM employee_skill WHERE c_acctbal < 0",
-    "snapshot_roundtrip": "SELECT domain, count(*) AS rows_loaded, count(DISTINCT employee_id) AS employees "
-                          "FROM employee_skill WHERE c_acctbal >= 0 GROUP BY domain",
+    "snapshot_roundtrip": f"SELECT {_INGEST_COLUMNS} FROM employee_skill WHERE c_acctbal >= 0",
     "employee_header": "SELECT employee_id, employee_name, domain, domain_experience_years, total_experience_years, "
                        "current_bandwidth_percent, past_project_execution_summary FROM header JOIN summaries USING (k)",
     "employee_skill_list": "SELECT employee_id, skills FROM skill_list",
@@ -328,7 +401,7 @@ BODIES = {
     "requirement_errors": "SELECT requirement_id, CASE s%10 WHEN 9 THEN 'JSON parsing failed' ELSE 'Extraction failed' END AS error "
                           "FROM requirement WHERE s%10 IN (8, 9)",
     "requirement_embedding_text": "SELECT requirement_id, embedding_text FROM requirement_text",
-    "requirement_display_text": _DISPLAY_TEXT,
+    "requirement_display_text": "SELECT requirement_id, display_text FROM requirement_display",
     "sync_labels": "SELECT step, employee_id, action, is_active FROM labelled",
     "registry_after_sync": f"SELECT employee_id, {_VECTOR_ID} AS vector_id, "
                            "CAST(CASE WHEN action = 'NEW' THEN 2 ELSE 1 END AS BIGINT) AS vector_version, is_active "
@@ -340,8 +413,8 @@ BODIES = {
         FROM labelled GROUP BY step""",
     "vector_id_lookup": f"SELECT requirement_id, employee_id, {_VECTOR_ID} AS vector_id FROM candidate",
     "vectors_normalized": """SELECT vec_id, floor(sqrt(list_inner_product(unit, unit))*10000.0 + 0.5)/10000.0 AS norm,
-        floor(unit[1]*10000.0 + 0.5)/10000.0 AS first_component
-        FROM (SELECT vec_id, [x/sqrt(list_inner_product(v, v)) FOR x IN v] AS unit FROM
+        array_to_string([CAST(CAST(floor(x*10000.0 + 0.5) AS BIGINT) AS VARCHAR) FOR x IN unit], ' ') AS components
+        FROM (SELECT vec_id, [CAST(CAST(x/sqrt(list_inner_product(v, v)) AS FLOAT) AS DOUBLE) FOR x IN v] AS unit FROM
               (SELECT vec_id, [CAST(x*3 AS DOUBLE) FOR x IN embedding] AS v FROM embeddings))""",
     "pair_similarity": "SELECT q.requirement_id, p.employee_id, "
                        "floor(list_inner_product(q.vec, CAST(e.embedding AS DOUBLE[]))*10000.0 + 0.5)/10000.0 AS similarity "
@@ -354,10 +427,10 @@ BODIES = {
     "ivf_search_grid": _KNN + "probed",
     "ivf_full_probe_equals_exact": _KNN + "candidate",
     "index_append_missing": "SELECT employee_id, cell FROM celled WHERE c_nationkey = 0",
-    "index_catalog": """SELECT index_name, index_type, 'table-64' AS model, CAST(64 AS INTEGER) AS dim, CAST(20 AS INTEGER) AS nlist,
+    "index_catalog": """SELECT index_name, index_type, 'table/64' AS model, CAST(64 AS INTEGER) AS dim, CAST(20 AS INTEGER) AS nlist,
         CAST(nprobe AS INTEGER) AS nprobe, (SELECT count(*) FROM vector) AS vector_count
         FROM (VALUES ('all', 'exact', 10), ('cells', 'ivf', 20)) AS t(index_name, index_type, nprobe)""",
-    "embedding_sets": "SELECT 'table-64' AS model, count(*) AS vector_count, CAST(max(len(vec)) AS INTEGER) AS dim FROM vector",
+    "embedding_sets": "SELECT 'table/64' AS model, count(*) AS vector_count, CAST(max(len(vec)) AS INTEGER) AS dim FROM vector",
     "stored_index_match": "SELECT * FROM match_rows",
     "skill_coverage": _score_sql("skill_coverage"),
     "skill_experience": _score_sql("skill_experience_score"),

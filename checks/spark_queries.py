@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from staffmatch.functions import numeric as nm
@@ -12,7 +13,7 @@ from staffmatch.functions import vectors as vx
 from staffmatch.operators import ivf
 from staffmatch.operators import profiles as pf
 from staffmatch.operators import sync as sy
-from staffmatch.operators.encode import HashingEncoder, LookupEncoder, encode_profiles, encode_requirements
+from staffmatch.operators.encode import BatchEncoder, HashingEncoder, LookupEncoder, encode_requirements
 from staffmatch.operators.knn import KnnOptions
 from staffmatch.operators.scoring import score_pairs
 from staffmatch.plans import embeddings as eb
@@ -21,8 +22,8 @@ from staffmatch.plans.explain import attach_explanations, explanation_prompts
 from staffmatch.plans.match import candidates, match, rank_pairs
 from staffmatch.schemas import EMPLOYEE_SKILL, REGISTRY
 from staffmatch.sources import staffing as st
-from staffmatch.sources.employees import read_snapshot, save_snapshot, typed_employees
-from staffmatch.sources.requirements import parse_requirements, split_by_weights
+from staffmatch.sources.employees import read_employee_csv, read_snapshot, save_snapshot, typed_employees
+from staffmatch.sources.requirements import parse_requirements, read_requirement_texts, split_by_weights
 from staffmatch.sources.tables import TableStore, work_folder
 from staffmatch.streaming.requirements import read_reply_stream, stream_matches
 from staffmatch.streaming.snapshots import read_manifest_stream, stream_sync
@@ -96,9 +97,45 @@ def snapshot_roundtrip(spark, sf):
     store = TableStore(spark, work_folder(spark))
     clean, _ = typed_employees(_untyped(spark, sf))
     save_snapshot(store, clean)
-    return read_snapshot(store).groupBy("domain").agg(
-        F.count("*").alias("rows_loaded"), F.count_distinct("employee_id").alias("employees")
-    )
+    return read_snapshot(store).drop("past_project_execution_summary")
+
+
+def csv_load(spark, sf):
+    """Employee rows through CSV files in the order of their names: quotes, line breaks, a nameless column, and
+    every reason to set a row aside."""
+    rows = st.employees(spark, sf, False).withColumn("k", F.substring("employee_id", 4, 12).cast("bigint"))
+    k, text = F.col("k"), lambda c: F.col(c).cast("string")
+    table = rows.select(
+        "row_seq", F.monotonically_increasing_id().alias("Unnamed: 0"),
+        F.when(k % 19 != 3, F.col("employee_id")).alias("employee_id"),
+        F.concat("employee_name", F.lit(' "of"\ntwo, lines')).alias("employee_name"), "domain",
+        F.when(k % 17 != 5, text("domain_experience_years")).otherwise("some").alias("domain_experience_years"),
+        F.when(k % 23 != 7, text("total_experience_years")).otherwise("NaN").alias("total_experience_years"),
+        F.when(k % 31 != 2, text("current_bandwidth_percent")).alias("current_bandwidth_percent"),
+        "skill", "skill_category",
+        F.when(k % 29 != 1, text("skill_experience_years")).otherwise("").alias("skill_experience_years"),
+        text("k").alias("source_key"))
+    folder = f"{work_folder(spark)}/csv"
+    # Spaces around a skill are part of it; a header in every file; files are numbered in row order.
+    (table.repartitionByRange(3, "row_seq").sortWithinPartitions("row_seq").drop("row_seq")
+     .write.option("header", True).option("escape", '"').option("quoteAll", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder))
+    raw = read_employee_csv(spark, folder)
+    if raw.columns.count("row_seq") != 1 or any(c.startswith("Unnamed") for c in raw.columns):
+        raise ValueError(f"unexpected columns {raw.columns}")
+    # The key goes along in a text column that ingest keeps.
+    clean, bad = typed_employees(raw.withColumn("past_project_execution_summary", F.col("source_key")))
+    both = clean.withColumn("reason", F.lit("")).unionByName(bad)
+    place = F.row_number().over(W.partitionBy("past_project_execution_summary").orderBy("row_seq"))
+    return both.select(F.coalesce("employee_id", F.lit("")).alias("employee_id"), "employee_name", "skill", "skill_category", "reason", place.cast("bigint").alias("place"))
+
+
+def requirement_files(spark, sf):
+    """Requirement texts written as files, one each, and read back."""
+    folder = f"{work_folder(spark)}/texts"
+    texts = st.requirements(spark, sf, False).select("requirement_id", tx.requirement_display_text().alias("value"))
+    texts.repartition("requirement_id").write.partitionBy("requirement_id").text(folder)
+    return read_requirement_texts(spark, folder).select("requirement_text")
 
 
 def employee_header(spark, sf):
@@ -223,7 +260,7 @@ def vectors_normalized(spark, sf):
     return rows.select(
         "vec_id",
         nm.round_half_up(vx.l2_norm(F.col("vec")), 4).alias("norm"),
-        nm.round_half_up(F.get("vec", F.lit(0)).cast("double"), 4).alias("first_component"),
+        F.array_join(F.transform("vec", lambda x: F.floor(x.cast("double") * 10000.0 + 0.5).cast("string")), " ").alias("components"),
     )
 
 
@@ -317,6 +354,107 @@ def stored_index_match(spark, sf):
     return _flat_match(ix.search_index(store, "cells", st.requirements(spark, sf), _profiles(spark, sf), model=st.MODEL))
 
 
+class _DyingStore(TableStore):
+    """A store whose run ends right before it publishes."""
+
+    def publish(self, name, version):
+        raise RuntimeError("the run ends here")
+
+
+def _office_people(spark, sf):
+    people = st.employees(spark, sf, False).join(st.active_vectors(spark, sf).select("employee_id"), "employee_id", "left_semi")
+    offices = st.table(spark, sf, "customer").select(st.employee_id(F.col("c_custkey")).alias("employee_id"), "c_nationkey")
+    return people.join(offices, "employee_id")
+
+
+def sync_after_failure(spark, sf):
+    """Office 0 joins in a run that dies; then office 1 leaves; then both are there. Live vectors per person."""
+    folder = work_folder(spark)
+    store, people = TableStore(spark, f"{folder}/store"), _office_people(spark, sf)
+    encoder = LookupEncoder(st.MODEL, st.active_vectors(spark, sf))
+    eb.sync_embeddings(store, people.where("c_nationkey <> 0"), encoder)
+    try:
+        eb.sync_embeddings(_DyingStore(spark, store.root), people, encoder)
+    except RuntimeError:
+        pass
+    seen = None
+    for step, rows in ((2, people.where("c_nationkey NOT IN (0, 1)")), (3, people)):
+        eb.sync_embeddings(store, rows, encoder)
+        live = eb.read_vectors(store, st.MODEL).groupBy("employee_id").agg(F.count("*").alias("vectors"))
+        live.select(F.lit(step).alias("step"), "*").write.parquet(f"{folder}/step-{step}")
+        part = spark.read.parquet(f"{folder}/step-{step}")
+        seen = part if seen is None else seen.unionByName(part)
+    return seen
+
+
+def _two_indexes(store, spark, sf):
+    ix.create_index(store, "all", st.MODEL, "exact")
+    ix.create_index(store, "cells", st.MODEL, "ivf", centroids=_table_centroids(spark, sf), nprobe=20)
+
+
+def _members(store, folder, step, *columns):
+    """What both indexes find, written down, with the total in the catalog."""
+    out = None
+    for name in ("all", "cells"):
+        row = ix.index_row(store, name)
+        part = ix.index_vectors(store, row).select(
+            F.lit(step).alias("step"), F.lit(name).alias("index_name"), "employee_id", *columns,
+            F.lit(row["vector_count"]).cast("bigint").alias("stored_total"), F.lit(row["nlist"]).alias("nlist"))
+        out = part if out is None else out.unionByName(part)
+    out.write.parquet(f"{folder}/{step}")
+    return store.spark.read.parquet(f"{folder}/{step}")
+
+
+def _appended_store(spark, sf):
+    """Both indexes without office 0; then office 0 joins, office 1 leaves, and the indexes are appended to."""
+    folder = work_folder(spark)
+    store, people = TableStore(spark, f"{folder}/store"), _office_people(spark, sf)
+    encoder = LookupEncoder(st.MODEL, st.active_vectors(spark, sf))
+    eb.sync_embeddings(store, people.where("c_nationkey <> 0"), encoder)
+    _two_indexes(store, spark, sf)
+    eb.sync_embeddings(store, people.where("c_nationkey <> 1"), encoder)
+    before = _members(store, folder, "before")
+    for name in ("all", "cells"):
+        ix.append_index(store, name)
+    return store, folder, before
+
+
+def index_after_append(spark, sf):
+    store, folder, before = _appended_store(spark, sf)
+    return before.unionByName(_members(store, folder, "after")).drop("nlist")
+
+
+def index_after_rebuild(spark, sf):
+    store, folder, _ = _appended_store(spark, sf)
+    for name in ("all", "cells"):
+        ix.append_index(store, name, rebuild=True)
+    return _members(store, folder, "rebuilt").drop("step")
+
+
+def index_after_drop(spark, sf):
+    store, _, _ = _appended_store(spark, sf)
+    ix.drop_index(store, "cells")
+    return ix.read_catalog(store).select("index_name", "vector_count")
+
+
+def index_after_change(spark, sf):
+    """Office 2 changes its domain and gets turned vectors: the indexes serve the old ones until appended to."""
+    folder = work_folder(spark)
+    store, people, vectors = TableStore(spark, f"{folder}/store"), _office_people(spark, sf), st.active_vectors(spark, sf)
+    moved = F.col("c_nationkey") == 2
+    eb.sync_embeddings(store, people, LookupEncoder(st.MODEL, vectors), detect_changes=True)
+    _two_indexes(store, spark, sf)
+    turned = vectors.join(people.where(moved).select("employee_id").distinct().withColumn("moved", F.lit(True)), "employee_id", "left").withColumn(
+        "vec", F.when(F.col("moved"), F.transform("vec", lambda x: -x)).otherwise(F.col("vec")))
+    eb.sync_embeddings(store, people.withColumn("domain", F.when(moved, F.lit("NEW")).otherwise(F.col("domain"))),
+                       LookupEncoder(st.MODEL, turned), detect_changes=True)
+    first = nm.round_half_up(F.get("vec", F.lit(0)).cast("double"), 4).alias("first_component")
+    before = _members(store, folder, "before", first)
+    for name in ("all", "cells"):
+        ix.append_index(store, name)
+    return before.unionByName(_members(store, folder, "after", first)).drop("nlist")
+
+
 # ---- scores and matches --------------------------------------------------------------------
 
 def final_rank(spark, sf):
@@ -388,15 +526,26 @@ def explanations(spark, sf):
 
 # ---- encoders and streams ------------------------------------------------------------------
 
+def _encoded_candidates(spark, sf, encoder):
+    """Every profile through the encoder into the store, every requirement against what is stored."""
+    store = TableStore(spark, work_folder(spark))
+    eb.sync_embeddings(store, st.employees(spark, sf), encoder)
+    return _knn_columns(candidates(encode_requirements(st.requirements(spark, sf, False), encoder),
+                                   eb.read_vectors(store, encoder.model)))
+
+
 def encode_default(spark, sf):
-    """Similarity of each requirement text to the profile text of the employee of the same number."""
-    encoder = HashingEncoder(256)
-    people = encode_profiles(_profiles(spark, sf, True), encoder).withColumnRenamed("vec", "employee_vec")
-    wanted = encode_requirements(st.requirements(spark, sf, False), encoder)
-    return wanted.withColumn("employee_id", st.employee_id(F.col("s"))).join(people, "employee_id").select(
-        "requirement_id", "employee_id",
-        nm.round_half_up(vx.inner_product(F.col("vec"), F.col("employee_vec")), 4).alias("similarity"),
-    )
+    return _encoded_candidates(spark, sf, HashingEncoder(256))
+
+
+def encode_batch(spark, sf):
+    """A batch encoder of the caller, here the counts of the small letters a to z."""
+    def load():
+        import numpy
+
+        return lambda texts: numpy.array([[t.count(chr(97 + i)) for i in range(26)] for t in texts], dtype=float)
+
+    return _encoded_candidates(spark, sf, BatchEncoder("letters/26", 26, load))
 
 
 def stream_match(spark, sf):
@@ -436,6 +585,8 @@ QUERIES = {
     "ingest_clean": ingest_clean,
     "ingest_quarantine": ingest_quarantine,
     "snapshot_roundtrip": snapshot_roundtrip,
+    "csv_load": csv_load,
+    "requirement_files": requirement_files,
     "employee_header": employee_header,
     "employee_skill_list": employee_skill_list,
     "employee_skill_years": employee_skill_years,
@@ -465,6 +616,11 @@ QUERIES = {
     "index_catalog": index_catalog,
     "embedding_sets": embedding_sets,
     "stored_index_match": stored_index_match,
+    "sync_after_failure": sync_after_failure,
+    "index_after_append": index_after_append,
+    "index_after_change": index_after_change,
+    "index_after_rebuild": index_after_rebuild,
+    "index_after_drop": index_after_drop,
     "skill_coverage": _score("skill_coverage"),
     "skill_experience": _score("skill_experience_score"),
     "domain_score": _score("domain_score"),
@@ -483,6 +639,7 @@ QUERIES = {
     "explanation_prompts": explanations,
     "match_with_explanations": match_with_explanations,
     "encode_default": encode_default,
+    "encode_batch": encode_batch,
     "stream_match": stream_match,
     "stream_sync": stream_sync_query,
 }

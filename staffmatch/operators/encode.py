@@ -6,23 +6,32 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import hash60
+
 
 class HashingEncoder:
-    """Unit-length hashed term frequencies; JVM side, deterministic, needs no model file."""
+    """Unit-length counts of hashed words; JVM side, deterministic, needs no model file.
+
+    A word is a run of characters other than ASCII white space, in lower case; its bucket is ``hash60`` modulo
+    the dimension, which any SQL engine can compute.
+    """
 
     def __init__(self, dim: int = 256):
         self.dim = dim
-        self.model = f"hashing-tf-{dim}"
+        self.model = f"hashed-words-{dim}"
 
     def encode(self, rows: DataFrame, text: str = "text") -> DataFrame:
         """``rows`` with ``text`` replaced by ``vec``."""
-        tokens = Tokenizer(inputCol=text, outputCol="_tokens").transform(rows)
-        counts = HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=self.dim).transform(tokens)
+        words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+        buckets = F.transform(words, lambda w: (hash60(w) % self.dim).cast("string"))
+        counter = CountVectorizerModel.from_vocabulary(
+            [str(i) for i in range(self.dim)], inputCol="_buckets", outputCol="_counts")
+        counts = counter.transform(rows.withColumn("_buckets", buckets))
         unit = Normalizer(inputCol="_counts", outputCol="_unit", p=2.0).transform(counts)
         kept = [c for c in rows.columns if c != text]
         return unit.select(*kept, vector_to_array("_unit", dtype="float32").alias("vec"))

@@ -19,7 +19,8 @@ def read_employee_csv(spark: SparkSession, path: str, multi_line: bool = True) -
     """All columns as strings, nameless columns dropped. Accepts a ``.csv`` file or a directory of them.
 
     With ``multi_line`` values may hold line breaks, but Spark cannot split a file then; for very large
-    files without line breaks inside values, turn it off.
+    files without line breaks inside values, turn it off. Files without a ``row_seq`` column get one by file name
+    and place in the file; several files that may be split need the column.
     """
     leaf = path.rstrip("/").rsplit("/", 1)[-1]
     if "." in leaf and not leaf.lower().endswith(".csv"):
@@ -28,14 +29,26 @@ def read_employee_csv(spark: SparkSession, path: str, multi_line: bool = True) -
         spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
         .option("pathGlobFilter", "*.[cC][sS][vV]").csv(path)
     )
-    return rows.select(*[F.col(f"`{c}`") for c in rows.columns if not _NAMELESS.match(c)])
+    named = [F.col(f"`{c}`") for c in rows.columns if not _NAMELESS.match(c)]
+    files = sorted(rows.inputFiles())
+    if "row_seq" in rows.columns or len(files) < 2:
+        return rows.select(*named)
+    if not multi_line:
+        raise ValueError("several files that may be split need a row_seq column")
+    # A file is read by one task, in order: its number and the task's running number give the place.
+    # The two ways to name a file differ in the slashes after the scheme.
+    plain = [re.sub(":/+", ":/", f) for f in files]
+    numbers = spark.createDataFrame(list(zip(plain, range(len(files)))), "_file string, _number bigint")
+    placed = rows.select(*named, F.regexp_replace(F.col("_metadata.file_path"), ":/+", ":/").alias("_file"),
+                         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    return placed.join(numbers, "_file").withColumn(
+        "row_seq", F.shiftleft("_number", 33) + F.col("_place") + 1).drop("_file", "_number", "_place")
 
 
 def typed_employees(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(clean, quarantine)``: casts by column name, blank texts for nulls, a reason per rejected row.
 
-    ``row_seq`` is taken from the source; without one the scan order of a single file is used, and a
-    row order across several files has to come from the data.
+    ``row_seq`` is taken from the source; without one the scan order of a single file is used.
     """
     if "employee_id" not in rows.columns:
         raise ValueError("employee table has no employee_id column")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as vx
 from .tables import spread
 
-MODEL = "table-64"
+MODEL = "table/64"
 
 
 # Columns in use; a given schema spares the footer-reading job of schema inference.
@@ -74,9 +74,13 @@ def employees(spark: SparkSession, sf_dir: str, summaries: bool = True) -> DataF
         .select(
             "o_custkey",
             line_order.alias("row_seq"),
-            F.col("p_brand").alias("skill"),
-            F.col("p_type").alias("skill_category"),
-            (1 + F.col("l_quantity").cast("bigint") % 12).cast("double").alias("skill_experience_years"),
+            # Some skills are blank, padded or in another case, some categories are missing, some years are half.
+            F.when(F.col("l_suppkey") % 41 == 0, F.lit("")).when(F.col("l_suppkey") % 41 == 1, F.lit("  "))
+            .when(F.col("l_suppkey") % 41 == 2, F.concat(F.lit(" "), "p_brand", F.lit("  ")))
+            .when(F.col("l_suppkey") % 41 == 3, F.upper("p_brand")).otherwise(F.col("p_brand")).alias("skill"),
+            F.when(F.col("l_suppkey") % 7 != 6, F.col("p_type")).alias("skill_category"),
+            ((1 + F.col("l_quantity").cast("bigint") % 12).cast("double") + F.when(F.col("l_suppkey") % 5 == 4, 0.5).otherwise(0.0))
+            .alias("skill_experience_years"),
         )
     )
     return lines.join(people, F.col("o_custkey") == F.col("c_custkey")).select(

@@ -41,7 +41,7 @@ def test_models_are_independent(spark, store):
     eb.sync_embeddings(store, people(spark, "1", "2"), ENCODER)
     assert counts(eb.sync_embeddings(store, people(spark, "2", "3"), other)) == (2, 0, 0, 2, False)
     assert set(vectors(store)) == {"1", "2"} and set(vectors(store, other.model)) == {"2", "3"}
-    assert [tuple(r) for r in eb.embedding_sets(store).collect()] == [("hashing-tf-16", 2, 16), ("hashing-tf-8", 2, 8)]
+    assert [tuple(r) for r in eb.embedding_sets(store).collect()] == [("hashed-words-16", 2, 16), ("hashed-words-8", 2, 8)]
 
 
 def test_changed_profiles_only_when_asked_for(spark, store):
@@ -160,7 +160,7 @@ def test_names_may_hold_any_character(spark, store):
     eb.sync_embeddings(store, people(spark, "1", "2"), slashed)
     eb.sync_embeddings(store, people(spark, "1"), ENCODER)
     assert set(vectors(store, slashed.model)) == {"1", "2"} and set(vectors(store)) == {"1"}
-    assert [tuple(r) for r in eb.embedding_sets(store).collect()] == [("hashing-tf-16", 1, 16), ("org/name=1 %", 2, 8)]
+    assert [tuple(r) for r in eb.embedding_sets(store).collect()] == [("hashed-words-16", 1, 16), ("org/name=1 %", 2, 8)]
     assert ix.create_index(store, "a/b", slashed.model, "ivf", nlist=2)["vector_count"] == 2
     assert ix.append_index(store, "a/b", rebuild=True)["total"] == 2
 
