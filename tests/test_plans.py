@@ -96,4 +96,4 @@ def test_one_large_employee_and_one_large_requirement_side(spark):
 def test_registered_queries_have_matching_names():
     import __spark_entry__ as entry_points
 
-    assert set(entry_points.oracle_sql()) <= set(entry_points.queries()) == set(q.QUERIES)
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries()) >= set(q.QUERIES)
