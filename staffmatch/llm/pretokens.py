@@ -10,7 +10,9 @@ import pyarrow as pa
 from staffmatch.llm.words import binary_array
 
 #: Encodings that a task keeps from batch to batch; later ones are looked up within their batch only.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 250_000
+#: Chunks given to a tokenizer at a time: its results are much larger than the ids in them.
+STEP = 8192
 
 
 def chunks(data: np.ndarray, rows: np.ndarray, cuts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -33,8 +35,10 @@ class ChunkEncoder:
         keys = distinct.to_pylist()
         found = list(map(self.known.get, keys))
         missing = [i for i, ids in enumerate(found) if ids is None]
-        for i, ids in zip(missing, self.encode([keys[i] for i in missing]) if missing else ()):
-            found[i] = np.array(ids, dtype=np.uint32)
+        for low in range(0, len(missing), STEP):
+            part = missing[low:low + STEP]
+            for i, ids in zip(part, self.encode([keys[i] for i in part])):
+                found[i] = np.array(ids, dtype=np.uint32)
         for i in missing[:max(0, self.kept - len(self.known))]:
             self.known[keys[i]] = found[i]
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))

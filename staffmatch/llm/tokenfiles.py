@@ -31,7 +31,7 @@ from staffmatch.llm.words import SPACE, pieces, text_bytes, word_codes
 #: Fixed value: marks a finished file. Its highest byte is zero.
 MAGIC = 0x0031_4E45_4B4F_54
 #: Bytes of text that one file is meant to hold.
-FILE_BYTES = 64 << 20
+FILE_BYTES = 32 << 20
 
 # White space beyond ASCII, as bytes: texts with any of it, or with a special token's brackets, are encoded whole.
 _WIDE_SPACE = tuple(chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
@@ -74,7 +74,7 @@ def _file_rows(tokenizer_path: str, end_id: int, width: int):
             return [e.ids for e in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
         encoder, sizes, names = ChunkEncoder(whole), [], []
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 2 << 20):
             rows = []
             for ids in encode_texts(batch.column("text"), encoder, whole):
                 sizes.append(len(ids) + 1)
@@ -149,9 +149,9 @@ def file_bases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content); content is null where the files can be mapped in place."""
+    """(path, content); where the files can be mapped in place, content is null and not even read."""
     files = file_contents(spark, path)
-    return files.withColumn("content", F.when(~F.col("path").startswith("file:"), F.col("content")))
+    return files.select("path", F.lit(None).cast("binary").alias("content")) if path.startswith("file:") else files
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
