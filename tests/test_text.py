@@ -6,25 +6,25 @@ from tests.helpers import employee_rows, employees, requirement, requirements
 
 
 def test_profile_text_layout(spark):
-    rows = employee_rows("E1", [("Python", "Programming", 6.0), ("SQL", "Database", 5.5)], summary="Led migration")
+    rows = employee_rows("E1", [("Rigging", "Deck work", 6.0), ("Radar", "Bridge work", 5.5)], summary="Moved a berth")
     assert build_profiles(employees(spark, rows)).first()["profile_text"] == (
-        "Employee Profile\nPrimary Domain: Capital Markets\nDomain Experience: 8 years\nTotal Experience: 12 years\n"
-        "Past Project Summary: Led migration\nSkills:\n"
-        "- Skill: Python | Category: Programming | Experience: 6 years\n"
-        "- Skill: SQL | Category: Database | Experience: 5.5 years"
+        "Employee Profile\nPrimary Domain: Marine Cargo\nDomain Experience: 8 years\nTotal Experience: 12 years\n"
+        "Past Project Summary: Moved a berth\nSkills:\n"
+        "- Skill: Rigging | Category: Deck work | Experience: 6 years\n"
+        "- Skill: Radar | Category: Bridge work | Experience: 5.5 years"
     )
 
 
 def test_repeated_skills_first_for_text_last_for_score_raw_in_list(spark):
     rows = employee_rows("E1", [
-        (" Python ", "A", 1.0), ("python", "B", 2.0), ("", "C", 3.0), ("\tSQL ", "D", 4.0), (None, "E", 5.0),
-        ("PYTHON", "F", 7.0), ("  ", "G", 9.0), ("python", "H", 3.0),
+        (" Rigging ", "A", 1.0), ("rigging", "B", 2.0), ("", "C", 3.0), ("\tRadar ", "D", 4.0), (None, "E", 5.0),
+        ("RIGGING", "F", 7.0), ("  ", "G", 9.0), ("rigging", "H", 3.0),
     ])
     p = build_profiles(employees(spark, rows)).first()
-    assert p["skills"] == [" Python ", "python", "", "\tSQL ", "PYTHON", "  "]
-    assert p["skill_years"] == {"python": 3.0, "sql": 4.0, "": 9.0}
+    assert p["skills"] == [" Rigging ", "rigging", "", "\tRadar ", "RIGGING", "  "]
+    assert p["skill_years"] == {"rigging": 3.0, "radar": 4.0, "": 9.0}
     assert p["profile_text"].split("Skills:\n")[1] == (
-        "- Skill: Python | Category: A | Experience: 1 years\n- Skill: SQL | Category: D | Experience: 4 years")
+        "- Skill: Rigging | Category: A | Experience: 1 years\n- Skill: Radar | Category: D | Experience: 4 years")
 
 
 def test_header_comes_from_first_row_whatever_the_arrival_order(spark):
@@ -44,16 +44,16 @@ def test_employee_without_skills_keeps_an_empty_block(spark):
 def test_requirement_embedding_text_bullets(spark):
     frame = requirements(
         spark,
-        requirement("R1", [("Python", "Programming", 5.0), ("SQL", "  ", None), (None, None, 0.0)],
-                    [("E-commerce", "DOMAIN", 3.0)], years=4.5, domain=("Retail", "Web")),
+        requirement("R1", [("Rigging", "Deck work", 5.0), ("Radar", "  ", None), (None, None, 0.0)],
+                    [("Harbours", "DOMAIN", 3.0)], years=4.5, domain=("Retail", "Web")),
         requirement("R2", domain=None, description=None),
     )
     got = {r[0]: r[1] for r in frame.select("requirement_id", tx.requirement_embedding_text()).collect()}
     assert got["R1"] == (
         "Employee Profile\nPrimary Domain: Retail, Web\nDomain Experience: 4.5 years\nTotal Experience: 4.5 years\n"
-        "Past Project Summary: New desk\nSkills:\n- Skill: Python | Category: Programming | Experience: 5 years\n"
-        "- Skill: SQL | Category: General\n- Skill:  | Category: General\n"
-        "- Skill: E-commerce | Category: DOMAIN | Optional")
+        "Past Project Summary: New desk\nSkills:\n- Skill: Rigging | Category: Deck work | Experience: 5 years\n"
+        "- Skill: Radar | Category: General\n- Skill:  | Category: General\n"
+        "- Skill: Harbours | Category: DOMAIN | Optional")
     assert got["R2"] == (
         "Employee Profile\nPrimary Domain: N/A\nDomain Experience: 0 years\nTotal Experience: 0 years\n"
         "Past Project Summary: N/A\nSkills:\nNone")
@@ -67,7 +67,7 @@ def test_requirement_display_text(spark):
     )
     got = {r[0]: r[1] for r in frame.select("requirement_id", tx.requirement_display_text()).collect()}
     assert got["R1"] == (
-        "Project Description:\nNew desk\n\nDomain: Capital Markets\nCriticality: High\nDuration: 6 months\n"
+        "Project Description:\nNew desk\n\nDomain: Marine Cargo\nCriticality: High\nDuration: 6 months\n"
         "Required Bandwidth: 50%\nMinimum Overall Experience: 3 years\n\nMandatory Skills:\n"
         "A (2 years, c), B (1.5 years), C (d), D\n\nOptional Skills:\nNone")
     assert "Domain: N/A\nCriticality: N/A\nDuration: N/A months\nRequired Bandwidth: N/A%" in got["R2"]
