@@ -16,20 +16,24 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def _carried(docs: DataFrame) -> DataFrame:
-    """The text beside the whole row, so that no column of a scorer replaces one of the documents'."""
-    return docs.select("text", F.struct("*").alias("row"))
+    """The text beside a struct of all other columns, so that no column of a scorer replaces one of the documents'."""
+    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+
+
+def _restored(scored: DataFrame, docs: DataFrame) -> DataFrame:
+    return scored.select("row.*", "text").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network predicts to be toxic go. Texts without words score 0 and stay."""
     net = toxicity_gru.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity_gru.score(_carried(docs), net).where("predicted = 0").select("row.*")
+    return _restored(toxicity_gru.score(_carried(docs), net).where("predicted = 0"), docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in which no language has the majority of the posterior, go."""
     found = langid_nb.identify(_carried(docs), langid_nb.fit(docs))
-    return found.where((F.col("lang_pred") != langid_nb.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
+    return _restored(found.where((F.col("lang_pred") != langid_nb.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +49,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that repeat an earlier document go, and `n_chars` follows; a document may be left without words."""
-    cut = debruijn.remove_repeats(docs)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None)
+    cut = debruijn.remove_repeats(docs.select("doc_id", "text", row.alias("row")))
+
+    def column(name: str):
+        if name in ("doc_id", "text"):
+            return F.col(name)
+        if name == "n_chars":
+            kind = docs.schema[name].dataType
+            return F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("row.n_chars")).alias(name)
+        return F.col(f"row.`{name}`")
+
+    return cut.select(*[column(c) for c in docs.columns])
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

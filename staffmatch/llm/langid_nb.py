@@ -25,6 +25,8 @@ BUCKETS = 1 << 14
 #: Labelled documents that the counts are taken from, about; a parameter of `fit`.
 TRAIN_DOCS = 20_000
 SMOOTHING = 0.5
+#: Text bytes, and n-grams within them, that are held at a time.
+PIECE, STEP = 1 << 20, 1 << 18
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -61,7 +63,7 @@ def ngram_buckets(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _count(batches) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", PIECE):
         langs, texts = np.array(batch.column("lang").to_pylist()), batch.column("text").to_pylist()
         for lang in np.unique(langs):
             total = counts.setdefault(str(lang), np.zeros(BUCKETS, dtype=np.int64))
@@ -98,8 +100,11 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.nd
     joint = np.tile(model.log_prior, (len(texts), 1))
     for buckets, firsts in ngram_buckets([t if ok else "" for t, ok in zip(texts, known)]):
         some = np.flatnonzero(np.diff(firsts))
-        if some.size:
-            joint[some] += np.add.reduceat(model.log_prob[buckets], firsts[some], axis=0)
+        bounds = np.append(firsts[some], len(buckets))
+        for low in range(0, len(buckets), STEP):  # a long text spans several steps
+            high = min(low + STEP, len(buckets))
+            a, b = np.searchsorted(bounds, low, side="right") - 1, np.searchsorted(bounds, high, side="left")
+            joint[some[a:b]] += np.add.reduceat(model.log_prob[buckets[low:high]], np.maximum(bounds[a:b], low) - low, axis=0)
     best = joint.argmax(axis=1)
     scores = 1 / np.exp(joint - joint.max(axis=1, keepdims=True)).sum(axis=1)
     return ([model.languages[b] if ok else UNKNOWN for b, ok in zip(best, known)], np.where(known, scores, 0.0))
@@ -115,7 +120,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def run(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             names, scores = score_texts(Model(*shared.value), batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
