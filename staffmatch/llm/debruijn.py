@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from staffmatch.llm.scratch import Scratch
-from staffmatch.llm.words import pieces, row_of, split_words, text_bytes, word_codes
+from staffmatch.llm.words import pieces, row_of, split_words, word_codes
 
 K = 13
 SEED_WORDS = 5

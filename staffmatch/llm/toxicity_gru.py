@@ -377,7 +377,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Net
 def _scored(shared) -> callable:
     def run(batches) -> Iterator[pa.RecordBatch]:
         net = Network(*shared.value)
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 1 << 20):
             scores = text_scores(net, batch.column("text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "score"])
     return run

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that one step works on; a single longer document is still taken whole.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
