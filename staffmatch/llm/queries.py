@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from staffmatch.llm import (
     debruijn,
+    divergence,
     embed_int8,
+    grid_codes,
     langid_nb,
     packing,
     quality_adaptive,
@@ -16,6 +18,7 @@ from staffmatch.llm import (
     spm_offsets,
     tokenfiles,
     toxicity_gru,
+    url_rules,
     warc_dict,
 )
 from staffmatch.llm.sampling import held_out
@@ -79,6 +82,18 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm_offsets.document_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(_table(spark, sf_dir, "pages"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_packing, op3_langid, op4_warc, op5_substring, op6_tokens, op7_toxicity, op8_embeddings, op9_quality,
-    op10_pieces)} | {"pipeline": corpus_pipeline.run}
+    op10_pieces, op11_divergence, op12_urls, op13_codes)} | {"pipeline": corpus_pipeline.run}

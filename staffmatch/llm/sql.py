@@ -91,5 +91,85 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM measured
 """
 
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+tokens AS (SELECT id, lang, source, translate(unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+kept AS (SELECT lang, term FROM tokens GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+vocabulary AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+found AS (SELECT lang, source, term, count(*) AS n FROM tokens JOIN kept USING (lang, term) GROUP BY ALL),
+occurring AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT lang, source, term, v, coalesce(n, 0)::HUGEINT AS n
+    FROM occurring JOIN kept USING (lang) JOIN vocabulary USING (lang) LEFT JOIN found USING (lang, source, term)),
+p AS MATERIALIZED (SELECT *, (1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v))::BIGINT AS p FROM counts),
+whole AS (SELECT lang, term, any_value(v) AS v, sum(n) AS n FROM counts GROUP BY ALL),
+q AS (SELECT lang, term, (1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * v))::BIGINT AS q FROM whole),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s, 0)::BIGINT AS value
+    FROM occurring a JOIN occurring b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (SELECT x.lang, x.source AS source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS s
+        FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) t
+    ON t.lang = a.lang AND t.source = a.source AND t.item = b.source),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+    SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+    UNION ALL
+    SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+URLS = r"""
+WITH u AS (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL),
+split AS (SELECT url, translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '://[^/?#]*[^?#]*([^#]*)', 1) AS query FROM u),
+rules AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS t(h, s, v)),
+fitting AS (SELECT url, arg_max(h || s, length(h || s)) AS rule, arg_max(v, length(h || s)) AS listed
+    FROM split JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY url),
+words AS (SELECT url, host, path, [x FOR x IN list_concat(
+        ['h:' || w FOR w IN list_reverse(regexp_extract_all(host, '[^.]+'))],
+        ['p:' || w FOR w IN regexp_extract_all(translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^/._-]+')],
+        ['q:' || w FOR w IN regexp_extract_all(query, '[?&]([^=&]+)', 1)])
+    IF NOT regexp_matches(x, '^.:[0-9]*$')] AS w FROM split),
+items AS (SELECT url, host, path, rule, listed, [w[i] FOR i IN range(1, len(w) + 1) IF list_position(w, w[i]) = i] AS items
+    FROM words LEFT JOIN fitting USING (url)),
+baskets AS (SELECT listed, list_slice(items, 1, 12) AS items FROM items WHERE listed IS NOT NULL),
+subsets AS (SELECT listed, list_sort([items[i] FOR i IN range(1, len(items) + 1) IF (m >> (i - 1)) & 1 = 1]) AS s
+    FROM (SELECT *, unnest(range(1, 1 << len(items))) AS m FROM baskets)),
+counted AS (SELECT *, sum(hits) OVER (PARTITION BY s) AS n FROM (SELECT s, listed, count(*) AS hits FROM subsets GROUP BY ALL)),
+strong AS MATERIALIZED (SELECT s, listed, hits::DOUBLE / n::DOUBLE AS confidence, hits FROM counted
+    WHERE hits * 64 >= (SELECT count(*) FROM baskets) AND hits * 8 >= n * 7),
+mined AS MATERIALIZED (SELECT * FROM strong a WHERE NOT EXISTS (SELECT 1 FROM strong b WHERE b.listed = a.listed AND len(b.s) < len(a.s)
+    AND list_has_all(a.s, b.s) AND b.confidence >= a.confidence)),
+best AS (SELECT url, mined.listed AS verdict, array_to_string(s, ' ') AS evidence FROM items JOIN mined ON items.listed IS NULL AND list_has_all(items.items, s)
+    QUALIFY row_number() OVER (PARTITION BY url ORDER BY confidence DESC, hits DESC, len(s) DESC, mined.listed DESC, array_to_string(s, ' ') DESC) = 1)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(listed, verdict, 'allow') AS verdict, evidence
+FROM pages LEFT JOIN items USING (url) LEFT JOIN best USING (url)
+"""
+
+
+def _codes() -> str:
+    distance = "list_sum([(v[i] - e[i]) * (v[i] - e[i]) FOR i IN range(1, len(v) + 1)])"
+    rounds = []
+    for r in range(7):
+        rounds.append(f"""near{r} AS MATERIALIZED (SELECT id, k.part, entry, {distance} AS gap, v FROM cut JOIN book{r} k ON cut.part = k.part
+    QUALIFY row_number() OVER (PARTITION BY id, k.part ORDER BY gap, entry) = 1)""")
+        if r < 6:
+            rounds.append(f"""book{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m, e) AS e FROM book{r} LEFT JOIN (
+    SELECT part, entry, list((t - ((t % n) + n) % n) // n ORDER BY i) AS m FROM (
+        SELECT part, entry, i, sum(x)::BIGINT AS t, count(*) AS n FROM (
+            SELECT part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM near{r}) GROUP BY ALL) GROUP BY ALL) USING (part, entry))""")
+    return """
+WITH usable AS (SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label, [floor(4096 * x::DOUBLE)::BIGINT FOR x IN embedding] AS ints
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS MATERIALIZED (SELECT id, p AS part, list_slice(ints, p * len(ints) // 8 + 1, (p + 1) * len(ints) // 8) AS v
+    FROM usable, (SELECT unnest(range(8)) AS p)),
+book0 AS (SELECT part, id - 1 AS entry, v AS e FROM cut WHERE id <= 16),
+""" + ",\n".join(rounds) + """,
+digest AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book6),
+coded AS (SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(gap)::BIGINT AS error FROM near6 GROUP BY id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM usable JOIN coded USING (id), digest
+"""
+
 
-SQL = {"op4_warc": WARC, "op5_substring": SUBSTRING, "op8_embeddings": EMBEDDINGS, "op9_quality": _quality()}
+SQL = {"op4_warc": WARC, "op5_substring": SUBSTRING, "op8_embeddings": EMBEDDINGS, "op9_quality": _quality(),
+       "op11_divergence": DIVERGENCE, "op12_urls": URLS, "op13_codes": _codes()}
