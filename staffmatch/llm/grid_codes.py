@@ -41,11 +41,14 @@ SALTS = 32
 
 def box_candidates(cells: np.ndarray, book: np.ndarray, bits: int) -> np.ndarray:
     """Per cell and entry of `book`: whether the entry is not dominated across the cell's box."""
-    low = cells[:, None, :] << bits
-    high = low + (1 << bits) - 1
-    gap = np.maximum(np.maximum(low - book, book - high), 0)
-    reach = np.maximum(np.abs(book - low), np.abs(high - book))
-    least, most = (gap * gap).sum(axis=2), (reach * reach).sum(axis=2)
+    least, most = (np.zeros((len(cells), len(book)), dtype=np.int64) for _ in range(2))
+    for low, middle in zip((cells << bits).T[:, :, None], book.T):
+        below = low - middle
+        above = -below - (1 << bits) + 1
+        gap = np.maximum(np.maximum(below, above), 0)
+        reach = np.maximum(-below, -above)  # the farther end of the side
+        least += gap * gap
+        most += reach * reach
     return least <= most.min(axis=1, keepdims=True)
 
 
@@ -72,7 +75,7 @@ class Nearest:
         grid = np.ascontiguousarray(values >> self.bits)
         if not grid.shape[1]:
             return np.zeros(len(values), dtype=np.int64), np.zeros(len(values), dtype=np.int64)
-        _, first, at = np.unique(grid.view([("", grid.dtype)] * grid.shape[1]).ravel(), return_index=True, return_inverse=True)
+        _, first, at = np.unique(grid.view(f"V{8 * grid.shape[1]}").ravel(), return_index=True, return_inverse=True)
         rows, entry = np.nonzero(self._candidates(grid[first])[at])
         self.evaluated += len(rows)
         gap = values[rows] - self.book[entry]
