@@ -4,11 +4,14 @@ No pair is ever materialised as a row. Vectors are compared block against block
 and a block gives out at most k rows per requirement; a window then keeps k per requirement (its
 partial limit runs before the shuffle).
 
-Two physical plans, chosen by the counted size of the requirement side:
+Three physical plans, chosen by the counted size of the requirement side:
 
 * ``broadcast`` - the requirement matrix fits the byte bound: it is broadcast, the employee vectors are
   scanned where they lie and are not shuffled at all.
-* ``grid`` - both sides are cut into bounded blocks by a hash of their ids and every block pair meets
+* ``blocks`` - it does not fit: the requirements are cut into blocks that do, by a hash of their ids, and every
+  block is one such scan, its k best written down before the next block is broadcast. The employee vectors are read
+  once per block and still not shuffled.
+* ``grid`` - on request; both sides are cut into bounded blocks by a hash of their ids and every block pair meets
   in one co-grouped task. Blocks are sized from counts per cell, so a cell (or a requirement set)
   holding a large part of all rows is spread over many tasks.
 
@@ -32,6 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import SIMILARITY_DIGITS
+from ..sources.tables import work_folder
 
 _OUT = "requirement_id string, employee_id string, similarity double"
 _GRID = 10.0**SIMILARITY_DIGITS
@@ -41,7 +45,7 @@ _PRODUCT_VALUES = 4_000_000  # similarities held at once (32 MB as doubles)
 
 @dataclass(frozen=True)
 class KnnOptions:
-    plan: str = "auto"  # auto | broadcast | grid
+    plan: str = "auto"  # auto (broadcast, or blocks beyond the bound) | broadcast | blocks | grid
     broadcast_bytes: int = 128 * 1024 * 1024  # most bytes of requirement vectors that are ever broadcast
     block_rows: int | None = None  # item rows per grid block; default from the dimension
     seed_fraction: float | None = None  # share of items in the pre-scan; None: 1 % for a large known item count
@@ -204,41 +208,75 @@ def _grid_task(k: int):
 
 # ---- plans ---------------------------------------------------------------------------------
 
-def _keep_top(partial: DataFrame, k: int) -> DataFrame:
+def keep_top(partial: DataFrame, k: int) -> DataFrame:
+    """The k best rows per requirement, numbered by ``candidate_rank``; equal similarities go by employee id."""
     best = W.partitionBy("requirement_id").orderBy(F.col("similarity").desc(), "employee_id")
     return partial.withColumn("candidate_rank", F.row_number().over(best)).where(F.col("candidate_rank") <= k)
 
 
-def _broadcast_plan(queries, items, k, with_cells, floors: dict | None) -> DataFrame:
+def _cell_positions(lists: pa.ChunkedArray) -> dict[int, np.ndarray]:
+    """The requirements that probe each cell, from Arrow lists without a Python object per entry."""
+    lists = lists.combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks)
+    position = np.repeat(np.arange(len(lists), dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
+    cell = lists.flatten().to_numpy()
+    order = np.argsort(cell, kind="stable")
+    found, starts = np.unique(cell[order], return_index=True)
+    return dict(zip(found.tolist(), np.split(position[order], starts[1:])))
+
+
+def _broadcast_plan(queries, items, k, with_cells) -> DataFrame:
     spark = queries.sparkSession
-    columns = ["requirement_id", "vec"] + (["cells"] if with_cells else [])
-    table = queries.select(*columns).toArrow()  # bounded: the caller has counted the rows
+    columns = ["requirement_id", "vec", "floor"] + (["cells"] if with_cells else [])
+    table = queries.select(*columns).toArrow()  # bounded: the caller has counted the bytes
     query_ids = _strings(table.column("requirement_id"))
     matrix = _matrix(table.column("vec"), None)
     if not len(matrix):
         return spark.createDataFrame([], _OUT)
-    start = np.full(len(matrix), -np.inf)
-    if floors:
-        start = np.array([floors.get(q, -np.inf) for q in query_ids])
     probes, item_columns = None, ["employee_id", "vec"]
     if with_cells:
-        lists = table.column("cells").to_pylist()
-        by_cell: dict[int, list[int]] = {}
-        for position, cells in enumerate(lists):
-            for c in cells:
-                by_cell.setdefault(c, []).append(position)
-        probes = {c: np.array(p) for c, p in by_cell.items()}
+        probes = _cell_positions(table.column("cells"))
         item_columns.append("cell")
         items = items.where(F.col("cell").isin(sorted(probes)))  # prunes cell partitions at the scan
-    shared = spark.sparkContext.broadcast((query_ids, matrix, start, probes))
+    shared = spark.sparkContext.broadcast((query_ids, matrix, table.column("floor").to_numpy(), probes))
     return items.select(*item_columns).mapInArrow(_scan_task(shared, k, with_cells), _OUT)
 
 
+def _query_bytes(dim: int, cells: bool):
+    """Bytes of a requirement on the driver and in a broadcast: vector, id, floor, and positions of its cells."""
+    fixed = F.lit(dim * 8 + 8) + F.octet_length("requirement_id")
+    return fixed + F.size("cells") * 8 if cells else fixed
+
+
+def _blocks_plan(queries, items, k, with_cells, options, dim: int, total: int, search) -> DataFrame:
+    """``search`` over blocks of requirements that each fit the bound; the results of a block are written down."""
+    spark, folder = queries.sparkSession, work_folder(queries.sparkSession)
+    blocks = max(2, math.ceil(total / options.broadcast_bytes * 1.25))
+    while True:
+        number = F.pmod(F.xxhash64("requirement_id"), F.lit(blocks))
+        sizes = queries.groupBy(number.alias("block")).agg(F.sum(_query_bytes(dim, with_cells)).alias("bytes")).orderBy("block").collect()
+        most = max((r["bytes"] for r in sizes), default=0)
+        if most <= options.broadcast_bytes or blocks >= 1 << 20:
+            break
+        blocks *= 2
+    if most > options.broadcast_bytes:
+        raise ValueError(f"a single requirement of {dim} values exceeds the broadcast bound")
+    found = None
+    for block in (r["block"] for r in sizes):  # a row per block; none is empty
+        target = f"{folder}/block-{block}"
+        part = search(queries.where(number == block), items)
+        part.write.parquet(target)
+        part = spark.read.schema(part.schema).parquet(target)
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else keep_top(spark.createDataFrame([], _OUT), k)
+
+
 def _numbers(count: str) -> F.Column:
     return F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1)
 
 
-def _with_block_counts(queries, items, with_cells: bool, rows: int, bounded_cells: bool):
+def _with_block_counts(queries, items, with_cells: bool, rows: int, bounded_cells: bool, cell_sizes: DataFrame | None):
     """Both sides with ``cell``, ``item_blocks`` and ``query_blocks``, from the counts per cell."""
     per_block = F.lit(float(rows))
     if not with_cells:
@@ -247,8 +285,10 @@ def _with_block_counts(queries, items, with_cells: bool, rows: int, bounded_cell
             blocks.append(F.lit(max(1, math.ceil(side.count() / rows))).cast("bigint").alias(name))
         return queries.select("*", *blocks), items.select("*", *blocks)
     queries = queries.withColumn("cell", F.explode("cells"))
+    if cell_sizes is None:
+        cell_sizes = items.groupBy("cell").agg(F.count("*").alias("n"))
     sizes = (
-        items.groupBy("cell").agg(F.count("*").alias("n_items"))
+        cell_sizes.groupBy("cell").agg(F.sum("n").alias("n_items"))
         .join(queries.groupBy("cell").agg(F.count("*").alias("n_queries")), "cell")
         .select(
             "cell",
@@ -261,10 +301,10 @@ def _with_block_counts(queries, items, with_cells: bool, rows: int, bounded_cell
     return queries.join(sizes, "cell"), items.join(sizes, "cell")
 
 
-def _grid_plan(queries, items, k, with_cells, options: KnnOptions, dim: int, bounded_cells: bool) -> DataFrame:
+def _grid_plan(queries, items, k, with_cells, options: KnnOptions, dim: int, bounded_cells: bool, cell_sizes=None) -> DataFrame:
     """Cells x query blocks x item blocks, co-grouped. Block numbers come from counts per cell."""
     rows = options.block_rows or max(256, _BLOCK_VALUES // max(dim, 1))
-    queries, items = _with_block_counts(queries, items, with_cells, rows, bounded_cells)
+    queries, items = _with_block_counts(queries, items, with_cells, rows, bounded_cells, cell_sizes)
     cut_items = (
         items.withColumn("item_block", F.pmod(F.xxhash64("employee_id"), "item_blocks"))
         .withColumn("query_block", F.explode(_numbers("query_blocks")))
@@ -284,13 +324,20 @@ def _sampled(items: DataFrame, fraction: float) -> DataFrame:
 
 
 def _seed_floors(top: DataFrame, k: int) -> DataFrame:
-    """Lower bound per requirement, only where the sample held k candidates."""
+    """Lower bound per requirement, only where ``top`` holds k candidates."""
     return (
-        top.groupBy("requirement_id").agg(F.count("*").alias("n"), F.min("similarity").alias("floor"))
-        .where(F.col("n") == k).select("requirement_id", "floor")
+        top.groupBy("requirement_id").agg(F.count("*").alias("n"), F.min("similarity").alias("seed"))
+        .where(F.col("n") == k).select("requirement_id", "seed")
     )
 
 
+def with_floors(queries: DataFrame, top: DataFrame, k: int) -> DataFrame:
+    """``queries`` with ``floor``, the k-th similarity in ``top`` where that holds k, or the floor they had."""
+    held = F.col("floor") if "floor" in queries.columns else F.lit(float("-inf"))
+    return (queries.join(_seed_floors(top, k), "requirement_id", "left")
+            .withColumn("floor", F.greatest(held, F.coalesce("seed", F.lit(float("-inf"))))).drop("seed"))
+
+
 def top_k(
     queries: DataFrame,
     items: DataFrame,
@@ -300,27 +347,32 @@ def top_k(
     options: KnnOptions = KnnOptions(),
     item_count: int | None = None,
     cell_count: int | None = None,
+    cell_sizes: DataFrame | None = None,
 ) -> DataFrame:
     """``requirement_id, employee_id, similarity, candidate_rank`` of the k nearest items per query.
 
-    ``queries``: ``requirement_id, vec`` (+ ``cells`` array when searching cells), one row per id;
-    ``items``: ``employee_id, vec`` (+ ``cell``), one row per id. Vectors are expected to be unit
-    vectors. ``item_count`` (the index catalog knows it) turns the pre-scan on for large item sides.
+    ``queries``: ``requirement_id, vec`` (+ ``cells`` array when searching cells, + ``floor``, a similarity below which
+    nothing is wanted), one row per id; ``items``: ``employee_id, vec`` (+ ``cell``), one row per id. Vectors are
+    expected to be unit vectors. ``item_count`` (the index catalog knows it) turns the pre-scan on for large item
+    sides; ``cell_sizes`` (``cell, n``, as the index stores them) spares the grid a count of the items.
     """
     if k < 1:
         raise ValueError(f"k must be at least 1, got {k}")
-    if options.plan not in ("auto", "broadcast", "grid"):
+    if options.plan not in ("auto", "broadcast", "blocks", "grid"):
         raise ValueError(f"unknown plan {options.plan!r}")
 
     # Sizes, bounds and the search itself read the requirements, and an encoder may stand before them: keep
     # what it gave. A lost executor costs its part again.
-    queries = queries.select("requirement_id", "vec", *(["cells"] if cells else [])).persist()
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    if "floor" not in queries.columns:
+        queries = queries.withColumn("floor", F.lit(float("-inf")))
+    queries = queries.select("requirement_id", "vec", "floor", *(["cells"] if cells else [])).persist()
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim"),
+                       F.sum(_query_bytes(0, cells)).alias("bytes")).first()
     dim = size["dim"] or 1
-    small = size["n"] * dim * 8 <= options.broadcast_bytes
+    total = (size["bytes"] or 0) + size["n"] * dim * 8
+    small = total <= options.broadcast_bytes
     if options.plan == "broadcast" and not small:
         raise ValueError(f"{size['n']} requirement vectors of {dim} values exceed the broadcast bound")
-    use_grid = options.plan == "grid" or not small
 
     fraction = options.seed_fraction
     if fraction is None:
@@ -330,19 +382,24 @@ def top_k(
     # The statistics per cell (three numbers and a key) are broadcast only if they are known to be small.
     bounded = not cells or (cell_count is not None and cell_count * 32 <= options.broadcast_bytes)
 
-    if use_grid:
-        bare = queries.withColumn("floor", F.lit(float("-inf")))
+    def partial(some: DataFrame, side: DataFrame, sizes: DataFrame | None) -> DataFrame:
+        if options.plan == "grid":
+            return _grid_plan(some, side, k, cells, options, dim, bounded, sizes)
+        return _broadcast_plan(some, side, k, cells)
+
+    def search(some: DataFrame, side: DataFrame) -> DataFrame:
         if fraction > 0:
-            seeds = _seed_floors(_keep_top(_grid_plan(bare, _sampled(items, fraction), k, cells, options, dim, bounded), k), k)
-            bare = queries.join(seeds, "requirement_id", "left").withColumn(
-                "floor", F.coalesce(F.col("floor"), F.lit(float("-inf")))
-            )
-        return _keep_top(_grid_plan(bare, items, k, cells, options, dim, bounded), k)
-
-    floors = None
-    if fraction > 0:
-        seeds = _seed_floors(_keep_top(_broadcast_plan(queries, _sampled(items, fraction), k, cells, None), k), k)
-        floors = {r["requirement_id"]: r["floor"] for r in seeds.collect()}  # bounded like the broadcast rows
-    found = _keep_top(_broadcast_plan(queries, items, k, cells, floors), k)
+            some = with_floors(some, keep_top(partial(some, _sampled(side, fraction), None), k), k)
+        return keep_top(partial(some, side, cell_sizes), k)
+
+    if options.plan == "grid":  # lazy, so the requirements it reads later are a written table
+        target = f"{work_folder(queries.sparkSession)}/requirements"
+        queries.write.parquet(target)
+        queries.unpersist()
+        return search(queries.sparkSession.read.schema(queries.schema).parquet(target), items)
+    if options.plan == "blocks" or not small:
+        found = _blocks_plan(queries, items, k, cells, options, dim, total, search)
+    else:
+        found = search(queries, items)
     queries.unpersist()
     return found

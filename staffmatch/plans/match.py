@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import numeric as nm
 from ..functions.numeric import round_half_up
 from ..operators import ivf
-from ..operators.knn import KnnOptions, top_k
+from ..operators.knn import KnnOptions, keep_top, top_k, with_floors
 from ..operators.scoring import score_pairs
 from ..schemas import MATCH_COLUMNS
+from ..sources.tables import work_folder
 
 # Fixed values of the request defaults.
 CANDIDATE_K = 50
@@ -33,17 +34,34 @@ def pool_size(top_n: int, candidate_k: int | None) -> int:
 
 
 def candidates(requirements: DataFrame, vectors: DataFrame, candidate_k: int = CANDIDATE_K, *,
-               centroids=None, nprobe: int | None = None, options: KnnOptions = KnnOptions(),
-               vector_count: int | None = None) -> DataFrame:
+               centroids=None, nprobe: int | None = None, reach=None, cell_sizes: DataFrame | None = None,
+               options: KnnOptions = KnnOptions(), vector_count: int | None = None) -> DataFrame:
     """Candidate pool per requirement; with ``centroids`` only the ``nprobe`` nearest cells are searched.
 
-    ``vectors`` holds live employees only, so the pool is never thinned out afterwards.
+    With ``reach`` (``ivf.read_reach``) the search is exact: the nearest cells give a k-th similarity, and only cells
+    whose bound reaches it are searched after them. ``vectors`` holds live employees only, so the pool is never
+    thinned out afterwards.
     """
     if centroids is None:
         return top_k(requirements, vectors, candidate_k, options=options, item_count=vector_count)
     probes = ivf.probe_cells(requirements, centroids, len(centroids) if nprobe is None else nprobe)
-    return top_k(probes, vectors, candidate_k, cells=True, options=options, item_count=vector_count,
-                 cell_count=len(centroids))
+
+    def search(some: DataFrame) -> DataFrame:
+        return top_k(some, vectors, candidate_k, cells=True, options=options, item_count=vector_count,
+                     cell_count=len(centroids), cell_sizes=cell_sizes)
+
+    if reach is None:
+        return search(probes)
+    spark, folder = requirements.sparkSession, work_folder(requirements.sparkSession)
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:  # read more than once, and an encoder may stand before it
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    probes = kept(probes, "probes")
+    first = kept(search(probes), "first")
+    rest = kept(ivf.cells_within(with_floors(probes, first, candidate_k), centroids, reach).where(F.size("cells") > 0), "rest")
+    return keep_top(first.drop("candidate_rank").unionByName(search(rest).drop("candidate_rank")), candidate_k)
 
 
 def rank_pairs(scored: DataFrame, top_n: int | None = None) -> DataFrame:
@@ -71,6 +89,8 @@ def match(
     use_skill_years: bool = False,
     centroids=None,
     nprobe: int | None = None,
+    reach=None,
+    cell_sizes: DataFrame | None = None,
     options: KnnOptions = KnnOptions(),
     vector_count: int | None = None,
 ) -> DataFrame:
@@ -82,8 +102,8 @@ def match(
     ``top_n`` is an error.
     """
     candidate_k = pool_size(top_n, candidate_k)
-    pool = candidates(requirements, vectors, candidate_k, centroids=centroids, nprobe=nprobe, options=options,
-                      vector_count=vector_count)
+    pool = candidates(requirements, vectors, candidate_k, centroids=centroids, nprobe=nprobe, reach=reach,
+                      cell_sizes=cell_sizes, options=options, vector_count=vector_count)
     scored = score_pairs(pool, profiles, requirements, weights, weights_column=weights_column,
                          use_skill_years=use_skill_years)
     return rank_pairs(scored, top_n).withColumn("similarity", round_half_up(F.col("similarity"), 4)).select(MATCH_COLUMNS)

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -7,6 +9,8 @@ from staffmatch.operators.knn import KnnOptions, top_k
 PLANS = {
     "broadcast": KnnOptions(plan="broadcast"),
     "broadcast seeded": KnnOptions(plan="broadcast", seed_fraction=0.3),
+    "blocks": KnnOptions(plan="blocks", broadcast_bytes=600),
+    "blocks seeded": KnnOptions(plan="blocks", broadcast_bytes=600, seed_fraction=0.3),
     "grid": KnnOptions(plan="grid", block_rows=40),
     "grid seeded": KnnOptions(plan="grid", block_rows=40, seed_fraction=0.3),
 }
@@ -61,7 +65,7 @@ def test_result_does_not_depend_on_partitioning_or_row_order(spark, data, name):
     assert rows(one) == rows(two)
 
 
-@pytest.mark.parametrize("name", ["broadcast", "grid", "grid seeded"])
+@pytest.mark.parametrize("name", ["broadcast", "blocks", "grid", "grid seeded"])
 def test_full_probe_equals_exact_and_partial_probe_searches_only_its_cells(spark, data, name):
     qi, q, ii, it = data
     queries, items = frame(spark, "requirement_id", qi, q), frame(spark, "employee_id", ii, it)
@@ -108,12 +112,121 @@ def test_small_sides_and_bad_input(spark, data):
         ivf.train_centroids(frame(spark, "employee_id", ii[:3], it[:3]), 4)
 
 
-def test_large_requirement_side_switches_to_the_grid(spark, data):
+def test_large_requirement_side_is_cut_into_blocks(spark, data):
     qi, q, ii, it = data
-    got = top_k(frame(spark, "requirement_id", qi, q), frame(spark, "employee_id", ii, it), 5,
-                options=KnnOptions(broadcast_bytes=10, block_rows=64))
-    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().toString()
+    options = KnnOptions(broadcast_bytes=800)
+    got = top_k(frame(spark, "requirement_id", qi, q), frame(spark, "employee_id", ii, it), 5, options=options)
+    assert len(got.inputFiles()) > 0 and "FlatMapCoGroupsInArrow" not in got._jdf.queryExecution().toString()
+    assert len({f.rsplit("/", 2)[-2] for f in got.inputFiles()}) >= 3  # blocks written
     assert rows(got) == brute_force(qi, q, ii, it, 5)
+    with pytest.raises(ValueError, match="single requirement"):
+        top_k(frame(spark, "requirement_id", qi, q), frame(spark, "employee_id", ii, it), 5, options=KnnOptions(broadcast_bytes=10))
+
+
+def test_blocks_never_shuffle_the_items(spark, data, monkeypatch):
+    from staffmatch.operators import knn
+
+    qi, q, ii, it = data
+    plans, scan = [], knn._broadcast_plan
+
+    def watched(*args):
+        out = scan(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(knn, "_broadcast_plan", watched)
+    items = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ii, it)], "employee_id string, vec array<float>")
+    top_k(frame(spark, "requirement_id", qi, q), items, 5, options=PLANS["blocks"])
+    assert len(plans) >= 3 and not any("Exchange" in p for p in plans)
+
+
+def exact_case(spark, data, nlist=8):
+    qi, q, ii, it = data
+    items = frame(spark, "employee_id", ii, it)
+    centres = ivf.train_centroids(items, nlist)
+    celled = ivf.assign_cells(items, centres, with_reach=True)
+    return frame(spark, "requirement_id", qi, q), celled, centres, ivf.read_reach(ivf.cell_reach(celled), nlist)
+
+
+@pytest.mark.parametrize("name", ["broadcast", "blocks", "grid"])
+@pytest.mark.parametrize("nprobe, k", [(1, 3), (3, 20), (8, 20), (1, 250)])
+def test_bounded_probes_equal_brute_force(spark, data, name, nprobe, k):
+    from staffmatch.plans.match import candidates
+
+    qi, q, ii, it = data
+    queries, celled, centres, reach = exact_case(spark, data)
+    got = candidates(queries, celled.drop("cosine", "norm"), k, centroids=centres, nprobe=nprobe, reach=reach, options=PLANS[name])
+    assert rows(got) == brute_force(qi, q, ii, it, k)
+
+
+def test_cells_left_out_hold_nothing_above_the_floor(spark, data):
+    qi, q, ii, it = data
+    queries, celled, centres, reach = exact_case(spark, data, 12)
+    best = {r[0]: r[2] for r in brute_force(qi, q, ii, it, 5) if r[3] == 5}
+    probes = spark.createDataFrame([(i, [float(x) for x in v], best[i], []) for i, v in zip(qi, q)],
+                                   "requirement_id string, vec array<float>, floor double, cells array<int>")
+    within = ivf.cells_within(probes, centres, reach)
+    wanted = {r["requirement_id"]: set(r["cells"]) for r in within.collect()}
+    cell_of = {r["employee_id"]: r["cell"] for r in celled.collect()}
+    for r in brute_force(qi, q, ii, it, 5):
+        assert cell_of[r[1]] in wanted[r[0]]
+    shares = ivf.probed_share(within, reach).collect()
+    sizes = reach[0]
+    assert sizes.sum() == 300 and min(r["share"] for r in shares) < 1
+    assert all(r["n_vectors"] == sum(sizes[c] for c in wanted[r["requirement_id"]]) and r["n_cells"] == len(wanted[r["requirement_id"]]) for r in shares)
+
+
+def assigned(vectors, centres):
+    sims = np.floor(vectors.astype(np.float32).astype(float) @ centres.T * 1e9 + 0.5) / 1e9
+    return sims.argmax(axis=1)
+
+
+@pytest.mark.parametrize("case", ["spread", "copies", "opposite", "exactly"])
+def test_every_cell_is_filled_and_centred(spark, case):
+    rng = np.random.default_rng(11)
+    nlist = 6
+    if case == "spread":
+        v = unit(rng, 200, 5)
+    elif case == "copies":  # almost all rows are one vector
+        v = np.concatenate([np.repeat(unit(rng, 1, 5), 300, axis=0), unit(rng, 7, 5)])
+    elif case == "opposite":  # means may cancel out
+        base = unit(rng, 4, 5)
+        v = np.concatenate([base, -base, base])
+    else:
+        v = np.repeat(unit(rng, nlist, 5), [1, 50, 2, 1, 1, 9], axis=0)
+    ids = [f"E{i:03d}" for i in range(len(v))]
+    centres = ivf.train_centroids(frame(spark, "employee_id", ids, v), nlist, max_iter=100)
+    cell = assigned(v, centres)
+    assert sorted(set(cell)) == list(range(nlist))
+    for c in range(nlist):
+        mean = v[cell == c].astype(float).sum(axis=0)
+        if np.linalg.norm(mean) > 1e-6:
+            assert np.abs(mean / np.linalg.norm(mean) - centres[c]).max() < 1e-6
+    other = ivf.train_centroids(frame(spark, "employee_id", ids, v, 7), nlist, max_iter=100)
+    assert (centres == other).all()  # not a matter of partitioning
+
+
+def test_rounds_may_run_out_before_a_cell_is_filled(spark):
+    rng = np.random.default_rng(3)
+    v = np.concatenate([np.repeat(unit(rng, 1, 4), 50, axis=0), unit(rng, 30, 4)])
+    frame_ = frame(spark, "employee_id", [f"E{i:03d}" for i in range(80)], v)
+    for rounds in (0, 1, 2):
+        assert len(set(assigned(v, ivf.train_centroids(frame_, 25, max_iter=rounds)))) == 25
+
+
+def test_too_few_directions(spark):
+    rows_ = [("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [0.0, 0.0]), ("d", [0.0, 1.0])]
+    few = spark.createDataFrame(rows_, "employee_id string, vec array<float>")
+    assert len(ivf.train_centroids(few, 2)) == 2
+    with pytest.raises(ValueError, match="2 distinct vectors cannot train 3 cells"):
+        ivf.train_centroids(few, 3)
+    assert len(ivf.train_centroids(few, 3, at_most=True)) == 2
+    close = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 1e-20]), ("c", [1.0, 2e-20])], "employee_id string, vec array<float>")
+    with pytest.raises(ValueError, match="too close"):
+        ivf.train_centroids(close, 2)
+    assert len(ivf.train_centroids(close, 2, at_most=True)) == 1
+    with pytest.raises(ValueError, match="0 distinct vectors"):
+        ivf.train_centroids(few.where("employee_id = 'c'"), 1)
 
 
 def test_zero_vector_stays_zero(spark):
@@ -131,4 +244,4 @@ def test_vector_id_is_the_known_hash(spark):
 
     from staffmatch.functions import vectors as vx
 
-    assert spark.range(1).select(vx.vector_id(F.lit("EMP001"))).first()[0] == 54305806869026935
+    assert spark.range(1).select(vx.vector_id(F.lit("worker-1"))).first()[0] == int(hashlib.sha256(b"worker-1").hexdigest()[:15], 16)
