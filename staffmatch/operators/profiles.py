@@ -127,6 +127,30 @@ def build_profiles(employees: DataFrame, only: DataFrame | None = None, with_tex
     )
 
 
+# What the profile text is made of, and a prime below 2^31, so that products of two remainders fit 64 bits.
+_TEXT_FIELDS = ["domain", "domain_experience_years", "total_experience_years", SUMMARY, "skill", "skill_category", "skill_experience_years"]
+_PRIME = (1 << 31) - 1
+
+
+def profile_fingerprints(employees: DataFrame) -> DataFrame:
+    """``employee_id, fingerprint``: equal as long as an employee's rows and their relative places are.
+
+    Sums of row hashes, alone and times the place, so rows are reduced on the map side in any order and no text is
+    built. Moving all rows of an employee by the same number of places changes nothing. A different fingerprint does
+    not mean a different text; that is for the caller to compare.
+    """
+    parts = [x for c in _TEXT_FIELDS for x in (F.col(c).isNull(), F.col(c))]
+    hashes = [F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(_PRIME)) for seed in (1, 2)]
+    place = F.pmod(F.col("row_seq"), F.lit(_PRIME))
+    sums = employees.select("employee_id", "row_seq", place.alias("_place"), *[h.alias(f"_h{i}") for i, h in enumerate(hashes)]).groupBy("employee_id").agg(
+        F.count("*").alias("n"), F.min("row_seq").alias("first_seq"),
+        *[F.sum(f"_h{i}").alias(f"s{i}") for i in range(2)],
+        *[F.sum(F.col(f"_h{i}") * F.col("_place") % _PRIME).alias(f"p{i}") for i in range(2)])
+    base = F.pmod(F.col("first_seq"), F.lit(_PRIME))
+    turned = [F.pmod(F.col(f"p{i}") % _PRIME - base * (F.col(f"s{i}") % _PRIME) % _PRIME, F.lit(_PRIME)) for i in range(2)]
+    return sums.select("employee_id", F.concat_ws(":", "n", "s0", "s1", *turned).alias("fingerprint"))
+
+
 def number_rows(rows: DataFrame, key: str, order: list[str], chunk: F.Column) -> DataFrame:
     """Dense 1-based ``row_seq`` per ``key`` in ``order``, without one task per key.
 

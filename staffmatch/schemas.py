@@ -50,12 +50,16 @@ EMBEDDING = T.StructType([
     T.StructField("version", T.LongType(), False),
 ])
 
+# Compacted vectors of one model; the version is that of the vector, not of the table.
+BASE_VECTORS = T.StructType(EMBEDDING.fields[:3] + EMBEDDING.fields[4:])
+
 REGISTRY = T.StructType([
     T.StructField("employee_id", T.StringType()),
     T.StructField("vector_id", T.LongType()),
     T.StructField("vector_version", T.LongType()),
     T.StructField("replaced", T.BooleanType()),
     T.StructField("text_hash", T.StringType()),
+    T.StructField("fingerprint", T.StringType()),
     T.StructField("embedded_at", T.TimestampType()),
     T.StructField("is_active", T.BooleanType()),
     T.StructField("action", T.StringType()),

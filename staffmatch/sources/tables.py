@@ -10,8 +10,9 @@ from __future__ import annotations
 import uuid
 from urllib.parse import quote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +47,16 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/staffmatch-{uuid.uuid4().hex}"
 
 
+def observed_rows(seen: Observation) -> int:
+    """The ``rows`` a write has observed; an empty input may be optimised away with its counter, then none."""
+    try:
+        return seen.get["rows"]
+    except Py4JJavaError as e:
+        if "AssertionError" not in str(e.java_exception):
+            raise
+        return 0
+
+
 def folder_name(name: str) -> str:
     """A name as one path part; Spark's partition discovery turns it back."""
     return quote(name, safe="")
@@ -60,12 +71,14 @@ class TableStore:
     def path(self, *parts: object) -> str:
         return "/".join([self.root, *[str(p) for p in parts]])
 
+    def published(self) -> DataFrame:
+        """Every version ever published: ``name, version, published_at``."""
+        log = read_or_none(self.spark, self.path("_versions"), _LOG)
+        return log if log is not None else self.spark.createDataFrame([], _LOG)
+
     def log(self) -> DataFrame:
         """Newest version per table name."""
-        log = read_or_none(self.spark, self.path("_versions"), _LOG)
-        if log is None:
-            log = self.spark.createDataFrame([], _LOG)
-        return log.groupBy("name").agg(F.max("version").alias("version"))
+        return self.published().groupBy("name").agg(F.max("version").alias("version"))
 
     def current(self, name: str) -> int:
         """Newest published version, 0 when there is none."""
@@ -92,6 +105,12 @@ class TableStore:
             return None
         return read_or_none(self.spark, self.path(name, f"version={version}"), schema)
 
+    def folders(self, *parts: object) -> list[str]:
+        """Names of the folders in a folder; none where it does not exist."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(*parts))
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(f.getPath().getName() for f in files.listStatus(folder) if f.isDirectory()) if files.exists(folder) else []
+
     def delete_folder(self, *parts: object) -> None:
         """Remove a folder nobody reads any more."""
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(*parts))

@@ -200,6 +200,153 @@ def test_a_failed_rebuild_leaves_the_index_as_it_was(spark, filled):
     assert (ix.index_centroids(store, again) == ix.index_centroids(store, again)).all() and ix.index_vectors(store, again).count() == 30
 
 
+def test_equal_vector_ids_are_refused_by_name(spark, store):
+    from pyspark.sql import functions as F
+
+    first_letter = lambda c: F.ascii(c).cast("bigint")
+    eb.sync_embeddings(store, people(spark, "a1", "b1"), ENCODER, id_function=first_letter)
+    with pytest.raises(ValueError, match="vector id 97 stands for both 'a1' and 'a2'"):
+        eb.sync_embeddings(store, people(spark, "a1", "b1", "a2"), ENCODER, id_function=first_letter)
+    assert set(vectors(store)) == {"a1", "b1"} and store.current(eb.registry_name(ENCODER.model)) == 1
+    assert counts(eb.sync_embeddings(store, people(spark, "a1", "b1", "c1"), ENCODER, id_function=first_letter)) == (1, 0, 0, 3, False)
+
+
+def skilled(spark, *groups, start=1):
+    return employees(spark, *[employee_rows(i, skills, start=start, **more) for i, skills, more in groups])
+
+
+def test_unchanged_rows_build_no_text(spark, store, monkeypatch):
+    a, b = ("a", [("Go", "L", 2.0), ("C", "L", 1.0)], {}), ("b", [("Go", "L", 2.0)], {})
+    eb.sync_embeddings(store, skilled(spark, a, b), ENCODER, detect_changes=True)
+    monkeypatch.setattr(eb, "build_profiles", None)  # any text would fail
+    for same in (skilled(spark, a, b), skilled(spark, a, b, start=5000), skilled(spark, a, b).repartition(5),
+                 skilled(spark, ("a", a[1], {"bandwidth": 5.0, "name": "Other"}), b)):
+        assert eb.sync_embeddings(store, same, ENCODER, detect_changes=True).version == 1
+    with pytest.raises(TypeError):
+        eb.sync_embeddings(store, skilled(spark, ("a", [("C", "L", 1.0), ("Go", "L", 2.0)], {}), b), ENCODER, detect_changes=True)
+
+
+@pytest.mark.parametrize("skills, more, changed", [
+    ([("C", "L", 1.0), ("Go", "L", 2.0)], {}, 1),  # another order
+    ([("Go", "L", 2.0), ("C", "L", 1.0), ("go ", "X", 9.0)], {}, 0),  # other rows, the same text
+    ([("Go", "L", 2.0), ("C", None, 1.0)], {}, 1),
+    ([("Go", "L", 2.0), ("C", "L", 1.5)], {}, 1),
+    ([("Go", "L", 2.0), ("C", "L", 1.0)], {"summary": None}, 1),
+    ([("Go", "L", 2.0)], {}, 1)])
+def test_only_another_text_is_a_change(spark, store, skills, more, changed):
+    eb.sync_embeddings(store, skilled(spark, ("a", [("Go", "L", 2.0), ("C", "L", 1.0)], {}), ("b", [("Go", "L", 2.0)], {})), ENCODER, detect_changes=True)
+    now = skilled(spark, ("a", skills, more), ("b", [("Go", "L", 2.0)], {}))
+    assert eb.sync_embeddings(store, now, ENCODER, detect_changes=True).changed_count == changed
+    assert eb.sync_embeddings(store, now, ENCODER, detect_changes=True).changed_count == 0
+
+
+def test_a_registry_without_texts_gets_them(spark, store):
+    eb.sync_embeddings(store, people(spark, "1", "2"), ENCODER)
+    assert eb.sync_embeddings(store, people(spark, "1", "2"), ENCODER, detect_changes=True).changed_count == 2
+    assert eb.sync_embeddings(store, people(spark, "1", "2"), ENCODER, detect_changes=True).version == 2
+
+
+def aged(store):
+    """A history with replaced vectors, a leaver, a newcomer, and an index that serves the first version."""
+    spark = store.spark
+    eb.sync_embeddings(store, people(spark, "1", "2", "3", "4"), ENCODER, detect_changes=True)
+    ix.create_index(store, "old", ENCODER.model)
+    ix.create_index(store, "cells", ENCODER.model, "ivf", nlist=2, nprobe=2)
+    moved = people(spark, "1", "3", "5").unionByName(people(spark, "2", domain="Retail"))
+    eb.sync_embeddings(store, moved, ENCODER, detect_changes=True)
+    ix.append_index(store, "cells")
+    last = people(spark, "1", "5").unionByName(people(spark, "2", domain="Retail")).unionByName(people(spark, "3", domain="Bank"))
+    eb.sync_embeddings(store, last, ENCODER, detect_changes=True)
+    return last
+
+
+def state(store):
+    held = {n: sorted((r["employee_id"], r["vec"]) for r in ix.index_vectors(store, ix.index_row(store, n)).collect()) for n in ("old", "cells")}
+    return vectors(store), held, eb.embedding_sets(store).first()["dim"]
+
+
+def test_compaction_keeps_what_is_named(spark, store):
+    aged(store)
+    before = state(store)
+    assert eb.published_vectors(store, ENCODER.model).count() == 7
+    with pytest.raises(RuntimeError, match="lost driver"):
+        eb.compact_vectors(Dying(spark, store.root), ENCODER.model)
+    assert state(store) == before and eb.published_vectors(store, ENCODER.model).count() == 7
+    # 2 and 3 are served by the old index in their first version, 2 also live in its second: nothing to drop yet
+    assert eb.compact_vectors(store, ENCODER.model) == {"version": 3, "kept": 7, "dropped": 0}
+    assert state(store) == before
+    assert eb.delete_compacted(store, ENCODER.model) == 0  # too young
+    assert eb.delete_compacted(store, ENCODER.model, retention_hours=0) == 3
+    assert state(store) == before and store.folders("vectors") == [f"model={ENCODER.model}"] and not store.folders("vectors", f"model={ENCODER.model}")
+    assert eb.compact_vectors(store, ENCODER.model) == {"version": 3, "kept": 0, "dropped": 0}
+
+
+def test_work_goes_on_after_a_compaction(spark, store):
+    last = aged(store)
+    ix.append_index(store, "old")
+    ix.append_index(store, "cells")
+    assert eb.compact_vectors(store, ENCODER.model)["dropped"] == 2
+    eb.delete_compacted(store, ENCODER.model, retention_hours=0)
+    assert ix.compact_index(store, "cells") == {"kept": 5, "dropped": 2}
+    row = ix.index_row(store, "cells")
+    assert row["parts"] == 1 and ix.index_reach(store, row).count() <= 2
+    # 4, who had left, comes back with the vector it had; 6 is new
+    result = eb.sync_embeddings(store, last.unionByName(people(spark, "4", "6")), ENCODER, detect_changes=True)
+    assert counts(result) == (1, 0, 1, 6, True)
+    assert set(vectors(store)) == set("123456") and vectors(store)["4"][1] == 1
+    assert ix.append_index(store, "cells") == {"appended": 1, "total": 6} and ix.append_index(store, "old")["total"] == 6
+    held = state(store)[1]
+    assert held["old"] == held["cells"] == sorted((k, v[0]) for k, v in vectors(store).items())
+    assert eb.compact_vectors(store, ENCODER.model) == {"version": 4, "kept": 6, "dropped": 0}
+    assert eb.delete_compacted(store, ENCODER.model, retention_hours=0) == 2 and len(vectors(store)) == 6
+
+
+def test_pairing_counts_both_sides_and_dimensions(spark):
+    from staffmatch.operators.sync import pair_report
+
+    registry = spark.createDataFrame([("a", 1, True), ("b", 1, True), ("c", 2, True), ("d", 1, False), ("e", 1, True), ("f", 1, True)],
+                                     "employee_id string, vector_version bigint, is_active boolean")
+    rows = [("a", 1, [1.0, 2.0]), ("b", 1, [1.0, 2.0]), ("c", 1, [1.0, 2.0]), ("d", 1, [1.0]), ("x", 1, [1.0, 2.0]), ("f", 1, [1.0, 2.0, 3.0])]
+    held = spark.createDataFrame(rows, "employee_id string, version bigint, vec array<float>")
+    assert pair_report(held, registry) == {"paired": 3, "ids_without_vector": 2, "vectors_without_id": 1, "wrong_dim": 1, "dim": 2}
+    assert pair_report(held.where("false"), registry)["ids_without_vector"] == 5
+    assert pair_report(held, registry.where("false")) == {"paired": 0, "ids_without_vector": 0, "vectors_without_id": 6, "wrong_dim": 0, "dim": 0}
+
+
+def test_small_and_repetitive_staffs_get_fewer_cells(spark, store):
+    same = LookupEncoder("same", spark.createDataFrame([(i, [0.6, 0.8]) for i in "123"], "employee_id string, vec array<float>"))
+    eb.sync_embeddings(store, people(spark, "1", "2", "3"), same)
+    assert ix.create_index(store, "few", "same", "ivf", nlist=3)["vector_count"] == 3
+    assert len(ix.index_centroids(store, ix.index_row(store, "few"))) == 1 and ix.index_row(store, "few")["nlist"] == 3
+    assert ix.append_index(store, "few", rebuild=True)["total"] == 3
+    with pytest.raises(ValueError, match="3 vectors cannot train 4 cells"):
+        ix.create_index(store, "more", "same", "ivf", nlist=4)
+
+
+@pytest.mark.parametrize("kind", ["exact", "ivf"])
+def test_vectors_of_unequal_length_are_refused(spark, store, kind):
+    odd = LookupEncoder("odd", spark.createDataFrame([("1", [1.0, 0.0]), ("2", [1.0]), ("3", [0.0, 1.0])], "employee_id string, vec array<float>"))
+    eb.sync_embeddings(store, people(spark, "1", "2", "3"), odd)
+    with pytest.raises(Exception, match="vector dimension must be 2"):
+        ix.create_index(store, "i", "odd", kind, nlist=1)
+
+
+@pytest.mark.parametrize("plan", ["auto", "grid"])
+def test_an_exact_search_of_cells_equals_the_flat_one(spark, filled, plan):
+    from staffmatch.operators.knn import KnnOptions
+
+    store, ids = filled
+    profiles = build_profiles(people(spark, *ids))
+    wanted = ENCODER.encode(requirements(spark, *[requirement(f"R{i}", [(f"Skill {i:02d}", "L", None)]) for i in range(6)])
+                            .withColumn("text", requirement_text()))
+    ix.create_index(store, "flat", ENCODER.model, "flat")
+    ix.create_index(store, "cells", ENCODER.model, "ivf", nlist=6, nprobe=1)
+    eb.sync_embeddings(store, people(spark, *ids[2:]), ENCODER)  # bounds and counts still hold the leavers
+    search = lambda name, **more: found(ix.search_index(
+        store, name, wanted, profiles, model=ENCODER.model, candidate_k=4, top_n=4, options=KnnOptions(plan=plan), **more))
+    assert search("cells", exact=True) == search("flat") != search("cells")
+
+
 def test_an_encoder_reads_each_requirement_once(spark, filled):
     store, ids = filled
     calls = spark.sparkContext.accumulator(0)
