@@ -55,6 +55,9 @@ SELECT employee_id, lower(trim(skill)) AS skill_key, min(row_seq) AS first_seq,
               ' | Experience: ', arg_min({_number('skill_experience_years')}, row_seq), ' years') AS line
 FROM employee_skill WHERE trim(skill) <> '' GROUP BY 1, 2"""
 
+# Lines of the rows in the opposite order.
+CTES["skill_reversed"] = CTES["skill_first"].replace("row_seq", "(-row_seq)")
+
 CTES["skill_list"] = """
 SELECT employee_id, string_agg(skill, '|' ORDER BY first_seq) AS skills
 FROM (SELECT employee_id, skill, min(row_seq) AS first_seq FROM employee_skill GROUP BY 1, 2) GROUP BY 1"""
@@ -137,6 +140,26 @@ FROM (SELECT p.requirement_id, v.employee_id,
 QUALIFY candidate_rank <= 50"""
 
 
+CTES["distinct_vector"] = """
+SELECT vec, count(*) AS n, min(employee_id) AS first_id FROM vector WHERE list_inner_product(vec, vec) > 0 GROUP BY vec"""
+
+CTES["trained_0"] = """
+SELECT row_number() OVER (ORDER BY sha256('7:' || first_id), first_id) - 1 AS cell, [x/sqrt(list_inner_product(vec, vec)) FOR x IN vec] AS centre
+FROM distinct_vector QUALIFY cell < 20"""
+
+# A round: vectors to their nearest centre, weighted sums on a grid of 2^-40, unit length again.
+for _round in range(4):
+    CTES[f"nearest_{_round}"] = f"""
+SELECT v.vec, v.n, c.cell FROM distinct_vector v, trained_{_round} c
+QUALIFY row_number() OVER (PARTITION BY v.first_id
+  ORDER BY floor(list_inner_product(v.vec, c.centre)*1000000000.0 + 0.5) DESC, c.cell) = 1"""
+    CTES[f"trained_{_round + 1}"] = f"""
+SELECT cell, [x/sqrt(list_inner_product(total, total)) FOR x IN total] AS centre FROM (
+  SELECT cell, list(CAST(total AS DOUBLE) ORDER BY pos) AS total FROM (
+    SELECT cell, pos, sum(CAST(floor(x*1099511627776.0 + 0.5) AS BIGINT)*n) AS total
+    FROM (SELECT cell, n, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM nearest_{_round}) GROUP BY 1, 2) GROUP BY 1)"""
+
+
 def _scored(ratio: str = "1.0", candidate: str = "candidate") -> str:
     return f"""
 SELECT c.requirement_id, c.employee_id, c.similarity, h.employee_name, h.domain, h.total_experience_years,
@@ -160,6 +183,7 @@ LEFT JOIN (
 
 CTES["scored"] = _scored()
 CTES["scored_100"] = _scored("1.0", "candidate_100")
+CTES["scored_probed"] = _scored("1.0", "probed")
 CTES["scored_by_years"] = _scored("CASE WHEN q.years > 0 THEN least(l.years/q.years, 1.0) ELSE 1.0 END")
 
 
@@ -174,6 +198,7 @@ FROM (SELECT *, {m}*skill_coverage + {e}*skill_experience_score + {d}*domain_sco
 
 CTES["ruled"] = _ruled("scored")
 CTES["ruled_100"] = _ruled("scored_100")
+CTES["ruled_probed"] = _ruled("scored_probed")
 CTES["ruled_by_years"] = _ruled("scored_by_years", "0.25", "0.25", "0.4", "0.1")
 CTES["ruled_weighted"] = _ruled(
     "scored",
@@ -195,6 +220,7 @@ WHERE {where}"""
 # 0/3, 1/3, 2/3, 3/3 and 4/3 are the domain weights; the last is out of range.
 CTES["ranked"] = _ranked("ruled")
 CTES["ranked_100"] = _ranked("ruled_100")
+CTES["ranked_probed"] = _ranked("ruled_probed")
 CTES["ranked_by_years"] = _ranked("ruled_by_years")
 CTES["ranked_weighted"] = _ranked("ruled_weighted", "s%3 = 0 OR s%5 <= 3")
 
@@ -364,6 +390,34 @@ _INDEXES = "(SELECT unnest(['all', 'cells']) AS index_name)"
 BODIES = {
     "csv_load": "SELECT id AS employee_id, full_name AS employee_name, skill, coalesce(skill_category, '') AS skill_category, reason, "
                 "row_number() OVER (PARTITION BY k ORDER BY row_seq) AS place FROM csv_row",
+    "csv_load_split": "SELECT employee_id, employee_name, skill, coalesce(skill_category, '') AS skill_category, "
+                      "row_number() OVER (ORDER BY row_seq) AS place, "
+                      "row_number() OVER (PARTITION BY employee_id ORDER BY row_seq) AS own_place FROM employee_skill",
+    "sync_detect_changes": """SELECT employee_id, CASE WHEN changed THEN 'CHANGE' ELSE 'KEEP' END AS action,
+        CAST(CASE WHEN changed THEN 2 ELSE 1 END AS BIGINT) AS vector_version FROM (
+          SELECT a.employee_id, c_nationkey = 2 OR (c_nationkey = 3 AND f.lines IS DISTINCT FROM r.lines) AS changed FROM active a
+          LEFT JOIN (SELECT employee_id, string_agg(line, chr(10) ORDER BY first_seq) AS lines FROM skill_first GROUP BY 1) f USING (employee_id)
+          LEFT JOIN (SELECT employee_id, string_agg(line, chr(10) ORDER BY first_seq) AS lines FROM skill_reversed GROUP BY 1) r USING (employee_id))""",
+    "vector_id_conflicts": """SELECT k // 10 AS vector_id, count(*) AS employees, min(employee_id) AS first_id, max(employee_id) AS last_id
+        FROM active GROUP BY 1 HAVING count(*) > 1""",
+    "knn_exact_blocks": _KNN + "candidate",
+    "ivf_exact_probe": _KNN + "candidate",
+    "ivf_train": """SELECT cell, n, pos, floor(x*1000000.0 + 0.5)/1000000.0 AS x FROM (
+          SELECT cell, unnest(centre) AS x, generate_subscripts(centre, 1) AS pos FROM trained_3)
+        JOIN (SELECT cell, CAST(sum(n) AS BIGINT) AS n FROM nearest_3 GROUP BY 1) USING (cell)""",
+    "index_pairing": """SELECT count(*) FILTER (c_nationkey NOT IN (0, 1)) AS paired, count(*) FILTER (c_nationkey = 0) AS ids_without_vector,
+        count(*) FILTER (c_nationkey = 1) AS vectors_without_id, count(*) FILTER (c_nationkey = 2) AS wrong_dim, CAST(64 AS BIGINT) AS dim
+        FROM vector""",
+    "vectors_after_compaction": """SELECT what, employee_id, floor(vec[1]*CASE c_nationkey WHEN 2 THEN -1 ELSE 1 END*10000.0 + 0.5)/10000.0 AS first_component,
+        (SELECT count(*) FROM vector) AS kept, (SELECT count(*) FROM vector WHERE c_nationkey = 2) AS dropped,
+        (SELECT count(*) FROM vector WHERE c_nationkey = 2) AS index_dropped
+        FROM vector, (SELECT unnest(['live', 'index']) AS what) WHERE c_nationkey <> 1""",
+    "stored_index_probe": _matches("ranked_probed"),
+    "requirement_result": """SELECT r.requirement_id, r.project_description, r.project_criticality, display_text, embedding_text,
+        m.total_matches, m.results FROM requirement r JOIN requirement_display USING (requirement_id) JOIN requirement_text USING (requirement_id)
+        JOIN (SELECT requirement_id, max(total_matches) AS total_matches,
+              string_agg(concat(CAST(rank AS VARCHAR), ':', employee_id, ':', printf('%.4f', final_rank), ':', confidence), '|' ORDER BY rank) AS results
+              FROM ranked WHERE rank <= 5 GROUP BY 1) m USING (requirement_id)""",
     "requirement_files": "SELECT display_text || chr(10) AS requirement_text FROM requirement_display",
     "encode_default": "SELECT requirement_id, employee_id, CAST(candidate_rank AS INTEGER) AS candidate_rank, "
                       "floor(similarity*10000.0 + 0.5)/10000.0 AS similarity FROM word_candidate",
@@ -381,7 +435,7 @@ BODIES = {
         (SELECT count(*) FROM vector) AS stored_total
         FROM vector, (SELECT unnest(['before', 'after']) AS step), {_INDEXES}""",
     "index_after_rebuild": f"""SELECT index_name, employee_id, (SELECT count(*) FROM vector WHERE c_nationkey <> 1) AS stored_total,
-        CAST(CASE index_name WHEN 'cells' THEN 20 ELSE 20 END AS INTEGER) AS nlist
+        CAST(20 AS INTEGER) AS nlist
         FROM vector, {_INDEXES} WHERE c_nationkey <> 1""",
     "index_after_drop": "SELECT 'all' AS index_name, (SELECT count(*) FROM vector WHERE c_nationkey <> 1) AS vector_count",
     "ingest_clean": f"SELECT {_INGEST_COLUMNS} FROM employee_skill WHERE c_acctbal >= 0",

@@ -20,12 +20,13 @@ from staffmatch.plans import embeddings as eb
 from staffmatch.plans import indexes as ix
 from staffmatch.plans.explain import attach_explanations, explanation_prompts
 from staffmatch.plans.match import candidates, match, rank_pairs
+from staffmatch.plans.results import requirement_results
 from staffmatch.schemas import EMPLOYEE_SKILL, REGISTRY
 from staffmatch.sources import staffing as st
 from staffmatch.sources.employees import read_employee_csv, read_snapshot, save_snapshot, typed_employees
 from staffmatch.sources.requirements import parse_requirements, read_requirement_texts, split_by_weights
 from staffmatch.sources.tables import TableStore, work_folder
-from staffmatch.streaming.requirements import read_reply_stream, stream_matches
+from staffmatch.streaming.requirements import read_matches, read_reply_stream, stream_matches
 from staffmatch.streaming.snapshots import read_manifest_stream, stream_sync
 
 GRID = KnnOptions(plan="grid", block_rows=256, seed_fraction=0.2)
@@ -130,6 +131,28 @@ def csv_load(spark, sf):
     return both.select(F.coalesce("employee_id", F.lit("")).alias("employee_id"), "employee_name", "skill", "skill_category", "reason", place.cast("bigint").alias("place"))
 
 
+def csv_load_split(spark, sf):
+    """The same rows without line breaks, from several files that are split into many tasks and carry no order column."""
+    rows = st.employees(spark, sf, False).withColumn("source_key", F.substring("employee_id", 4, 12).cast("bigint").cast("string"))
+    table = rows.select("row_seq", "employee_id", "employee_name", "domain", "domain_experience_years", "total_experience_years",
+                        "current_bandwidth_percent", "skill", "skill_category", "skill_experience_years", "source_key")
+    folder = work_folder(spark)
+    (table.repartitionByRange(3, "row_seq").sortWithinPartitions("row_seq").drop("row_seq")
+     .write.option("header", True).option("escape", '"').option("quoteAll", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/csv"))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        raw = read_employee_csv(spark, f"{folder}/csv", multi_line=False)
+        clean, _ = typed_employees(raw.withColumn("past_project_execution_summary", F.col("source_key")))
+        clean.write.parquet(f"{folder}/loaded")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    loaded = spark.read.parquet(f"{folder}/loaded")
+    numbered = pf.number_rows(loaded.withColumnRenamed("row_seq", "at"), "employee_id", ["at"], F.shiftright("at", 14))
+    return numbered.select("employee_id", "employee_name", "skill", "skill_category", F.col("at").alias("place"), F.col("row_seq").alias("own_place"))
+
+
 def requirement_files(spark, sf):
     """Requirement texts written as files, one each, and read back."""
     folder = f"{work_folder(spark)}/texts"
@@ -214,11 +237,11 @@ def _office_snapshots(spark, sf):
     return [people.where("c_nationkey <> 0"), people.where("c_nationkey <> 1"), people, people]
 
 
-def _registry_chain(spark, sf):
+def _registry_chain(spark, sf, steps=4):
     """Staged registries after each snapshot; every step is a written table."""
     store = TableStore(spark, work_folder(spark))
     registry, chain = spark.createDataFrame([], REGISTRY), []
-    for version, ids in enumerate(_office_snapshots(spark, sf), start=1):
+    for version, ids in enumerate(_office_snapshots(spark, sf)[:steps], start=1):
         labels = sy.label_ids(ids.select("employee_id"), registry)
         registry = store.stage("registry", version, sy.next_registry(labels, st.MODEL, version))
         chain.append(registry)
@@ -236,11 +259,34 @@ def sync_labels(spark, sf):
 
 def registry_after_sync(spark, sf):
     """After the second snapshot: some joined, some left, the rest stayed."""
-    return _registry_chain(spark, sf)[1].select("employee_id", "vector_id", "vector_version", "is_active")
+    return _registry_chain(spark, sf, 2)[1].select("employee_id", "vector_id", "vector_version", "is_active")
 
 
 def registry_active(spark, sf):
-    return _registry_chain(spark, sf)[1].where("is_active").select("employee_id", "vector_id")
+    return _registry_chain(spark, sf, 2)[1].where("is_active").select("employee_id", "vector_id")
+
+
+def vector_id_conflicts(spark, sf):
+    """Ids from an id function that leaves the last digit out, as the sync would refuse them."""
+    labels = sy.label_ids(st.active_ids(spark, sf).select("employee_id"), spark.createDataFrame([], REGISTRY))
+    return sy.id_conflicts(sy.next_registry(labels, st.MODEL, 1, lambda c: F.substring(c, 4, 11).cast("bigint")))
+
+
+def sync_detect_changes(spark, sf):
+    """Office 2 changes its domain, the rows of office 3 come in the opposite order, office 4 has other capacity, office 5
+    moves to other places of the file: what the second run says about everybody."""
+    folder = work_folder(spark)
+    store, people = TableStore(spark, f"{folder}/store"), _office_people(spark, sf)
+    encoder = LookupEncoder(st.MODEL, st.active_vectors(spark, sf))
+    eb.sync_embeddings(store, people, encoder, detect_changes=True)
+    office = F.col("c_nationkey")
+    later = people.select(
+        "employee_id", F.when(office == 3, -F.col("row_seq")).when(office == 5, F.col("row_seq") + 12345).otherwise(F.col("row_seq")).alias("row_seq"),
+        F.when(office == 2, F.lit("NEW")).otherwise(F.col("domain")).alias("domain"),
+        F.when(office == 4, F.lit(1.0)).otherwise(F.col("current_bandwidth_percent")).alias("current_bandwidth_percent"),
+        *[c for c in EMPLOYEE_SKILL.fieldNames() if c not in ("employee_id", "row_seq", "domain", "current_bandwidth_percent")])
+    eb.sync_embeddings(store, later, encoder, detect_changes=True)
+    return eb.read_registry(store, st.MODEL).select("employee_id", "action", "vector_version")
 
 
 def sync_summary(spark, sf):
@@ -287,6 +333,52 @@ def knn_exact_grid(spark, sf):
     return _knn_columns(candidates(st.requirements(spark, sf), st.active_vectors(spark, sf), options=GRID))
 
 
+def knn_exact_blocks(spark, sf):
+    """Requirements beyond the broadcast bound: block by block over an item scan that is never shuffled."""
+    options = KnnOptions(plan="blocks", broadcast_bytes=64_000)
+    return _knn_columns(candidates(st.requirements(spark, sf), st.active_vectors(spark, sf), options=options))
+
+
+def ivf_train(spark, sf):
+    """Centroids after three rounds over the distinct vectors, and how many vectors each then holds."""
+    vectors = st.active_vectors(spark, sf)
+    centroids = ivf.train_centroids(vectors, CELLS, seed=7, max_iter=3)
+    sizes = ivf.assign_cells(vectors, centroids).groupBy("cell").agg(F.count("*").alias("n"))
+    parts = ivf.centroid_table(spark, centroids).select("cell", F.posexplode("centroid").alias("pos", "x"))
+    return parts.join(sizes, "cell").select(
+        F.col("cell").cast("bigint").alias("cell"), "n", (F.col("pos") + 1).cast("bigint").alias("pos"),
+        nm.round_half_up(F.col("x"), 6).alias("x"))
+
+
+def _trained_index(spark, sf):
+    store = TableStore(spark, work_folder(spark))
+    vectors = st.active_vectors(spark, sf)
+    employees = st.employees(spark, sf, False).join(vectors.select("employee_id"), "employee_id", "left_semi")
+    eb.sync_embeddings(store, employees, LookupEncoder(st.MODEL, vectors))
+    ix.create_index(store, "cells", st.MODEL, "ivf", nlist=CELLS, nprobe=2)
+    return store, ix.index_row(store, "cells")
+
+
+def ivf_exact_probe(spark, sf):
+    """Two cells first, then those whose stored bounds can still hold a candidate: the exact result."""
+    store, row = _trained_index(spark, sf)
+    centroids, reach = ix.index_centroids(store, row), ix.index_reach(store, row)
+    return _knn_columns(candidates(
+        st.requirements(spark, sf), ix.index_vectors(store, row), centroids=centroids, nprobe=row["nprobe"],
+        reach=ivf.read_reach(reach, len(centroids)), cell_sizes=reach.select("cell", "n")))
+
+
+def index_pairing(spark, sf):
+    """Office 0 has no vectors, office 1 is not registered, office 2 has short vectors."""
+    people = st.active_vectors(spark, sf).select("employee_id", "vec").join(
+        _office_people(spark, sf).select("employee_id", "c_nationkey").distinct(), "employee_id")
+    registry = people.where("c_nationkey <> 1").select("employee_id", F.lit(1).cast("bigint").alias("vector_version"), F.lit(True).alias("is_active"))
+    held = people.where("c_nationkey <> 0").select("employee_id", F.lit(1).cast("bigint").alias("version"), F.when(
+        F.col("c_nationkey") == 2, F.slice("vec", 1, 3)).otherwise(F.col("vec")).alias("vec"))
+    report = sy.pair_report(held, registry)
+    return spark.range(1).select(*[F.lit(n).cast("bigint").alias(c) for c, n in report.items()])
+
+
 def ivf_cells(spark, sf):
     cells = ivf.assign_cells(st.active_vectors(spark, sf), _table_centroids(spark, sf))
     return cells.select("employee_id", F.col("cell").cast("bigint").alias("cell"))
@@ -455,6 +547,34 @@ def index_after_change(spark, sf):
     return before.unionByName(_members(store, folder, "after", first)).drop("nlist")
 
 
+def vectors_after_compaction(spark, sf):
+    """Office 2 changes, office 1 leaves, the replaced vectors go; what is live and what the index finds afterwards."""
+    folder = work_folder(spark)
+    store, people, vectors = TableStore(spark, f"{folder}/store"), _office_people(spark, sf), st.active_vectors(spark, sf)
+    moved = F.col("c_nationkey") == 2
+    eb.sync_embeddings(store, people, LookupEncoder(st.MODEL, vectors), detect_changes=True)
+    ix.create_index(store, "cells", st.MODEL, "ivf", centroids=_table_centroids(spark, sf), nprobe=20)
+    turned = vectors.join(people.where(moved).select("employee_id").distinct().withColumn("moved", F.lit(True)), "employee_id", "left").withColumn(
+        "vec", F.when(F.col("moved"), F.transform("vec", lambda x: -x)).otherwise(F.col("vec")))
+    later = people.where("c_nationkey <> 1").withColumn("domain", F.when(moved, F.lit("NEW")).otherwise(F.col("domain")))
+    eb.sync_embeddings(store, later, LookupEncoder(st.MODEL, turned), detect_changes=True)
+    ix.append_index(store, "cells")
+    done, index = eb.compact_vectors(store, st.MODEL), ix.compact_index(store, "cells")
+    eb.delete_compacted(store, st.MODEL, retention_hours=0)
+    live = eb.read_vectors(store, st.MODEL).select(F.lit("live").alias("what"), "employee_id", "vec")
+    found = ix.index_vectors(store, ix.index_row(store, "cells")).select(F.lit("index").alias("what"), "employee_id", "vec")
+    return live.unionByName(found).select(
+        "what", "employee_id", nm.round_half_up(F.get("vec", F.lit(0)).cast("double"), 4).alias("first_component"),
+        F.lit(done["kept"]).cast("bigint").alias("kept"), F.lit(done["dropped"]).cast("bigint").alias("dropped"),
+        F.lit(index["dropped"]).cast("bigint").alias("index_dropped"))
+
+
+def stored_index_probe(spark, sf):
+    """Half of the cells of a stored index."""
+    store = _filled_store(spark, sf)
+    return _flat_match(ix.search_index(store, "cells", st.requirements(spark, sf), _profiles(spark, sf), model=st.MODEL, nprobe=10))
+
+
 # ---- scores and matches --------------------------------------------------------------------
 
 def final_rank(spark, sf):
@@ -518,6 +638,15 @@ def match_with_explanations(spark, sf):
     return attach_explanations(matches, answers).select("requirement_id", "employee_id", "rank", "explanation")
 
 
+def requirement_result(spark, sf):
+    """One row per requirement: its record, both texts, and the matches in order."""
+    requirements = st.requirements(spark, sf)
+    rows = requirement_results(requirements, match(requirements, _profiles(spark, sf), st.active_vectors(spark, sf), top_n=5))
+    line = lambda r: F.concat_ws(":", r["rank"], r["employee_id"], F.format_string("%.4f", r["final_rank"]), r["confidence"])
+    return rows.select("requirement_id", "record.project_description", "record.project_criticality", "display_text", "embedding_text",
+                       "total_matches", F.array_join(F.transform("results", line), "|").alias("results"))
+
+
 def explanations(spark, sf):
     requirements, profiles = st.requirements(spark, sf), _profiles(spark, sf, True)
     matches = match(requirements, profiles, st.active_vectors(spark, sf))
@@ -563,7 +692,7 @@ def stream_match(spark, sf):
 
     query = stream_matches(read_reply_stream(spark, f"{folder}/in", 1), match_batch, f"{folder}/out", f"{folder}/checkpoint")
     query.awaitTermination()
-    return _flat_match(spark.read.parquet(f"{folder}/out/matches").drop("batch_id"))
+    return _flat_match(read_matches(spark, f"{folder}/out").drop("batch_id"))
 
 
 def stream_sync_query(spark, sf):
@@ -586,6 +715,7 @@ QUERIES = {
     "ingest_quarantine": ingest_quarantine,
     "snapshot_roundtrip": snapshot_roundtrip,
     "csv_load": csv_load,
+    "csv_load_split": csv_load_split,
     "requirement_files": requirement_files,
     "employee_header": employee_header,
     "employee_skill_list": employee_skill_list,
@@ -602,11 +732,17 @@ QUERIES = {
     "registry_after_sync": registry_after_sync,
     "registry_active": registry_active,
     "sync_summary": sync_summary,
+    "sync_detect_changes": sync_detect_changes,
+    "vector_id_conflicts": vector_id_conflicts,
     "vector_id_lookup": vector_id_lookup,
     "vectors_normalized": vectors_normalized,
     "pair_similarity": pair_similarity,
     "knn_exact": knn_exact,
     "knn_exact_grid": knn_exact_grid,
+    "knn_exact_blocks": knn_exact_blocks,
+    "ivf_train": ivf_train,
+    "ivf_exact_probe": ivf_exact_probe,
+    "index_pairing": index_pairing,
     "ivf_cells": ivf_cells,
     "ivf_probes": ivf_probes,
     "ivf_search": ivf_search,
@@ -616,6 +752,8 @@ QUERIES = {
     "index_catalog": index_catalog,
     "embedding_sets": embedding_sets,
     "stored_index_match": stored_index_match,
+    "stored_index_probe": stored_index_probe,
+    "vectors_after_compaction": vectors_after_compaction,
     "sync_after_failure": sync_after_failure,
     "index_after_append": index_after_append,
     "index_after_change": index_after_change,
@@ -636,6 +774,7 @@ QUERIES = {
     "match_top_n_weighted": match_top_n_weighted,
     "weights_rejected": weights_rejected,
     "match_skill_years": match_skill_years,
+    "requirement_result": requirement_result,
     "explanation_prompts": explanations,
     "match_with_explanations": match_with_explanations,
     "encode_default": encode_default,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schemas import EMPLOYEE_SKILL
@@ -20,7 +21,7 @@ def read_employee_csv(spark: SparkSession, path: str, multi_line: bool = True) -
 
     With ``multi_line`` values may hold line breaks, but Spark cannot split a file then; for very large
     files without line breaks inside values, turn it off. Files without a ``row_seq`` column get one by file name
-    and place in the file; several files that may be split need the column.
+    and place in the file, however they are split.
     """
     leaf = path.rstrip("/").rsplit("/", 1)[-1]
     if "." in leaf and not leaf.lower().endswith(".csv"):
@@ -30,19 +31,23 @@ def read_employee_csv(spark: SparkSession, path: str, multi_line: bool = True) -
         .option("pathGlobFilter", "*.[cC][sS][vV]").csv(path)
     )
     named = [F.col(f"`{c}`") for c in rows.columns if not _NAMELESS.match(c)]
-    files = sorted(rows.inputFiles())
-    if "row_seq" in rows.columns or len(files) < 2:
-        return rows.select(*named)
-    if not multi_line:
-        raise ValueError("several files that may be split need a row_seq column")
-    # A file is read by one task, in order: its number and the task's running number give the place.
-    # The two ways to name a file differ in the slashes after the scheme.
-    plain = [re.sub(":/+", ":/", f) for f in files]
-    numbers = spark.createDataFrame(list(zip(plain, range(len(files)))), "_file string, _number bigint")
-    placed = rows.select(*named, F.regexp_replace(F.col("_metadata.file_path"), ":/+", ":/").alias("_file"),
-                         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
-    return placed.join(numbers, "_file").withColumn(
-        "row_seq", F.shiftleft("_number", 33) + F.col("_place") + 1).drop("_file", "_number", "_place")
+    return rows.select(*named) if "row_seq" in rows.columns else _numbered(rows, named)
+
+
+def _numbered(rows: DataFrame, named: list) -> DataFrame:
+    """The rows with ``row_seq``: rows counted per file and split, prefix sums over the splits, and the place in a split.
+
+    A task reads its splits one after the other, so a split's rows have consecutive running numbers there. The counts
+    (a row per split) are the only thing that is ordered as a whole.
+    """
+    placed = rows.select(
+        *named, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_place"))
+    splits = placed.groupBy("_file", "_start").agg(F.count("*").alias("_rows"), F.min("_place").alias("_first"))
+    order = W.orderBy(F.element_at(F.split("_file", "/"), -1), "_file", "_start").rowsBetween(W.unboundedPreceding, -1)
+    offsets = splits.select("_file", "_start", (F.coalesce(F.sum("_rows").over(order), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return placed.join(offsets, ["_file", "_start"]).withColumn(
+        "row_seq", F.col("_place") + F.col("_shift") + 1).drop("_file", "_start", "_place", "_shift")
 
 
 def typed_employees(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -23,7 +23,7 @@ _LOG = T.StructType([
 ])
 
 
-def read_or_none(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
+def read_or_none(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame | None:
     """The parquet table, or None when the path does not exist."""
     reader = spark.read.schema(schema) if schema is not None else spark.read
     try:

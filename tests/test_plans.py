@@ -97,3 +97,13 @@ def test_registered_queries_have_matching_names():
     import __spark_entry__ as entry_points
 
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries()) >= set(q.QUERIES)
+
+
+def test_a_requirement_without_matches_has_an_empty_list(spark):
+    from staffmatch.plans.results import requirement_results
+    from tests.helpers import requirement, requirements
+
+    matches = spark.createDataFrame([("R1", 2, "b", 3), ("R1", 1, "a", 3)], "requirement_id string, rank int, employee_id string, total_matches bigint")
+    rows = {r["requirement_id"]: r for r in requirement_results(requirements(spark, requirement("R1"), requirement("R2")), matches).collect()}
+    assert [tuple(x) for x in rows["R1"]["results"]] == [(1, "a"), (2, "b")] and rows["R1"]["total_matches"] == 3
+    assert rows["R2"]["results"] == [] and rows["R2"]["total_matches"] == 0 and rows["R2"]["record"]["project_description"] == "New desk"

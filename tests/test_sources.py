@@ -1,7 +1,7 @@
 import pytest
 
 from staffmatch.operators.profiles import build_profiles, number_rows
-from staffmatch.sources.employees import load_employees, read_snapshot, save_snapshot
+from staffmatch.sources.employees import read_employee_csv, load_employees, read_snapshot, save_snapshot
 from staffmatch.sources.requirements import parse_requirements, read_requirement_texts
 
 HEADER = ("skill,Unnamed: 0,employee_id,employee_name,domain,domain_experience_years,total_experience_years,"
@@ -98,3 +98,24 @@ def test_work_folder_follows_the_session_setting(spark):
     from staffmatch.sources.tables import work_folder
 
     assert work_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+@pytest.mark.parametrize("split", [64, 1000, 1 << 20])
+def test_rows_of_split_files_come_in_file_order(spark, tmp_path, split):
+    folder = tmp_path / "staff"
+    folder.mkdir()
+    want = []
+    for f in range(3):
+        rows = [f"E{f}{i:03d},Go{i},{'x' * (i % 40)}" for i in range(150 - 60 * f)]
+        (folder / f"part-{f}.csv").write_text("employee_id,skill,domain\n" + "\n".join(rows) + "\n")
+        want += [r.split(",")[0] for r in rows]
+    (folder / "empty.CSV").write_text("employee_id,skill,domain\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = read_employee_csv(spark, str(folder), multi_line=False)
+        got = sorted((r["row_seq"], r["employee_id"]) for r in rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == list(enumerate(want, 1))
