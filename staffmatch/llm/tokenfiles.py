@@ -14,6 +14,7 @@ text sink puts after every row. The bases of the files are prefix sums of their
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
 from collections.abc import Iterator
@@ -25,61 +26,109 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from staffmatch.llm.binary_sink import file_contents, write_bytes
-from staffmatch.llm.pretokens import ChunkEncoder, chunks, gather
+from staffmatch.llm.pretokens import ChunkEncoder, chunks, flat_lists, gather
 from staffmatch.llm.words import SPACE, pieces, text_bytes, word_codes
 
 #: Fixed value: marks a finished file. Its highest byte is zero.
 MAGIC = 0x0031_4E45_4B4F_54
+#: Fixed value: stands for a null id in the files; it comes before all other ids.
+NO_ID = -1 << 63
+#: Chunks whose ids a Python worker keeps, about 100 MB; others are encoded again in every piece of text they are in.
+WORKER_CHUNKS = 600_000
 #: Bytes of text that one file is meant to hold.
 FILE_BYTES = 32 << 20
 
-# White space beyond ASCII, as bytes: texts with any of it, or with a special token's brackets, are encoded whole.
+# White space beyond ASCII, as bytes: texts with any of it, or with an added token, are encoded whole.
 _WIDE_SPACE = tuple(chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 
-def _plain(text: bytes) -> bool:
-    return b"<|" not in text and (text.isascii() or not any(c in text for c in _WIDE_SPACE))
-
-
-def encode_texts(column: pa.Array, encoder: ChunkEncoder, whole) -> list[np.ndarray]:
-    """Ids per row (null: none). A byte-level tokenizer splits text before every white-space run that follows
-    something else, so such chunks are encoded once each."""
-    data, rows = text_bytes(column)
-    space = SPACE[data]
-    cuts = np.zeros(len(data), dtype=bool)
-    cuts[1:] = space[1:] & ~space[:-1]
-    parts, first = chunks(data, rows, cuts)
-    codes, distinct = word_codes(parts)
-    flat, bounds = encoder(distinct)
-    ids, starts = gather(flat, bounds, codes, first)
-    out = [ids[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
-    raw = data.tobytes()
-    odd = [i for i, (a, b) in enumerate(zip(rows[:-1].tolist(), rows[1:].tolist())) if not _plain(raw[a:b])]
-    for i, ids in zip(odd, whole([raw[rows[i]:rows[i + 1]] for i in odd]) if odd else ()):
-        out[i] = np.array(ids, dtype=np.uint32)
-    return out
+class ByteEncoder:
+    """A tokenizer file's ids for whole columns of texts, as its library's encode gives them without special tokens.
 
+    A byte-level tokenizer with the usual pattern splits a text before every white-space run that follows something
+    else, so such chunks are encoded once each. Chunks that begin with white space and end without can stand one after
+    the other in one text: its ids are dealt back to them by the bytes that every id stands for. A tokenizer with a
+    normalizer or another pre-tokenizer gets whole texts.
+    """
 
-def _file_rows(tokenizer_path: str, end_id: int, width: int):
-    """Per partition: a row of ids per document, then one row with everything that follows the ids; last bytes cut."""
-    def run(batches) -> Iterator[pa.RecordBatch]:
+    def __init__(self, path: str) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
-        tokenizer, dtype = Tokenizer.from_file(tokenizer_path), f"<u{width}"
+        self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        kind, model = made["pre_tokenizer"] or {}, made["model"]
+        self.cuttable = (
+            made["normalizer"] is None and kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space")
+            and not model.get("unk_token") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+            and not model.get("dropout"))
+        self.added = tuple(t["content"].encode() for t in made["added_tokens"])
+        self.widths = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
+        for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.widths[number] = len(token)  # a character stands for a byte
+        self.encoder = ChunkEncoder(self.encode_chunks, WORKER_CHUNKS)
+
+    def encode_whole(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def encode_chunks(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        joined = [i for i, p in enumerate(parts) if SPACE[p[0]] and not SPACE[p[-1]]]
+        alone = np.ones(len(parts), dtype=bool)
+        alone[joined] = False
+        flat, sizes = flat_lists(self.encode_whole([b"".join([parts[i] for i in joined]), *[parts[i] for i in np.flatnonzero(alone)]]))
+        ends = np.cumsum(np.fromiter((len(parts[i]) for i in joined), dtype=np.int64, count=len(joined)))
+        at = np.cumsum(self.widths[flat[:sizes[0]]])
+        stops = np.searchsorted(at, ends) + 1
+        if len(joined) and (stops[-1] != sizes[0] or (at[stops - 1] != ends).any()):
+            raise ValueError("ids do not cover the chunks")
+        # In the order joined, alone; then in that of the parts.
+        counts = np.concatenate([np.diff(stops, prepend=0), sizes[1:]])
+        order = np.argsort(np.concatenate([np.array(joined, dtype=np.int64), np.flatnonzero(alone)]))
+        starts = np.cumsum(counts) - counts
+        ids, _ = gather(flat, starts, counts, order, np.zeros(1, dtype=np.int64))
+        return ids, counts[order]
+
+    def _plain(self, text: bytes) -> bool:
+        return (text.isascii() or not any(c in text for c in _WIDE_SPACE)) and not any(t in text for t in self.added)
+
+    def __call__(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids per row (null: none)."""
+        data, rows = text_bytes(column)
+        raw, bounds = data.tobytes(), rows.tolist()
+        odd = [i for i, (a, b) in enumerate(zip(bounds, bounds[1:])) if not self.cuttable or not self._plain(raw[a:b])]
+        if odd:
+            inside = np.ones(len(bounds) - 1, dtype=bool)
+            inside[odd] = False
+            data, rows = data[np.repeat(inside, np.diff(rows))], np.append(0, np.cumsum(np.diff(rows) * inside))
+        space = SPACE[data]
+        cuts = np.zeros(len(data), dtype=bool)
+        cuts[1:] = space[1:] & ~space[:-1]
+        parts, first = chunks(data, rows, cuts)
+        codes, distinct = word_codes(parts)
+        ids, starts = gather(*self.encoder(distinct), codes, first)
+        out = [ids[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+        for i, found in zip(odd, self.encode_whole([raw[bounds[i]:bounds[i + 1]] for i in odd]) if odd else ()):
+            out[i] = np.array(found, dtype=np.uint32)
+        return out
+
+
+#: Encoders of this Python worker, which serves many tasks one after the other: a tokenizer is read, and a chunk encoded, once.
+_ENCODERS: dict[str, ByteEncoder] = {}
 
-        def whole(texts: list[bytes]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
-        encoder, sizes, names = ChunkEncoder(whole), [], []
-        for batch in pieces(batches, "text", 2 << 20):
+def _file_rows(tokenizer_path: str, end_id: int, width: int):
+    """Per partition: a row of ids per document, then one row with everything that follows the ids; last bytes cut."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        encode, dtype = _ENCODERS.get(tokenizer_path) or _ENCODERS.setdefault(tokenizer_path, ByteEncoder(tokenizer_path)), f"<u{width}"
+        sizes, names = [], []
+        for batch in pieces(batches, "text", 4 << 20):
             rows = []
-            for ids in encode_texts(batch.column("text"), encoder, whole):
+            for ids in encode(batch.column("text")):
                 sizes.append(len(ids) + 1)
                 rows.append(np.append(ids, end_id).astype(dtype).tobytes()[:-1])
-            names.append(batch.column("doc_id").to_numpy(zero_copy_only=False))
+            names.append(batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.large_binary())], ["value"])
         if sizes:
             offsets = np.append(0, np.cumsum(sizes, dtype=np.int64))
@@ -111,8 +160,8 @@ class TokenFile:
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, file_bytes: int = FILE_BYTES) -> None:
     """Encode `docs` (doc_id, text; other columns are ignored) into token files below `path`.
 
-    A null or empty text is the end id alone. Rows with a null id are left out: they have no place in the order.
-    Repeated rows are written once each, side by side. An empty table writes no ids.
+    A null or empty text is the end id alone. Rows with a null id come first. Repeated rows are written once each, side by
+    side; of rows with one id those with the smaller hash of the text come first. An empty table writes no ids.
     """
     from tokenizers import Tokenizer
 
@@ -120,10 +169,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, f
     width = 2 if size <= 1 << 16 and end_id < 256 else 4
     if not 0 <= end_id < 1 << 24:
         raise ValueError("end id out of range")
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id IS NOT NULL")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     total = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, math.ceil(total / file_bytes), docs.sparkSession.sparkContext.defaultParallelism)
-    rows = (named.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    rows = (named.repartitionByRange(parts, *order).sortWithinPartitions(*order)
             .mapInArrow(_file_rows(tokenizer_path, end_id, width), "value binary"))
     write_bytes(rows, "value", "\0", path)
 
@@ -162,7 +212,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 f = _opened(p, content)
                 crcs = [zlib.crc32(f[i].astype("<u4").tobytes()) for i in range(f.n_docs)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.asarray(f.doc_ids)), pa.array(np.asarray(f.offsets[:-1]) + base),
+                    [pa.array(np.asarray(f.doc_ids), mask=np.asarray(f.doc_ids) == NO_ID), pa.array(np.asarray(f.offsets[:-1]) + base),
                      pa.array(np.diff(f.offsets)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     bases = file_bases(spark, path).select("path", "base")

@@ -26,16 +26,51 @@ def ids_of(tokenizer, text):
 HARD = ["  two  spaces ", "tab\t\tx \n\n y", "a b  c", "it's we'll don't 'tis", "x<|endoftext|>y", "é è́ 　 z", "\x1c a \x1f", "", "\u0085 b", "1 22 333", "…!? ,, ."]
 
 
-def test_chunks_encode_like_whole_texts(tokenizer):
+@pytest.mark.parametrize("kept", [5, 100_000])
+def test_chunks_encode_like_whole_texts(tokenizer, kept):
     import pyarrow as pa
 
-    whole = lambda texts: [tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts]
-    encoder = tf.ChunkEncoder(whole, kept=5)
+    encode = tf.ByteEncoder(PATH)
+    encode.encoder.kept = kept
     texts = HARD + awkward_texts()
+    assert encode.cuttable
     for _ in range(2):
-        for text, ids in zip(texts, tf.encode_texts(pa.array(texts, pa.string()), encoder, whole)):
+        for text, ids in zip(texts, encode(pa.array(texts, pa.string()))):
             assert ids.tolist() == ids_of(tokenizer, text)
-    assert len(encoder.known) == 5
+    assert kept > 5 or len(encode.encoder.known) == 5
+
+
+def test_lists_and_arrays_of_ids_are_kept_alike():
+    import pyarrow as pa
+
+    lists = lambda parts: [list(p) for p in parts]
+    for encode in (lists, lambda parts: tf.flat_lists(lists(parts))):
+        encoder = tf.ChunkEncoder(encode, kept=3)
+        for words in ([b"ab", b"c"], [b"c", b"def", b"ab"], [b"gh", b"i", b"c"], [b"gh", b"ab"]):
+            ids, starts, counts = encoder(pa.array(words, pa.binary()))
+            assert [bytes(ids[a:a + n].tolist()) for a, n in zip(starts, counts)] == words
+        assert set(encoder.known) == {b"ab", b"c", b"def"}
+
+
+@pytest.mark.parametrize("change", ["lower", "prefix", "words"])
+def test_other_tokenizers_get_whole_texts(tokenizer, tmp_path, change):
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    made = json.loads(tokenizer.to_str())
+    if change == "lower":
+        made["normalizer"] = {"type": "Lowercase"}
+    elif change == "prefix":
+        made["pre_tokenizer"]["add_prefix_space"] = True
+    else:
+        made["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Punctuation", "behavior": "Isolated"}, made["pre_tokenizer"]]}
+    path = str(tmp_path / "other.json")
+    (tmp_path / "other.json").write_text(json.dumps(made))
+    encode, other, texts = tf.ByteEncoder(path), Tokenizer.from_file(path), HARD + awkward_texts()[:20] + ["One Two  THREE's"]
+    assert not encode.cuttable
+    assert [ids.tolist() for ids in encode(pa.array(texts, pa.string()))] == [ids_of(other, t) for t in texts]
 
 
 def expected(tokenizer, rows, end):
@@ -72,8 +107,10 @@ def test_bases_are_prefix_sums_and_files_are_mapped(spark, tokenizer):
 
 def test_null_ids_and_empty_tables(spark):
     path = Scratch(spark, "test").path("files")
-    tf.write_tokens(spark.createDataFrame([(None, "x"), (-4, "y")], "doc_id long, text string"), path, PATH, 2)
-    assert [r["doc_id"] for r in tf.read_documents(spark, path).collect()] == [-4]
+    rows = [(None, "x"), (-4, "y"), (None, None), (7, "z")]
+    tf.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, PATH, 2, 10)
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in tf.read_documents(spark, path).collect())
+    assert [r[1] for r in got] == [None, None, -4, 7] and sorted(r[2] for r in got[:2]) == [1, 2] and got[2][0] == 3
     other = Scratch(spark, "test").path("files")
     tf.write_tokens(empty_docs(spark), other, PATH, 2)
     assert tf.read_documents(spark, other).count() == 0
