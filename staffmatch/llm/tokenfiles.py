@@ -41,12 +41,17 @@ FILE_BYTES = 32 << 20
 # White space beyond ASCII, as bytes: texts with any of it, or with an added token, are encoded whole.
 _WIDE_SPACE = tuple(chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+
 
 class ByteEncoder:
     """A tokenizer file's ids for whole columns of texts, as its library's encode gives them without special tokens.
 
     A byte-level tokenizer with the usual pattern splits a text before every white-space run that follows something
-    else, so such chunks are encoded once each. Chunks that begin with white space and end without can stand one after
+    else, and between an ASCII letter and an ASCII punctuation mark, so such chunks are encoded once each. Chunks that begin with white space and end without can stand one after
     the other in one text: its ids are dealt back to them by the bytes that every id stands for. A tokenizer with a
     normalizer or another pre-tokenizer gets whole texts.
     """
@@ -104,7 +109,7 @@ class ByteEncoder:
             data, rows = data[np.repeat(inside, np.diff(rows))], np.append(0, np.cumsum(np.diff(rows) * inside))
         space = SPACE[data]
         cuts = np.zeros(len(data), dtype=bool)
-        cuts[1:] = space[1:] & ~space[:-1]
+        cuts[1:] = (space[1:] & ~space[:-1]) | (_MARK[data[1:]] & _LETTER[data[:-1]])
         parts, first = chunks(data, rows, cuts)
         codes, distinct = word_codes(parts)
         ids, starts = gather(*self.encoder(distinct), codes, first)

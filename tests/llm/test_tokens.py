@@ -23,7 +23,8 @@ def ids_of(tokenizer, text):
     return tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
-HARD = ["  two  spaces ", "tab\t\tx \n\n y", "a b  c", "it's we'll don't 'tis", "x<|endoftext|>y", "é è́ 　 z", "\x1c a \x1f", "", "\u0085 b", "1 22 333", "…!? ,, ."]
+HARD = ["  two  spaces ", "tab\t\tx \n\n y", "a b  c", "it's we'll don't 'tis", "x<|endoftext|>y", "é è́ 　 z", "\x1c a \x1f", "", "\u0085 b", "1 22 333", "…!? ,, .",
+        "it's,we'll;o'clock rock'n'roll x's' a''s", "a,b.c-d_e\\f`g~h", "é,à;ß's ñ.", "end.\n\n  next,\t(word) ,x ,, y.,", "a.1 1.a a1,b2 A'LL 'd've", "tail, "]
 
 
 @pytest.mark.parametrize("kept", [5, 100_000])
