@@ -146,8 +146,11 @@ def shared_seeds(docs: DataFrame, copies: DataFrame, scratch: Scratch, k: int, s
     return per_doc
 
 
-def repeated_spans(docs: DataFrame, copies: DataFrame, scratch: Scratch, k: int, seed: int) -> DataFrame:
-    """(doc_id, pos, length, source_doc, source_pos), in words: spans that repeat a path of a smaller document."""
+def repeated_spans(docs: DataFrame, copies: DataFrame, scratch: Scratch, k: int, seed: int, floors: DataFrame | None = None) -> DataFrame:
+    """(doc_id, pos, length, source_doc, source_pos), in words: spans that repeat a path of a smaller document.
+
+    `floors` (doc_id, floor) names the documents that only count as larger than those below `floor`.
+    """
     hits = shared_seeds(docs, copies, scratch, k, seed)
     edges = scratch.store(docs.join(hits, "doc_id").select("doc_id", "text", "seeds")
                           .mapInArrow(_edge_rows(k, seed), "h long, doc_id long, pos int, nxt int"), f"edges-{seed}")
@@ -166,10 +169,11 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, scratch: Scratch, k: int,
     numbered = marked.withColumn("path", F.sum(F.col("head").cast("int")).over(order))
     paths = numbered.groupBy("source_doc", "path").agg(
         F.min("source_pos").alias("source_pos"), F.count("*").alias("n"), F.max(F.when(F.col("head"), F.col("h"))).alias("h"))
+    met = edges.select("h", "doc_id", "pos").join(paths.select("h", "source_doc", "source_pos", "n"), "h").where("doc_id > source_doc")
+    if floors is not None:
+        met = met.join(floors, "doc_id", "left").where("source_doc < coalesce(floor, doc_id)")
     spans = scratch.store(
-        edges.select("h", "doc_id", "pos").join(paths.select("h", "source_doc", "source_pos", "n"), "h")
-        .where("doc_id > source_doc")
-        .select("doc_id", "pos", (F.col("n") + k - 1).cast("int").alias("length"), "source_doc", "source_pos"), f"spans-{seed}")
+        met.select("doc_id", "pos", (F.col("n") + k - 1).cast("int").alias("length"), "source_doc", "source_pos"), f"spans-{seed}")
     scratch.drop(f"edges-{seed}", f"kmers-{seed}", f"hits-{seed}")
     return spans
 
@@ -213,6 +217,21 @@ _MADE = {"text": BinaryType(), "n_words": LongType(), "n_removed": LongType(), "
                              .add("length", IntegerType()).add("digest", BinaryType()))}
 
 
+def _numbered(texts: DataFrame, known: DataFrame, twofold: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """`texts` with a number per id and text for `doc_key`, in the order of the ids, and the floors of ids with several.
+
+    Running numbers over range-partitioned, sorted rows keep the order; the written table fixes them.
+    """
+    numbers = scratch.store(
+        known.select("doc_id", F.md5("text").alias("digest")).distinct().repartitionByRange("doc_id", "digest")
+        .sortWithinPartitions("doc_id", "digest").withColumn("number", F.monotonically_increasing_id()), "numbers")
+    least = numbers.join(twofold, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("number").alias("floor"))
+    floors = scratch.store(numbers.join(least, "doc_id").select(F.col("number").alias("doc_id"), "floor"), "floors")
+    named = numbers.select(F.col("doc_id").alias("doc_key"), "digest", "number")
+    keyed = texts.withColumn("digest", F.md5("text")).join(named, ["doc_key", "digest"], "left")
+    return scratch.store(keyed.select("carried", F.col("number").alias("doc_key"), "text"), "texts"), floors
+
+
 def remove_repeats(docs: DataFrame, k: int = K, hash_seed: int = 1) -> DataFrame:
     """Every row of `docs` (doc_id, text and any others) without the words that repeat an earlier document.
 
@@ -220,8 +239,9 @@ def remove_repeats(docs: DataFrame, k: int = K, hash_seed: int = 1) -> DataFrame
     the input. `text` is the kept words joined by one space where words went, and as it was elsewhere; added are
     n_words, n_removed and kept_sha256 (of the kept words joined by one space); columns of these names in `docs` are
     replaced. A null or empty text has no words. Within one document nothing counts as a repeat. Repeated rows each
-    come out. A null id, and an id with two different texts, neither removes nor loses words. An empty table gives an
-    empty result.
+    come out. Where an id stands on several texts, each is a document of its own: none of them repeats another, smaller
+    ids take words from each, and each takes words from larger ids. A null id neither removes nor loses words. An empty
+    table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "debruijn")
     carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in _MADE]).alias("carried")
@@ -229,12 +249,14 @@ def remove_repeats(docs: DataFrame, k: int = K, hash_seed: int = 1) -> DataFrame
     known = texts.select(F.col("doc_key").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     twofold = scratch.store(known.groupBy("doc_id").agg(F.min(F.md5("text")).alias("a"), F.max(F.md5("text")).alias("b"))
                             .where("a <> b").select("doc_id"), "twofold")
+    floors = None
     if not twofold.isEmpty():
-        known = known.join(twofold, "doc_id", "left_anti")
+        texts, floors = _numbered(texts, known, twofold, scratch)
+        known = texts.select(F.col("doc_key").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     copies = scratch.store(copy_classes(known), "copies")
     schema = StructType([*docs.select(carried).schema.fields, *(StructField(n, t) for n, t in _MADE.items())])
     for seed in range(hash_seed, hash_seed + ATTEMPTS):
-        spans = repeated_spans(known, copies, scratch, k, seed)
+        spans = repeated_spans(known, copies, scratch, k, seed, floors)
         per_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "length", "source_doc", "source_pos")).alias("spans"))
         sources = (spans.select("source_doc", "source_pos", "length").distinct()
                    .groupBy(F.col("source_doc").alias("doc_id"))

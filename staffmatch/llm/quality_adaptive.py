@@ -24,8 +24,8 @@ MEASURES = ("symbol_permille", "dup_line_permille", "repeat_permille", "word_len
 FENCE = 3
 #: Added to the spread, so that a group whose documents are all alike does not reject the least deviation.
 SLACK = 25
-#: Groups with fewer documents use their language's sketch, languages with fewer the whole corpus's.
-LEAST_DOCS = 200
+#: A fence is drawn towards that of the group around it, as if that stood for so many documents of its own.
+PRIOR_DOCS = 50
 
 SCHEMA = ("doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, "
           "n_dup_lines long, n_repeat_words long, n_lines long")
@@ -160,17 +160,20 @@ def _wide(table: DataFrame, keys: list[str], suffix: str) -> DataFrame:
 
 
 def thresholds(measures: DataFrame) -> DataFrame:
-    """One row per (lang, source) with the fence that holds there for every measure."""
+    """One row per (lang, source) with the fence that holds there for every measure.
+
+    Every group's own sketch counts by its number of documents: n documents and a fence f under a fence F make
+    (n f + PRIOR_DOCS F) DIV (n + PRIOR_DOCS), the corpus around the languages, a language around its sources.
+    """
     sketch = sketches(measures)
     own = _wide(fences(sketch, ["lang", "source"]), ["lang", "source"], "own")
     by_lang = _wide(fences(sketch, ["lang"]), ["lang"], "lang").withColumnRenamed("lang", "l")
     corpus = _wide(fences(sketch.withColumn("everything", F.lit(1)), ["everything"]), ["everything"], "all")
     table = (own.join(by_lang, F.col("lang").eqNullSafe(F.col("l"))).withColumn("everything", F.lit(1))
-             .join(corpus, "everything"))
+             .join(F.broadcast(corpus), "everything"))  # one row
+    drawn = lambda docs, fence, around: f"({docs} * {fence} + {PRIOR_DOCS} * ({around})) DIV ({docs} + {PRIOR_DOCS})"
     return table.select("lang", "source", *[
-        F.when(F.col("docs_own") >= LEAST_DOCS, F.col(f"{m}_own"))
-        .when(F.col("docs_lang") >= LEAST_DOCS, F.col(f"{m}_lang")).otherwise(F.col(f"{m}_all")).alias(f"{m}_fence")
-        for m in MEASURES])
+        F.expr(drawn("docs_own", f"{m}_own", drawn("docs_lang", f"{m}_lang", f"{m}_all"))).alias(f"{m}_fence") for m in MEASURES])
 
 
 def apply_rules(measures: DataFrame, limits: DataFrame) -> DataFrame:

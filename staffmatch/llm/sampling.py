@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +13,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
+HASH_BITS = 60
+
+
+def hash_limit(most: int, total: int) -> int:
+    """Hashes of HASH_BITS bits below this limit are the share of `most` in `total`; above zero for any table there is."""
+    return (most << HASH_BITS) // total
+
+
 def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     """About `most` rows at the most, picked by a hash of `key`; all rows if there are no more than that."""
     total = rows.count()
     if total <= most:
         return rows
-    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < math.floor((1 << 20) * most / total))
+    return rows.where(F.shiftrightunsigned(F.xxhash64(key), 64 - HASH_BITS) < F.lit(hash_limit(most, total)))

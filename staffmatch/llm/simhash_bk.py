@@ -3,9 +3,9 @@
 Fingerprints at most r bits apart agree in one of r + 1 disjoint bands at least, so the distinct fingerprints are
 dealt to shards by (band, value of the band) and every shard is searched with its own tree. A tree travels to its
 task by the shuffle, not through the driver: trees over all documents have no size bound, so they may not be
-broadcast. A shard beyond `shard_limit` fingerprints is not cut: two fingerprints within two bits always have a
-common neighbour at one bit (or are neighbours), so its members are met at their one-bit variants instead, which is
-linear in their number.
+broadcast. A shard beyond `shard_limit` fingerprints is dealt again by the same rule: its members agree in the band and
+may differ in the other bits only, which are cut into three bands of their own. After LEVELS cuts 14 bits are left at
+the most, so no tree has more than 16,384 nodes then.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ from staffmatch.llm.words import pieces
 SEED = 42
 RADIUS = 2
 SHINGLE_WORDS = 3
-#: Fingerprints of one tree; larger shards take the variant path.
+#: Fingerprints of one tree; larger shards are cut again.
 SHARD_LIMIT = 8192
+#: Cuts after which a shard's members can differ in 14 bits at the most.
+LEVELS = 4
 #: Tree nodes times queries that one search step may hold.
 FRONTIER = 4 << 20
 
@@ -93,23 +95,40 @@ def _search_shards(batches) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def near_edges(fingerprints: DataFrame, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+def _cuts(mask: int) -> list[int]:
+    """The masks that add one of RADIUS + 1 bands of the bits outside `mask` to it."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    ends = [len(free) * i // (RADIUS + 1) for i in range(RADIUS + 2)]
+    return [mask | sum(1 << b for b in free[low:high]) for low, high in zip(ends, ends[1:])]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def near_edges(fingerprints: DataFrame, scratch: Scratch, shard_limit: int = SHARD_LIMIT) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints (`fp`) within RADIUS bits of each other."""
-    bands = fingerprints.select("fp", F.expr("""explode(array(
-        struct(0 AS band, fp & 2097151L AS key),
-        struct(1 AS band, shiftrightunsigned(fp, 21) & 2097151L AS key),
-        struct(2 AS band, shiftrightunsigned(fp, 42) AS key)))""").alias("b")).select("b.band", "b.key", "fp")
-    sizes = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = bands.join(sizes, ["band", "key"])
-    small = dealt.where(F.col("n") <= shard_limit).select("band", "key", "fp")
-    trees = (small.repartition("band", "key").sortWithinPartitions("band", "key", "fp")
-             .mapInArrow(_search_shards, "a long, b long"))
-    variants = (dealt.where(F.col("n") > shard_limit).select("fp").distinct()
-                .select("fp", F.expr("explode(concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i))))").alias("variant"))
-                .groupBy("variant").agg(F.collect_set("fp").alias("fps"))  # 65 fingerprints at most
-                .where(F.size("fps") > 1)
-                .select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b"))
-    return trees.unionByName(variants)
+    masks, edges = [0], None
+    rows = fingerprints.select("fp", F.lit(0).cast("long").alias("band"))
+    for level in range(1, LEVELS + 1):
+        finer = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(c)) for c in _cuts(m)]))])
+        bands = (rows.select("fp", F.explode(finer[F.col("band")]).alias("band"))
+                 .select("band", F.col("fp").bitwiseAND(F.col("band")).alias("key"), "fp"))
+        if level > 1:
+            bands = bands.distinct()  # two ways of cutting may end in one band
+        sizes = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+        dealt = bands.join(sizes, ["band", "key"])
+        small = dealt if level == LEVELS else dealt.where(F.col("n") <= shard_limit)
+        trees = (small.select("band", "key", "fp").repartition("band", "key").sortWithinPartitions("band", "key", "fp")
+                 .mapInArrow(_search_shards, "a long, b long"))
+        edges = trees if edges is None else edges.unionByName(trees)
+        if level == LEVELS:
+            break
+        rows = scratch.store(dealt.where(F.col("n") > shard_limit).select("fp", "band"), f"large-{level}")
+        if rows.isEmpty():
+            break
+        masks = sorted({c for m in masks for c in _cuts(m)})
+    return edges
 
 
 def near_duplicates(docs: DataFrame, shard_limit: int = SHARD_LIMIT) -> DataFrame:
@@ -125,7 +144,7 @@ def near_duplicates(docs: DataFrame, shard_limit: int = SHARD_LIMIT) -> DataFram
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"),
         "fingerprints")
     distinct = scratch.store(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
-    edges = near_edges(distinct, shard_limit)
+    edges = near_edges(distinct, scratch, shard_limit)
     nodes = connected_components(edges.select("a", "b"), scratch)
     classes = (distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left")
                .select("fp", "first_doc", F.coalesce("component", "fp").alias("component")))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from staffmatch.llm.quality_adaptive import FENCE, LEAST_DOCS, MEASURES, SLACK
-
+# The rules of the quality operator, written down once more for the comparison.
+FENCE, SLACK, PRIOR = 3, 25, 50
+MEASURES = ("symbol_permille", "dup_line_permille", "repeat_permille", "word_length_permille")
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 WARC = """
@@ -84,7 +85,8 @@ measured AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS ba
 long AS ({long}),
 own AS ({fence('lang, source, ')}), by_lang AS ({fence('lang, ')}), corpus AS ({fence('')}),
 limits AS (SELECT own.lang, own.source, own.measure,
-    CASE WHEN own.docs >= {LEAST_DOCS} THEN own.fence WHEN by_lang.docs >= {LEAST_DOCS} THEN by_lang.fence ELSE corpus.fence END AS fence
+    (own.docs * own.fence + {PRIOR} * ((by_lang.docs * by_lang.fence + {PRIOR} * corpus.fence) // (by_lang.docs + {PRIOR})))
+        // (own.docs + {PRIOR}) AS fence
     FROM own JOIN by_lang ON own.lang IS NOT DISTINCT FROM by_lang.lang AND own.measure = by_lang.measure
     JOIN corpus ON own.measure = corpus.measure)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({over}) AS kept

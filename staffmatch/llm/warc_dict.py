@@ -111,7 +111,7 @@ def build_dictionary(pages: DataFrame, records: int = SAMPLE_RECORDS, most_bytes
     """A dictionary from a bounded sample of records: trained, or the records themselves where they are too few."""
     import zstandard
 
-    rows = bounded_sample(pages.select("page_id", "url", "html").where("html IS NOT NULL"), "html", records)
+    rows = bounded_sample(pages.select("page_id", "url", "html").where("html IS NOT NULL"), "page_id", records)
     samples, room = [], most_bytes
     for r in rows.orderBy(F.xxhash64("html"), "page_id").toLocalIterator():
         payload = r["html"].encode()

@@ -57,6 +57,14 @@ def test_near_duplicates_keep_one_row_of_each_group(spark, folder):
     assert sorted(r["doc_id"] or 0 for r in cp.near_duplicates(spark, docs, folder).collect()) == [0, 4, 9]
 
 
+def test_texts_under_one_id_all_stay(spark, folder):
+    docs = spark.createDataFrame([(4, "a b c d", "en"), (4, "p q r s t", "en"), (4, "a b c d", "de"), (9, "a b c d", "en"), (2, "k l m n", None)],
+                                 "doc_id long, text string, lang string")
+    rows = [cp.near_duplicates(spark, d, folder).collect() for d in (docs, docs.repartition(5))]
+    assert sorted((r["doc_id"], r["text"]) for r in rows[0]) == [(2, "k l m n"), (4, "a b c d"), (4, "p q r s t")]
+    assert sorted(map(str, rows[0])) == sorted(map(str, rows[1]))
+
+
 def test_cut_documents_have_their_new_length(spark, folder):
     passage = " ".join(f"w{i}" for i in range(20))
     docs = spark.createDataFrame([(1, passage, 5), (2, "keep\n\nthis  space", 77), (3, "tail " + passage, 9)], "doc_id long, text string, n_chars int")

@@ -1,7 +1,7 @@
+import random
 import re
 from collections import Counter, defaultdict
 
-import pytest
 from pyspark.sql import functions as F
 
 from staffmatch.llm import quality_adaptive as q
@@ -54,9 +54,34 @@ def test_sketches_merge_to_the_same_fences(spark, sf):
         assert docs == len(v) and abs(fence - (q3 + q.FENCE * (q3 - q1 + q.SLACK))) <= (q3 * 4 + q1 * 3) / 32 + 1
 
 
-@pytest.mark.parametrize("least", [2, 10_000])
-def test_groups_with_few_documents_borrow(spark, least, monkeypatch):
-    monkeypatch.setattr(q, "LEAST_DOCS", least)
+def test_groups_lean_on_their_parents_by_their_size(spark):
+    """Plain quartiles and the plain mean: each source's fence lies between its own and its language's."""
+    rng = random.Random(4)
+    rows = []
+    for lang, source, n, marks in (("en", "calm", 400, 0), ("en", "noisy", 300, 6), ("en", "tiny", 3, 9), ("de", "only", 5, 2), (None, None, 2, 4)):
+        for i in range(n):
+            words = ["word"] * 30 + ["#" * rng.randint(1, 3)] * rng.randint(0, marks)
+            rows.append((len(rows), " ".join(f"{w}{j}" for j, w in enumerate(words)), lang, source))
+    measures = q.document_measures(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    table = [r for r in measures.collect() if not r["base_failed"]]
+    top = lambda v: next(r[0] for r in spark.range(1).select(q.bucket_top(q.bucket(F.lit(v).cast("long")))).collect())
+
+    def fence(picked):
+        v = sorted(r["symbol_permille"] for r in picked)
+        q1, q3 = top(v[-(-len(v) // 4) - 1]), top(v[-(-3 * len(v) // 4) - 1])
+        return q3 + q.FENCE * (q3 - q1 + q.SLACK)
+
+    corpus = fence(table)
+    for r in q.thresholds(measures).collect():
+        of_lang = [x for x in table if x["lang"] == r["lang"]]
+        own = [x for x in of_lang if x["source"] == r["source"]]
+        around = (len(of_lang) * fence(of_lang) + 50 * corpus) // (len(of_lang) + 50)
+        assert r["symbol_permille_fence"] == (len(own) * fence(own) + 50 * around) // (len(own) + 50)
+    kept = {r["doc_id"]: r["kept"] for r in q.apply_rules(measures, q.thresholds(measures)).collect()}
+    assert len(kept) == len(rows) and any(kept.values())
+
+
+def test_an_outlier_among_clean_documents_goes(spark):
     clean = "one two three four five six seven eight nine ten eleven"
     rows = [(i, clean + f" w{i}", "en", "s") for i in range(40)] + [(100, "## ## ## ## ## ## ### #### ##### ###### #######", "en", "s"), (101, clean, None, None)]
     out = {r["doc_id"]: r["kept"] for r in q.quality(

@@ -38,7 +38,7 @@ def test_children_hang_by_their_distance():
 
 @pytest.mark.parametrize("limit", [simhash_bk.SHARD_LIMIT, 2])
 def test_components_match_brute_force(spark, limit):
-    """limit 2 sends all larger shards through the variants."""
+    """limit 2 cuts all larger shards again, down to the last level."""
     rng = random.Random(2)
     values = []
     for _ in range(40):
@@ -48,7 +48,7 @@ def test_components_match_brute_force(spark, limit):
             v ^= sum(1 << rng.randrange(64) for _ in range(rng.randint(1, 2)))
     values = sorted({v - (1 << 64) if v >> 63 else v for v in values})
     prints = spark.createDataFrame([(v,) for v in values], "fp long")
-    edges = simhash_bk.near_edges(prints, limit)
+    edges = simhash_bk.near_edges(prints, Scratch(spark, "test"), limit)
     got = {r["node"]: r["component"] for r in connected_components(edges, Scratch(spark, "test")).collect()}
     want = plain_components(values, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
     assert [got.get(v, v) for v in values] == [values[w] for w in want]
@@ -76,3 +76,15 @@ def test_long_chain_is_one_component(spark):
     chain = spark.range(1, 200).selectExpr("id AS a", "id - 1 AS b")
     got = connected_components(chain, Scratch(spark, "test")).collect()
     assert len(got) == 200 and {r["component"] for r in got} == {0}
+
+
+def test_cuts_leave_few_bits_and_cover_every_pair():
+    """A pair within two bits agrees in one band of every cut, down to the last level."""
+    masks = [0]
+    for _ in range(simhash_bk.LEVELS):
+        for m in masks:
+            cuts = simhash_bk._cuts(m)
+            added = [c & ~m for c in cuts]
+            assert sum(added) == ~m & (1 << 64) - 1 and all(c & m == m for c in cuts)
+        masks = [c for m in masks for c in simhash_bk._cuts(m)]
+    assert max((~m & (1 << 64) - 1).bit_count() for m in masks) <= 14

@@ -42,14 +42,42 @@ def test_awkward_rows(spark):
         assert r["class"] == "other"
 
 
-def test_ids_that_are_null_or_twofold_are_left_alone(spark):
+def test_null_ids_are_left_alone(spark):
     passage = " ".join(f"w{i}" for i in range(40))
-    rows = remove_repeats(spark.createDataFrame(
-        [(1, passage), (None, passage), (2, passage + " x"), (2, "y " + passage), (3, "z " + passage)], "doc_id long, text string")).collect()
-    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in rows) == [(0, 0), (1, 0), (2, 0), (2, 0), (3, 40)]
+    rows = remove_repeats(spark.createDataFrame([(1, passage), (None, passage), (3, "z " + passage)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in rows) == [(0, 0), (1, 0), (3, 40)]
     assert remove_repeats(empty_docs(spark)).count() == 0
 
 
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    passage, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "wv")
+    rows = [(1, passage), (2, passage + " x"), (2, "y " + passage), (2, passage + " x"), (-(1 << 62), other), (2, other), (3, "z " + passage),
+            (5, " ".join(f"u{i}" for i in range(20))), (5, "more " + " ".join(f"u{i}" for i in range(20))), (7, " ".join(f"u{i}" for i in range(20))), (2, None), (2, "")]
+    got = sorted((r["doc_id"], r["text"] or "", r["n_removed"]) for r in remove_repeats(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    u = " ".join(f"u{i}" for i in range(20))
+    assert got == sorted([(1, passage, 0), (2, "x", 40), (2, "y", 40), (2, "x", 40), (-(1 << 62), other, 0), (2, "", 40), (3, "z", 40),
+                          (5, u, 0), (5, "more " + u, 0), (7, "", 20), (2, "", 0), (2, "", 0)])
+
+
+def test_random_texts_under_few_ids_match_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(rng.randint(0, 6), " ".join(rng.choice("ab") for _ in range(rng.randint(0, 40)))) for _ in range(40)]
+    k, first = 13, {}
+    for doc, text in rows:
+        words = text.split()
+        for i in range(len(words) - k + 1):
+            key = tuple(words[i:i + k])
+            first[key] = min(first.get(key, doc), doc)
+    want = []
+    for doc, text in rows:
+        words = text.split()
+        gone = {j for i in range(len(words) - k + 1) if first[tuple(words[i:i + k])] < doc for j in range(i, i + k)}
+        want.append((doc, len(words), len(gone), " ".join(w for j, w in enumerate(words) if j not in gone) if gone else text))
+    out = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in out) == sorted(want)
+
+
 def test_a_hash_collision_is_found_and_mended(spark, monkeypatch):
     """Under the first seed the two words that differ have one hash; the digests tell, and the next seed is right."""
     whole = debruijn.xxhash.xxh64_intdigest
