@@ -37,14 +37,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document with the smallest id stays, in one row.
+    """Of every group of near copies the document with the smallest id stays.
 
-    Rows without an id cannot be named as the one that stays, nor be left out for another: all of them stay.
+    Of repeated rows with one id and text one stays, the one with the smallest hash of its other columns; different texts
+    under the id that stays all stay. Rows without an id cannot be named as the one that stays, nor be left out for
+    another: all of them stay. A null text is a text of its own.
     """
     groups = simhash_bk.near_duplicates(docs)
     first = groups.where("doc_id = component_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(*others) if others else F.lit(None)
+    place = F.xxhash64(*[c.cast("string") for c in others]) if others else F.lit(0)
+    named = (docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").groupBy("doc_id", "text")
+             .agg(F.min_by(row, place).alias("row")))
+    kept = named.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"row.`{c}`") for c in docs.columns])
+    return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +72,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents packed into sequences by their words; a document without words has no piece."""
+    """Documents packed into sequences by their words; a document without words has no piece. Rows with null or
+    repeated ids are packed one by one, an empty table gives no rows, other columns are ignored."""
     return packing.pack(Scratch(spark, "packing").store(packing.word_lengths(docs), "lengths"))
 
 
@@ -77,7 +85,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed corpus of `documents`."""
+    """The packed corpus of `documents`: every stage's result is written below the shared folder and read by the next."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES, 1):
