@@ -32,6 +32,8 @@ from staffmatch.llm.words import pieces, row_of, split_words, word_codes
 
 K = 13
 SEED_WORDS = 5
+#: Tasks that the copies of one text are shared out over.
+SALTS = 16
 #: Hash seeds to try before giving up.
 ATTEMPTS = 3
 
@@ -129,10 +131,15 @@ def _edge_rows(k: int, seed: int):
 
 
 def copy_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, copy_of): every later copy of a whole text, and the smallest id that has that text."""
+    """(doc_id, copy_of): every later copy of a whole text, and the smallest id that has that text.
+
+    A text may have very many copies: they are reduced on the map side, and shared out over SALTS tasks for the join.
+    """
     keyed = docs.select("doc_id", F.md5("text").alias("key"))
     first = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return keyed.join(first, "key").where("doc_id > first").select("doc_id", F.col("first").alias("copy_of")).distinct()
+    salted = first.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    return (keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(salted, ["key", "salt"])
+            .where("doc_id > first").select("doc_id", F.col("first").alias("copy_of")).distinct())
 
 
 def shared_seeds(docs: DataFrame, copies: DataFrame, scratch: Scratch, k: int, seed: int) -> DataFrame:
