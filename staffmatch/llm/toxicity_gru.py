@@ -2,14 +2,15 @@
 
 A word enters as the embedding of its hashed form and as the maximum over the embeddings of its hashed character
 n-grams. A text is read in overlapping windows of WINDOW words, STRIDE apart, the last one flush with its end, and
-its score is the largest window score. Training sees a bounded, labelled sample: of every text the window that
-scores highest stands for it.
+its score is the largest window score. Training sees a bounded, labelled sample: first windows drawn at random, then
+of every text the window that scores highest, and as many more of clean texts as half of these. Embeddings, recurrence,
+attention and output are all learned by gradients from small random numbers; no counts of words enter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,12 @@ from staffmatch.llm.words import pieces, split_words, text_bytes, word_codes
 WINDOW, STRIDE = 64, 32
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 19, 1 << 18
 GRAMS = (4, 5, 6)
-WORD_DIM = CHAR_DIM = 4
-HIDDEN = 6
-#: Labelled texts of each class that training reads, about; a parameter of `fit`.
-TRAIN_DOCS = 1500
-EPOCHS, ROUNDS, BATCH, RATE = 4, 2, 128, 0.01
-#: Pseudo-counts behind the first guess of an embedding, the log odds of its class.
-PRIOR = 4.0
+WORD_DIM = CHAR_DIM = 8
+HIDDEN = 16
+#: Labelled texts of each class that training reads, about, and their bytes; parameters of `fit`.
+TRAIN_DOCS, TRAIN_BYTES = 1500, 12 << 20
+#: Passes over the training texts, windows of the first one at the most, and step sizes of weights and embeddings.
+EPOCHS, FIRST_WINDOWS, BATCH, RATE, INPUT_RATE = 4, 12_000, 64, 0.005, 0.1
 THRESHOLD = 0.5
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -96,13 +96,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Network:
-    """Class odds and learned coordinates per bucket, and the weights of both directions, attention and output."""
+    """Embeddings per bucket, and the weights of both directions, attention and output."""
 
     words: np.ndarray
     chars: np.ndarray
     p: dict[str, np.ndarray]
-    word_odds: np.ndarray = field(default_factory=lambda: np.zeros(WORD_BUCKETS, np.float32))
-    gram_odds: np.ndarray = field(default_factory=lambda: np.zeros(GRAM_BUCKETS, np.float32))
 
     @classmethod
     def fresh(cls, rng: np.random.Generator) -> "Network":
@@ -112,27 +110,16 @@ class Network:
             p[f"W{side}"] = rng.normal(0, 0.4, (d, 3 * h)).astype(np.float32)
             p[f"U{side}"] = rng.normal(0, 0.3, (h, 3 * h)).astype(np.float32)
             p[f"b{side}"] = np.zeros(3 * h, dtype=np.float32)
-        p |= {"a": rng.normal(0, 0.3, 2 * h).astype(np.float32), "o": rng.normal(0, 0.5, 2 * h).astype(np.float32),
+        p |= {"a": rng.normal(0, 0.3, 2 * h).astype(np.float32), "o": rng.normal(0, 1, 2 * h).astype(np.float32),
               "c": np.full(1, -0.5, dtype=np.float32)}
-        return cls(rng.normal(0, 0.05, (WORD_BUCKETS, WORD_DIM - 1)).astype(np.float32),
-                   rng.normal(0, 0.05, (GRAM_BUCKETS, CHAR_DIM - 1)).astype(np.float32), p)
+        return cls(rng.normal(0, 0.05, (WORD_BUCKETS, WORD_DIM)).astype(np.float32),
+                   rng.normal(0, 0.05, (GRAM_BUCKETS, CHAR_DIM)).astype(np.float32), p)
 
     def embed(self, x: Inputs) -> np.ndarray:
         """One row per distinct word: word embedding, then the maximum of its n-grams' embeddings."""
         if not len(x.word):
             return np.zeros((0, WORD_DIM + CHAR_DIM), dtype=np.float32)
-        return np.hstack([self.word_odds[x.word][:, None], self.words[x.word],
-                          np.maximum.reduceat(self.gram_odds[x.grams], x.first)[:, None],
-                          np.maximum.reduceat(self.chars[x.grams], x.first, axis=0)])
-
-    def learn_inputs(self, x: Inputs, embedded: np.ndarray, counts: np.ndarray, d_in: np.ndarray) -> None:
-        """A gradient step on the learned coordinates; of n-grams, those that gave the maximum."""
-        w, c = WORD_DIM - 1, CHAR_DIM - 1
-        at = x.word.astype(np.int64)[:, None] * w + np.arange(w)
-        np.subtract.at(self.words.ravel(), at.ravel(), np.float32(RATE) * d_in[:, 1:WORD_DIM].ravel())
-        top = np.repeat(np.arange(len(x.word)), counts)
-        row, dim = np.nonzero(self.chars[x.grams] == embedded[top][:, WORD_DIM + 1:])
-        np.subtract.at(self.chars.ravel(), x.grams[row].astype(np.int64) * c + dim, np.float32(RATE) * d_in[top[row], WORD_DIM + 1 + dim])
+        return np.hstack([self.words[x.word], np.maximum.reduceat(self.chars[x.grams], x.first, axis=0)])
 
     def _side(self, side: str, proj: np.ndarray, idx: np.ndarray, keep: np.ndarray | None, cache: list | None):
         """Hidden states in reading order of one direction; proj: input part per distinct word, with the bias."""
@@ -262,41 +249,43 @@ def text_scores(net: Network, column: pa.Array) -> np.ndarray:
     return scores
 
 
-def _sorted_distinct(values: np.ndarray) -> np.ndarray:
-    values = np.sort(values)
-    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
-
-
 def _spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The positions first[i], first[i] + 1, ... first[i] + counts[i] - 1 for every i."""
     ends = np.cumsum(counts)
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - counts), counts)
 
 
-def class_odds(x: Reading, y: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed log odds of every word bucket and n-gram bucket, by the texts among `texts` that have it."""
-    share = float(np.clip(y[texts].mean(), 0.01, 0.99)) if len(texts) else 0.5
-    n_words = len(x.inputs.word) + 1
-    some = np.flatnonzero(np.isin(x.owner, texts))
-    pairs = _sorted_distinct((x.owner[some, None] * np.int64(n_words) + x.idx[some])[x.keep[some]])
-    doc, word = pairs // n_words, pairs % n_words
-    counts = np.diff(np.append(x.inputs.first, len(x.inputs.grams)))
-    tables = []
-    for size, grams in ((WORD_BUCKETS, False), (GRAM_BUCKETS, True)):
-        seen, bad = np.zeros(size), np.zeros(size)
-        for low in range(0, len(pairs), 50_000):
-            d, w = doc[low:low + 50_000], word[low:low + 50_000]
-            if grams:
-                feature, d = x.inputs.grams[_spread(x.inputs.first[w], counts[w])], np.repeat(d, counts[w])
-            else:
-                feature = x.inputs.word[w]
-            both = _sorted_distinct(d * np.int64(size) + feature)
-            seen += np.bincount(both % size, minlength=size)
-            bad += np.bincount(both % size, weights=y[both // size], minlength=size)
-        odds = (np.log((bad + PRIOR * share) / (PRIOR * share))
-                - np.log((seen - bad + PRIOR * (1 - share)) / (PRIOR * (1 - share))))
-        tables.append(odds.astype(np.float32))
-    return tables[0], tables[1]
+class Learner:
+    """Gradient steps: weights by moments that forget, embeddings by the sum of squares a coordinate has seen."""
+
+    def __init__(self, net: Network) -> None:
+        self.net, self.steps = net, 0
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
+        self.word_squares = np.zeros(WORD_BUCKETS, dtype=np.float32)
+        self.char_squares = np.zeros(GRAM_BUCKETS * CHAR_DIM, dtype=np.float32)
+
+    def weights(self, gradients: dict[str, np.ndarray]) -> None:
+        self.steps += 1
+        for k, v in gradients.items():
+            mean, square = self.moments[k]
+            mean += 0.1 * (v - mean)
+            square += 0.01 * (v * v - square)
+            change = mean / (1 - 0.9 ** self.steps) / (np.sqrt(square / (1 - 0.99 ** self.steps)) + 1e-7)
+            self.net.p[k] -= (RATE * change).astype(np.float32)
+
+    def inputs(self, x: Inputs, embedded: np.ndarray, counts: np.ndarray, d_in: np.ndarray) -> None:
+        """A step on the embeddings of the words of `x`; of n-grams, those that gave the maximum."""
+        buckets, at = np.unique(x.word, return_inverse=True)
+        total = np.zeros((len(buckets), WORD_DIM), dtype=np.float32)
+        np.add.at(total, at, d_in[:, :WORD_DIM])
+        self.word_squares[buckets] += (total * total).mean(axis=1)
+        self.net.words[buckets] -= INPUT_RATE * total / (np.sqrt(self.word_squares[buckets])[:, None] + 1e-6)
+        owner = np.repeat(np.arange(len(x.word)), counts)
+        gram, dim = np.nonzero(self.net.chars[x.grams] == embedded[owner][:, WORD_DIM:])
+        places, at = np.unique(x.grams[gram].astype(np.int64) * CHAR_DIM + dim, return_inverse=True)
+        total = np.bincount(at, weights=d_in[owner[gram], WORD_DIM + dim], minlength=len(places)).astype(np.float32)
+        self.char_squares[places] += total * total
+        self.net.chars.ravel()[places] -= INPUT_RATE * total / (np.sqrt(self.char_squares[places]) + 1e-6)
 
 
 def train(texts: list[str], labels: np.ndarray, toxic_share: float | None = None, seed: int = 7) -> Network:
@@ -304,9 +293,6 @@ def train(texts: list[str], labels: np.ndarray, toxic_share: float | None = None
 
     `toxic_share` is the share of class 1 where the network will be used; the output is shifted from the sample's
     share to that.
-
-    The texts are cut into two halves, and each half learns with class odds counted on the other, so that no text
-    is judged by its own words. The finished network has the odds of all texts.
     """
     rng = np.random.default_rng(seed)
     x, y = read(pa.array(texts, pa.large_string())), labels.astype(np.float64)
@@ -314,64 +300,60 @@ def train(texts: list[str], labels: np.ndarray, toxic_share: float | None = None
     if not len(x.idx) or y.min() == y.max():
         net.p["o"][:], net.p["c"][:] = 0, 4.0 if len(y) and y.min() == 1 else -4.0
         return net
-    half = np.zeros(len(y), dtype=np.int64)
-    for label in (0, 1):
-        own = np.flatnonzero(y == label)
-        half[own[1::2]] = 1
-    odds = [class_odds(x, y, np.flatnonzero(half != h)) for h in (0, 1)]
-    first, total = x.inputs.first, np.diff(np.append(x.inputs.first, len(x.inputs.grams)))
-    # The windows of highest summed odds stand for their texts at first, later those that the network picks.
-    value = np.zeros(len(x.idx))
-    for h in (0, 1):
-        part = np.flatnonzero(half[x.owner] == h)
-        strength = np.append(odds[h][0][x.inputs.word] + np.maximum.reduceat(odds[h][1][x.inputs.grams], first), 0)
-        value[part] = np.sort(strength[x.idx[part]], axis=1)[:, -4:].sum(axis=1)
-    moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
-    step = 0
-    for turn in range(ROUNDS):
-        order = np.lexsort((value, x.owner))
-        best = order[np.append(x.owner[order][1:] != x.owner[order][:-1], True)]
-        for _ in range(EPOCHS):
-            batches = []
-            for h in (0, 1):
-                rows = rng.permutation(best[half[x.owner[best]] == h])
-                batches += [(h, rows[low:low + BATCH]) for low in range(0, len(rows), BATCH)]
-            for number in rng.permutation(len(batches)):
-                h, rows = batches[number]
-                net.word_odds, net.gram_odds = odds[h]
-                used, local = np.unique(x.idx[rows], return_inverse=True)
-                used = used[used < len(x.inputs.word)]
-                own = Inputs(x.inputs.word[used], x.inputs.grams[_spread(first[used], total[used])],
-                             np.cumsum(total[used]) - total[used])
-                embedded = net.embed(own)
-                g, d_in = net.gradients(embedded, local.reshape(len(rows), WINDOW), x.keep[rows], y[x.owner[rows]])
-                step += 1
-                for k, v in g.items():
-                    m, s = moments[k]
-                    m += 0.1 * (v - m)
-                    s += 0.01 * (v * v - s)
-                    net.p[k] -= (RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.99 ** step)) + 1e-7)).astype(np.float32)
-                net.learn_inputs(own, embedded, total[used], d_in)
-        if turn + 1 < ROUNDS:
-            for h in (0, 1):
-                net.word_odds, net.gram_odds = odds[h]
-                part = np.flatnonzero(half[x.owner] == h)
-                value[part] = window_scores(net, Reading(x.inputs, x.idx[part], x.keep[part], x.owner[part], x.n_texts))
-    net.word_odds, net.gram_odds = class_odds(x, y, np.arange(len(y)))
+    learner = Learner(net)
+    first, counts = x.inputs.first, np.diff(np.append(x.inputs.first, len(x.inputs.grams)))
+    for epoch in range(EPOCHS):
+        if epoch == 0:
+            chosen = rng.permutation(len(x.idx))[:FIRST_WINDOWS]
+        else:
+            order = np.lexsort((window_scores(net, x), x.owner))
+            best = order[np.append(x.owner[order][1:] != x.owner[order][:-1], True)]
+            clean = rng.permutation(np.flatnonzero(y[x.owner] == 0))[:len(best) // 2]
+            chosen = rng.permutation(np.concatenate([best, clean]))
+        for low in range(0, len(chosen), BATCH):
+            rows = chosen[low:low + BATCH]
+            used, local = np.unique(x.idx[rows], return_inverse=True)
+            used = used[used < len(x.inputs.word)]
+            own = Inputs(x.inputs.word[used], x.inputs.grams[_spread(first[used], counts[used])],
+                         np.cumsum(counts[used]) - counts[used])
+            embedded = net.embed(own)
+            gradients, d_in = net.gradients(embedded, local.reshape(len(rows), WINDOW), x.keep[rows], y[x.owner[rows]])
+            learner.weights(gradients)
+            learner.inputs(own, embedded, counts[used], d_in)
     if toxic_share is not None:
         odds = lambda share: np.log(share / (1 - share))
         net.p["c"] += np.float32(odds(np.clip(toxic_share, 1e-3, 1 - 1e-3)) - odds(y.mean()))
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Network:
-    """Learn `labels.toxic` from about `train_docs` texts of each class at the most; held-out ids are never read."""
+def within_bytes(sizes: list[tuple], most: int) -> list:
+    """Ids of (id, class, bytes) as they come, those that would take their class over `most` bytes left out."""
+    taken, used = [], {}
+    for name, label, size in sizes:
+        if used.get(label, 0) + size <= most:
+            used[label] = used.get(label, 0) + size
+            taken.append(name)
+    return taken
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Network:
+    """Learn `labels.toxic` from about `train_docs` whole texts and `train_bytes` of each class at the most.
+
+    Held-out ids are never read. Of several texts under one id the shortest is taken, of these the first in order.
+    """
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     toxic, clean = known.where("toxic = 1"), known.where("toxic <> 1")
     share = known.agg(F.avg((F.col("toxic") == 1).cast("int"))).first()[0]
     chosen = bounded_sample(toxic, "doc_id", train_docs).unionByName(bounded_sample(clean, "doc_id", train_docs))
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(chosen, "doc_id").orderBy("doc_id", "text").collect()
-    return train([r["text"] for r in rows], np.array([int(r["toxic"] == 1) for r in rows]), share)
+    size = F.octet_length("text").cast("long")
+    rows = (docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= train_bytes))
+            .join(chosen, "doc_id").groupBy("doc_id", (F.col("toxic") == 1).cast("int").alias("toxic"))
+            .agg(F.min(F.struct(size.alias("size"), "text")).alias("least")).persist())
+    sizes = rows.select("doc_id", "toxic", "least.size").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    taken = within_bytes([tuple(r) for r in sizes], train_bytes)
+    texts = rows.where(F.col("doc_id").isin(taken)).select("toxic", "least.text").orderBy("doc_id").collect()
+    rows.unpersist()
+    return train([r["text"] for r in texts], np.array([r["toxic"] for r in texts]), share)
 
 
 def _scored(shared) -> callable:
@@ -390,6 +372,6 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     labels of both classes every text with words gets the same score. Rows, repeated or not, come out once each.
     """
     source = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])
-    shared = docs.sparkSession.sparkContext.broadcast((net.words, net.chars, net.p, net.word_odds, net.gram_odds))
+    shared = docs.sparkSession.sparkContext.broadcast((net.words, net.chars, net.p))
     return (source.mapInArrow(_scored(shared), StructType([*source.schema.fields]).add("score", "double"))
             .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")))

@@ -60,6 +60,55 @@ def test_gradients_match_differences():
             assert abs((up - down) / (2 * step) - grad[at]) < 2e-3
 
 
+def plain_score(net, words):
+    """A window's score word by word, direction by direction, without arrays of windows."""
+    sig = lambda v: 1 / (1 + np.exp(-np.clip(v, -30, 30)))
+    h, rows = g.HIDDEN, []
+    for word in words:
+        x = g.word_inputs(pa.array([word.encode()], pa.large_binary()))
+        rows.append(np.concatenate([net.words[x.word[0]], net.chars[x.grams].max(axis=0)]).astype(np.float64))
+    sides = []
+    for side, order in (("f", range(len(words))), ("b", reversed(range(len(words))))):
+        now, seen = np.zeros(h), {}
+        for t in order:
+            x = rows[t] @ net.p[f"W{side}"] + net.p[f"b{side}"]
+            u = net.p[f"U{side}"]
+            z, r = sig(x[:h] + now @ u[:, :h]), sig(x[h:2 * h] + now @ u[:, h:2 * h])
+            now = (1 - z) * now + z * np.tanh(x[2 * h:] + (r * now) @ u[:, 2 * h:])
+            seen[t] = now
+        sides.append(seen)
+    states = [np.concatenate([sides[0][t], sides[1][t]]) for t in range(len(words))]
+    weights = np.exp([s @ net.p["a"] for s in states])
+    pooled = sum(w * s for w, s in zip(weights / weights.sum(), states))
+    return float(sig(pooled @ net.p["o"] + net.p["c"])[0])
+
+
+def test_scores_equal_a_plain_forward_pass():
+    net = g.train(*corpus(1, 200))
+    texts, _ = corpus(3, 12)
+    for text, score in zip(texts, g.text_scores(net, pa.array(texts))):
+        words = text.lower().split()
+        heads = range(0, max(len(words) - g.WINDOW, 0) + g.STRIDE, g.STRIDE)
+        starts = [min(i, max(len(words) - g.WINDOW, 0)) for i in heads]
+        assert abs(max(plain_score(net, words[i:i + g.WINDOW]) for i in starts) - score) < 1e-4
+
+
+def test_nothing_but_gradients_moves_the_embeddings():
+    texts, labels = corpus(1, 60)
+    fresh, net = g.Network.fresh(np.random.default_rng(7)), g.train(texts, labels)
+    seen = np.zeros(g.WORD_BUCKETS, dtype=bool)
+    seen[g.read(pa.array(texts)).inputs.word] = True
+    assert (net.words[~seen] == fresh.words[~seen]).all() and (net.words[seen] != fresh.words[seen]).any()
+
+
+def test_training_texts_are_bounded_by_bytes(spark):
+    assert g.within_bytes([("a", 1, 5), ("b", 0, 5), ("c", 1, 6), ("d", 1, 4), ("e", 0, 0)], 10) == ["a", "b", "d", "e"]
+    docs = spark.createDataFrame([(i, f"word{i} " * 100) for i in range(60)] * 2 + [(7, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    net = g.fit(docs, labels, train_bytes=2000)
+    assert g.score(docs, net).count() == 121
+
+
 def test_learns_words_wherever_they_stand():
     net = g.train(*corpus(1, 800))
     texts, labels = corpus(2, 200)
