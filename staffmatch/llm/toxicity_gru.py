@@ -222,10 +222,11 @@ def read(column: pa.Array) -> Reading:
     owner = np.repeat(np.arange(len(counts)), many)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
     head = np.minimum(number * STRIDE, np.maximum(counts[owner] - WINDOW, 0))
-    place = head[:, None] + np.arange(WINDOW)
-    keep = place < counts[owner][:, None]
-    padded = np.append(codes, len(distinct))
-    idx = padded[np.where(keep, starts[owner][:, None] + place, len(codes))].astype(np.int32)
+    keep = np.arange(WINDOW, dtype=np.int32) < (counts[owner] - head)[:, None]
+    padded = np.append(codes, len(distinct)).astype(np.int32)
+    idx = np.full(keep.shape, len(codes), dtype=np.int64)
+    np.add((starts[:-1][owner] + head)[:, None], np.arange(WINDOW), out=idx, where=keep)
+    idx = padded[idx]
     return Reading(word_inputs(distinct), idx, keep, owner, len(counts))
 
 
@@ -288,14 +289,15 @@ class Learner:
         self.net.chars.ravel()[places] -= INPUT_RATE * total / (np.sqrt(self.char_squares[places]) + 1e-6)
 
 
-def train(texts: list[str], labels: np.ndarray, toxic_share: float | None = None, seed: int = 7) -> Network:
+def train(texts: pa.Array | list[str], labels: np.ndarray, toxic_share: float | None = None, seed: int = 7) -> Network:
     """Fit a network on labelled texts; deterministic for a given order of the texts.
 
     `toxic_share` is the share of class 1 where the network will be used; the output is shifted from the sample's
     share to that.
     """
     rng = np.random.default_rng(seed)
-    x, y = read(pa.array(texts, pa.large_string())), labels.astype(np.float64)
+    x = read(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+    y = labels.astype(np.float64)
     net = Network.fresh(rng)
     if not len(x.idx) or y.min() == y.max():
         net.p["o"][:], net.p["c"][:] = 0, 4.0 if len(y) and y.min() == 1 else -4.0
@@ -339,7 +341,8 @@ def within_bytes(sizes: list[tuple], most: int) -> list:
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Network:
     """Learn `labels.toxic` from about `train_docs` whole texts and `train_bytes` of each class at the most.
 
-    Held-out ids are never read. Of several texts under one id the shortest is taken, of these the first in order.
+    The texts, bounded by their bytes, meet in one task, so that the driver sees the network alone. Held-out ids are
+    never read. Of several texts under one id the shortest is taken, of these the first in order.
     """
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     toxic, clean = known.where("toxic = 1"), known.where("toxic <> 1")
@@ -351,9 +354,30 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_
             .agg(F.min(F.struct(size.alias("size"), "text")).alias("least")).persist())
     sizes = rows.select("doc_id", "toxic", "least.size").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     taken = within_bytes([tuple(r) for r in sizes], train_bytes)
-    texts = rows.where(F.col("doc_id").isin(taken)).select("toxic", "least.text").orderBy("doc_id").collect()
+    texts = rows.where(F.col("doc_id").isin(taken)).select("doc_id", "toxic", "least.text")
+    made = (texts.repartition(1).sortWithinPartitions("doc_id")
+            .mapInArrow(_trained(share), "name string, shape array<int>, data binary").collect())
     rows.unpersist()
-    return train([r["text"] for r in texts], np.array([r["toxic"] for r in texts]), share)
+    if not made:
+        return train(pa.array([], pa.large_string()), np.zeros(0))
+    arrays = {r["name"]: np.frombuffer(r["data"], dtype=np.float32).reshape(r["shape"]) for r in made}
+    return Network(arrays.pop("words"), arrays.pop("chars"), arrays)
+
+
+def _trained(share: float | None):
+    """One task trains on the bounded texts; a row per array of the network. Given the same rows it learns the same."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        labels = table.column("toxic").to_numpy()
+        net = train(table.column("text").cast(pa.large_string()).combine_chunks(), labels, share)
+        for name, values in {"words": net.words, "chars": net.chars, **net.p}.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name]), pa.array([list(values.shape)], pa.list_(pa.int32())), pa.array([values.tobytes()], pa.binary())],
+                ["name", "shape", "data"])
+    return run
 
 
 def _scored(shared) -> callable:
