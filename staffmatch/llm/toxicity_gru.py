@@ -28,9 +28,13 @@ WORD_DIM = CHAR_DIM = 8
 HIDDEN = 16
 #: Labelled texts of each class that training reads, about, and their bytes; parameters of `fit`.
 TRAIN_DOCS, TRAIN_BYTES = 1500, 12 << 20
+#: Bytes of the learned arrays that a row holds.
+PART_BYTES = 1 << 20
 #: Passes over the training texts, windows of the first one at the most, and step sizes of weights and embeddings.
 EPOCHS, FIRST_WINDOWS, BATCH, RATE, INPUT_RATE = 4, 12_000, 64, 0.005, 0.1
 THRESHOLD = 0.5
+#: Sets the fresh network and the order of the training windows.
+SEED = 7
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -200,6 +204,31 @@ class Network:
         return g, d_embedded[:-1]
 
 
+@dataclass
+class Learned:
+    """What training from the fresh network of SEED changed: all weights, and the buckets whose embeddings moved.
+
+    A few megabytes at most instead of whole tables; `network` builds these again where they are used.
+    """
+
+    arrays: dict[str, np.ndarray]
+
+    @classmethod
+    def of(cls, net: Network) -> "Learned":
+        fresh, arrays = Network.fresh(np.random.default_rng(SEED)), dict(net.p)
+        for name, table, before in (("words", net.words, fresh.words), ("chars", net.chars, fresh.chars)):
+            at = np.flatnonzero((table != before).any(axis=1)).astype(np.int32)
+            arrays |= {f"{name}_at": at, name: table[at]}
+        return cls(arrays)
+
+    def network(self) -> Network:
+        net = Network.fresh(np.random.default_rng(SEED))
+        net.words[self.arrays["words_at"]] = self.arrays["words"]
+        net.chars[self.arrays["chars_at"]] = self.arrays["chars"]
+        net.p = {k: self.arrays[k] for k in net.p}
+        return net
+
+
 @dataclass
 class Reading:
     """Windows over the words of some texts."""
@@ -289,7 +318,7 @@ class Learner:
         self.net.chars.ravel()[places] -= INPUT_RATE * total / (np.sqrt(self.char_squares[places]) + 1e-6)
 
 
-def train(texts: pa.Array | list[str], labels: np.ndarray, toxic_share: float | None = None, seed: int = 7) -> Network:
+def train(texts: pa.Array | list[str], labels: np.ndarray, toxic_share: float | None = None, seed: int = SEED) -> Network:
     """Fit a network on labelled texts; deterministic for a given order of the texts.
 
     `toxic_share` is the share of class 1 where the network will be used; the output is shifted from the sample's
@@ -338,10 +367,10 @@ def within_bytes(sizes: list[tuple], most: int) -> list:
     return taken
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Learned:
     """Learn `labels.toxic` from about `train_docs` whole texts and `train_bytes` of each class at the most.
 
-    The texts, bounded by their bytes, meet in one task, so that the driver sees the network alone. Held-out ids are
+    The texts, bounded by their bytes, meet in one task, so that the driver sees what was learned alone. Held-out ids are
     never read. Of several texts under one id the shortest is taken, of these the first in order.
     """
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -356,46 +385,55 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_
     taken = within_bytes([tuple(r) for r in sizes], train_bytes)
     texts = rows.where(F.col("doc_id").isin(taken)).select("doc_id", "toxic", "least.text")
     made = (texts.repartition(1).sortWithinPartitions("doc_id")
-            .mapInArrow(_trained(share), "name string, shape array<int>, data binary").collect())
+            .mapInArrow(_trained(share), "name string, kind string, shape array<int>, place int, data binary").toArrow())
     rows.unpersist()
-    if not made:
-        return train(pa.array([], pa.large_string()), np.zeros(0))
-    arrays = {r["name"]: np.frombuffer(r["data"], dtype=np.float32).reshape(r["shape"]) for r in made}
-    return Network(arrays.pop("words"), arrays.pop("chars"), arrays)
+    if not made.num_rows:
+        return Learned.of(train(pa.array([], pa.large_string()), np.zeros(0)))
+    parts: dict[str, list] = {}
+    for r in sorted(made.to_pylist(), key=lambda r: (r["name"], r["place"])):
+        parts.setdefault(r["name"], []).append(r)
+    return Learned({name: np.frombuffer(b"".join(r["data"] for r in found), dtype=found[0]["kind"]).reshape(found[0]["shape"])
+                    for name, found in parts.items()})
 
 
 def _trained(share: float | None):
-    """One task trains on the bounded texts; a row per array of the network. Given the same rows it learns the same."""
+    """One task trains on the bounded texts; rows of the bytes of every array learned, PART_BYTES each at the most.
+
+    Given the same rows it learns the same.
+    """
     def run(batches) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if len(b)]
         if not held:
             return
         table = pa.Table.from_batches(held)
-        labels = table.column("toxic").to_numpy()
-        net = train(table.column("text").cast(pa.large_string()).combine_chunks(), labels, share)
-        for name, values in {"words": net.words, "chars": net.chars, **net.p}.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([list(values.shape)], pa.list_(pa.int32())), pa.array([values.tobytes()], pa.binary())],
-                ["name", "shape", "data"])
+        net = train(table.column("text").cast(pa.large_string()).combine_chunks(), table.column("toxic").to_numpy(), share)
+        for name, values in Learned.of(net).arrays.items():
+            raw = values.tobytes()
+            for place, low in enumerate(range(0, max(len(raw), 1), PART_BYTES)):
+                yield pa.RecordBatch.from_pylist(
+                    [{"name": name, "kind": values.dtype.str, "shape": list(values.shape), "place": place,
+                      "data": raw[low:low + PART_BYTES]}],
+                    pa.schema({"name": pa.string(), "kind": pa.string(), "shape": pa.list_(pa.int32()), "place": pa.int32(),
+                               "data": pa.binary()}))
     return run
 
 
 def _scored(shared) -> callable:
     def run(batches) -> Iterator[pa.RecordBatch]:
-        net = Network(*shared.value)
+        net = shared.value.network()
         for batch in pieces(batches, "text", 1 << 20):
             scores = text_scores(net, batch.column("text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "score"])
     return run
 
 
-def score(docs: DataFrame, net: Network) -> DataFrame:
+def score(docs: DataFrame, net: Learned) -> DataFrame:
     """All columns of `docs` with `score` (0 to 1) of the whole text and `predicted` (1 if score >= THRESHOLD).
 
     A column of `docs` with one of these two names is replaced. Null, empty and wordless texts score 0. Without
     labels of both classes every text with words gets the same score. Rows, repeated or not, come out once each.
     """
     source = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])
-    shared = docs.sparkSession.sparkContext.broadcast((net.words, net.chars, net.p))
+    shared = docs.sparkSession.sparkContext.broadcast(net)
     return (source.mapInArrow(_scored(shared), StructType([*source.schema.fields]).add("score", "double"))
             .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")))

@@ -101,6 +101,26 @@ def test_nothing_but_gradients_moves_the_embeddings():
     assert (net.words[~seen] == fresh.words[~seen]).all() and (net.words[seen] != fresh.words[seen]).any()
 
 
+def test_a_network_is_built_again_from_what_was_learned():
+    texts, labels = corpus(1, 60)
+    net = g.train(texts, labels)
+    learned = g.Learned.of(net)
+    again = learned.network()
+    assert (again.words == net.words).all() and (again.chars == net.chars).all() and all((again.p[k] == net.p[k]).all() for k in net.p)
+    assert sum(a.nbytes for a in learned.arrays.values()) < (net.words.nbytes + net.chars.nbytes) / 4
+
+
+def test_training_in_a_task_gives_the_network_of_the_same_texts(spark):
+    texts, labels = corpus(4, 120)
+    ids = [i for i in range(120) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, texts[i]) for i in range(120)], "doc_id long, text string").repartition(3)
+    known = spark.createDataFrame([(i, int(labels[i])) for i in range(120)], "doc_id long, toxic int")
+    plain = g.train([texts[i] for i in ids], labels[ids], float(labels[ids].mean()))
+    learned = g.fit(docs, known)
+    rows = {r["doc_id"]: r["score"] for r in g.score(docs, learned).collect()}
+    assert np.allclose([rows[i] for i in range(120)], g.text_scores(plain, pa.array(texts)), atol=1e-5)
+
+
 def test_training_texts_are_bounded_by_bytes(spark):
     assert g.within_bytes([("a", 1, 5), ("b", 0, 5), ("c", 1, 6), ("d", 1, 4), ("e", 0, 0)], 10) == ["a", "b", "d", "e"]
     docs = spark.createDataFrame([(i, f"word{i} " * 100) for i in range(60)] * 2 + [(7, "x")], "doc_id long, text string")
