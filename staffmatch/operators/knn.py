@@ -1,18 +1,18 @@
 """Top-k similarity join: for every requirement the k employees with the largest inner product.
 
 No pair is ever materialised as a row. Vectors are compared block against block inside Arrow tasks
-and a block gives out at most k rows per requirement; a window then keeps k per requirement (its
-partial limit runs before the shuffle).
+and a task gives out at most k rows per requirement and segment of its items; a window then keeps k per requirement (its
+partial limit runs before the shuffle). Blocks are multiplied in single precision with a bound on the error; only what may be
+among the k best is computed in double precision. Copies of a vector within a segment are compared once.
 
 Three physical plans, chosen by the counted size of the requirement side:
 
-* ``broadcast`` - the requirement matrix fits the byte bound: it is broadcast, the employee vectors are
-  scanned where they lie and are not shuffled at all.
-* ``blocks`` - it does not fit: the requirements are cut into blocks that do, by a hash of their ids, and every
-  block is one such scan, its k best written down before the next block is broadcast. The employee vectors are read
-  once per block and still not shuffled.
-* ``grid`` - on request; both sides are cut into bounded blocks by a hash of their ids and every block pair meets
-  in one co-grouped task. Blocks are sized from counts per cell, so a cell (or a requirement set)
+* ``broadcast`` - the requirement matrix fits the byte bound: it is broadcast and the employee vectors are scanned. Where
+  there are many requirements the vectors are first written down, once, in a file per core.
+* ``blocks`` - it does not fit: the requirements are cut into blocks that do. The employee vectors are written down once;
+  a scan of them takes many small blocks, and its k best are written down before the next scan.
+* ``grid`` - on request; both sides are cut into bounded stripes of blocks by a hash of their ids and every stripe pair meets
+  in one co-grouped task. Stripes are sized from counts per cell, so a cell (or a requirement set)
   holding a large part of all rows is spread over many tasks.
 
 With ``cells`` the requirement carries the array of cells it probes and the employee its own cell;
@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,15 +40,22 @@ from ..sources.tables import work_folder
 
 _OUT = "requirement_id string, employee_id string, similarity double"
 _GRID = 10.0**SIMILARITY_DIGITS
-_BLOCK_VALUES = 8_000_000  # vector components per item block (64 MB as doubles)
-_PRODUCT_VALUES = 4_000_000  # similarities held at once (32 MB as doubles)
+_SEGMENT_VALUES = 16_000_000  # vector components of the items that a task holds at once (64 MB as floats)
+_PRODUCT_VALUES = 4_000_000  # similarities held at once (16 MB as floats)
+_QUERY_ROWS = 1024  # requirements compared at once
+_EXACT_ROWS = 1 << 12  # similarities computed again in double precision at once
+_NOWHERE = np.iinfo(np.int64).max
+_LEAST_SCANS = 8  # scans of the items that many small requirement blocks are dealt to
+_NOBODY = np.zeros(0, dtype=np.int64)
 
 
 @dataclass(frozen=True)
 class KnnOptions:
     plan: str = "auto"  # auto (broadcast, or blocks beyond the bound) | broadcast | blocks | grid
     broadcast_bytes: int = 128 * 1024 * 1024  # most bytes of requirement vectors that are ever broadcast
-    block_rows: int | None = None  # item rows per grid block; default from the dimension
+    scan_bytes: int = 128 * 1024 * 1024  # most bytes of requirement vectors that one scan of the items takes
+    block_rows: int | None = None  # item rows compared at once in the grid; default from the number of requirements
+    spread_min_queries: int = 256  # from so many requirements on the items are written down in a file per core
     seed_fraction: float | None = None  # share of items in the pre-scan; None: 1 % for a large known item count
     seed_min_items: int = 5_000_000  # the pre-scan reads the items once more, so both sides must be large
     seed_min_queries: int = 256
@@ -55,8 +63,8 @@ class KnnOptions:
 
 # ---- inside tasks --------------------------------------------------------------------------
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dim: int | None) -> np.ndarray:
-    """List column as a (rows, dim) double matrix; unequal or unexpected lengths are an error."""
+def _matrix(column: pa.ChunkedArray | pa.Array, dim: int | None, keep_type: bool = False) -> np.ndarray:
+    """List column as a (rows, dim) matrix, doubles unless the type is kept; unequal or unexpected lengths are an error."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
@@ -69,66 +77,189 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int | None) -> np.ndarray:
     if not (lengths == width).all():
         found = sorted({int(x) for x in np.unique(lengths) if x != width})
         raise ValueError(f"vector dimension must be {width}, found {found}")
-    return np.asarray(column.flatten(), dtype=np.float64).reshape(rows, width)
-
-
-def _top_of_block(sims: np.ndarray, k: int, floor: np.ndarray, item_ids: np.ndarray):
-    """(row, column) of at most k entries per row, >= floor; equal similarities go by smaller id."""
-    mask = sims >= floor[:, None]
-    counts = mask.sum(axis=1)
-    few = counts <= k
-    rows, cols = np.nonzero(mask & few[:, None])
-    picked_rows, picked_cols = [rows], [cols]
-    many = np.flatnonzero(~few)
-    if many.size:
-        part = sims[many]
-        top = np.argpartition(part, part.shape[1] - k, axis=1)[:, -k:]
-        values = np.take_along_axis(part, top, axis=1)
+    return np.asarray(column.flatten(), dtype=None if keep_type else np.float64).reshape(rows, width)
+
+
+class _Side:
+    """Requirements of a task: ids, vectors, floors, and the positions that probe each cell (None: no cells)."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, floor: np.ndarray, probes: dict[int, np.ndarray] | None):
+        self.ids, self.vectors, self.floor, self.probes = ids, vectors, np.array(floor, dtype=np.float64), probes
+
+    def part(self, cell: int | None, start: int, end: int) -> np.ndarray:
+        """Positions from ``start`` to ``end`` that search the cell, counted from ``start``."""
+        if cell is None:
+            return np.arange(end - start)
+        wanted = self.probes.get(cell, _NOBODY)
+        return wanted[np.searchsorted(wanted, start):np.searchsorted(wanted, end)] - start
+
+
+class _Items:
+    """Items of one cell in ascending order of ids, copies of a vector kept once with the places of their rows."""
+
+    def __init__(self, cell: int | None, places: np.ndarray, vectors: np.ndarray):
+        self.cell = cell
+        rows = np.ascontiguousarray(vectors).view(np.uint8).reshape(len(vectors), -1)
+        words = rows.view(np.uint32) if rows.shape[1] % 4 == 0 else rows
+        odd = np.random.default_rng(1).integers(0, 1 << 62, words.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        code = np.zeros(len(rows), dtype=np.uint64)
+        for j in range(words.shape[1]):  # one column at a time: no second matrix of 64-bit words
+            code += words[:, j] * odd[j]
+            code ^= code >> np.uint64(29)
+        order = np.argsort(code, kind="stable")
+        fresh = np.ones(len(rows), dtype=bool)
+        fresh[1:] = code[order[1:]] != code[order[:-1]]
+        same = np.flatnonzero(~fresh)
+        fresh[same] = (rows[order[same]] != rows[order[same - 1]]).any(axis=1)
+        starts = np.flatnonzero(fresh)
+        by_first = np.argsort(order[starts], kind="stable")  # vectors in the order of their first rows
+        self.counts = np.diff(np.append(starts, len(rows)))[by_first]
+        self.starts = starts[by_first]
+        self.copies = places[order]
+        first = order[self.starts]
+        self.first = places[first]
+        self.vectors = vectors[first]
+
+
+def _margin(queries: np.ndarray, items: np.ndarray) -> np.ndarray | None:
+    """Bound per query on the error of a product in single precision; None where single precision cannot hold it."""
+    with np.errstate(all="ignore"):
+        q = np.sqrt(np.einsum("ij,ij->i", queries, queries, dtype=np.float64))
+        v = np.sqrt(np.einsum("ij,ij->i", items, items, dtype=np.float64).max(initial=0.0))
+        bound = q * v
+    if not np.isfinite(bound).all() or bound.max(initial=0.0) > 1e30:
+        return None
+    return bound * (queries.shape[1] + 8) * 2.0**-23 + 2.0 / _GRID
+
+
+class _Best:
+    """The k best vectors per query: similarities on the grid, equal ones by the place of their first row."""
+
+    def __init__(self, floor: np.ndarray, k: int):
+        self.floor, self.k = floor, k
+        self.sims = np.full((len(floor), k), -np.inf)
+        self.place = np.full((len(floor), k), _NOWHERE)
+        self.group, self.at = np.zeros((2, len(floor), k), dtype=np.int32)
+
+    def least(self) -> np.ndarray:
+        return np.maximum(self.floor, self.sims.min(axis=1))
+
+    def add(self, rows: np.ndarray, sims: np.ndarray, place: np.ndarray, group: int, at: np.ndarray) -> None:
+        kept = sims >= self.least()[rows]
+        order = np.flatnonzero(kept)
+        order = order[np.argsort(rows[order], kind="stable")]
+        if not len(order):
+            return
+        touched, first, counts = np.unique(rows[order], return_index=True, return_counts=True)
+        shape = (len(touched), int(counts.max()))
+        to = (np.repeat(np.arange(len(touched)), counts), np.arange(len(order)) - np.repeat(first, counts))
+
+        def joined(held, fresh, empty):
+            more = np.full(shape, empty, dtype=held.dtype)
+            more[to] = fresh
+            return np.concatenate([held[touched], more], axis=1)
+
+        all_sims, all_place = joined(self.sims, sims[order], -np.inf), joined(self.place, place[order], _NOWHERE)
+        top = np.argpartition(-all_sims, self.k - 1, axis=1)[:, :self.k]
+        values = np.take_along_axis(all_sims, top, axis=1)
         kth = values.min(axis=1)
-        tied = (part == kth[:, None]).sum(axis=1) > (values == kth[:, None]).sum(axis=1)
+        tied = ((all_sims == kth[:, None]).sum(axis=1) > (values == kth[:, None]).sum(axis=1)) & np.isfinite(kth)
         if tied.any():
-            by_id = np.argsort(item_ids, kind="stable")
-            for r in np.flatnonzero(tied):
-                line = part[r, by_id]
-                above = by_id[line > kth[r]]
-                equal = by_id[line == kth[r]][: k - above.size]
-                top[r] = np.concatenate([above, equal])
-        picked_rows.append(np.repeat(many, k))
-        picked_cols.append(top.ravel())
-    return np.concatenate(picked_rows), np.concatenate(picked_cols)
-
-
-def _compare(queries: np.ndarray, items: np.ndarray, k: int, floor: np.ndarray, item_ids: np.ndarray):
-    """Yields (query positions, item positions, similarities) chunk by chunk; ``floor`` is not changed."""
-    if not len(queries) or not len(items):
-        return
-    step = max(1, _PRODUCT_VALUES // len(items))
-    turned = np.ascontiguousarray(items.T)
-    for start in range(0, len(queries), step):
-        sims = np.floor((queries[start:start + step] @ turned) * _GRID + 0.5) / _GRID
-        rows, cols = _top_of_block(sims, k, floor[start:start + step], item_ids)
-        yield rows + start, cols, sims[rows, cols]
-
-
-class _Floors:
-    """k best similarities seen so far per query in this task; gives the running lower bound."""
-
-    def __init__(self, start: np.ndarray, k: int):
-        self.best = np.full((len(start), k), -np.inf)
-        self.start = start
-        self.k = k
-
-    def values(self) -> np.ndarray:
-        return np.maximum(self.start, self.best.min(axis=1)) if self.k else self.start
-
-    def add(self, rows: np.ndarray, sims: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
-        rows, sims = rows[order], sims[order]
-        touched, first, counts = np.unique(rows, return_index=True, return_counts=True)
-        fresh = np.full((len(touched), int(counts.max(initial=0))), -np.inf)
-        fresh[np.repeat(np.arange(len(touched)), counts), np.arange(len(rows)) - np.repeat(first, counts)] = sims
-        merged = np.concatenate([self.best[touched], fresh], axis=1)
-        self.best[touched] = -np.partition(-merged, self.k - 1, axis=1)[:, : self.k]
+            top[tied] = np.lexsort((all_place[tied], -all_sims[tied]), axis=1)[:, :self.k]
+        self.sims[touched], self.place[touched] = np.take_along_axis(all_sims, top, axis=1), np.take_along_axis(all_place, top, axis=1)
+        self.group[touched] = np.take_along_axis(joined(self.group, group, 0), top, axis=1)
+        self.at[touched] = np.take_along_axis(joined(self.at, at[order], 0), top, axis=1)
+
+
+def _compare(best: _Best, rows: np.ndarray, queries: np.ndarray, items: _Items, number: int, most_columns: int) -> None:
+    """Enters the vectors of a cell into ``best``. A product in single precision, whose error is bounded, leaves out what
+    lies below the k-th similarity so far; the rest is computed again in double precision."""
+    margin = _margin(queries, items.vectors)
+    kind = np.float64 if margin is None else np.float32
+    plain, held, n_held, start, step = queries.astype(kind, copy=False), [], 0, 0, max(4 * best.k, 256)
+    n = len(items.vectors)
+    slack = 2.0 / _GRID if margin is None else margin
+
+    def enter():
+        row, at = (np.concatenate(x) for x in zip(*held))
+        exact = np.empty(len(row))
+        for i in range(0, len(row), _EXACT_ROWS):
+            part = slice(i, i + _EXACT_ROWS)
+            exact[part] = np.einsum("ij,ij->i", queries[row[part]].astype(np.float64), items.vectors[at[part]].astype(np.float64))
+        best.add(rows[row], np.floor(exact * _GRID + 0.5) / _GRID, items.first[at], number, at)
+
+    bound = (best.least()[rows] - slack).astype(kind)
+    while start < n:
+        end = min(n, start + min(step, most_columns))
+        sims = plain @ items.vectors[start:end].astype(kind, copy=False).T
+        found = np.flatnonzero(sims >= np.nextafter(bound, kind(-np.inf))[:, None])
+        if len(found):
+            row, at = np.divmod(found, end - start)
+            held.append((row, at + start))
+            n_held += len(found)
+        start, step = end, step * 2
+        if held and (start >= n or n_held >= len(rows) * best.k):
+            enter()
+            held, n_held = [], 0
+            bound = (best.least()[rows] - slack).astype(kind)
+
+
+def _expanded(best: _Best, groups: list[_Items]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item place, similarity) of the k best rows, where copies of a vector count one by one, and the k-th similarity."""
+    counts, starts = np.zeros(best.place.shape, dtype=np.int64), np.zeros(best.place.shape, dtype=np.int64)
+    base = np.cumsum([0, *[len(g.copies) for g in groups]])
+    for i, items in enumerate(groups):
+        here = (best.group == i) & (best.place != _NOWHERE)
+        counts[here] = np.minimum(items.counts[best.at[here]], best.k)  # the first k copies by id are enough
+        starts[here] = items.starts[best.at[here]] + base[i]
+    if (counts > 1).any():
+        order = np.argsort(-best.sims, axis=1)
+        sims, counts, starts = (np.take_along_axis(x, order, axis=1) for x in (best.sims, counts, starts))
+        total = np.cumsum(counts, axis=1)
+        least = np.where(total[:, -1] >= best.k, np.take_along_axis(sims, (total < best.k).sum(axis=1).clip(max=best.k - 1)[:, None], axis=1)[:, 0], -np.inf)
+        row, slot = np.nonzero((counts > 0) & (sims >= least[:, None]))
+        sims, counts, starts = sims[row, slot], counts[row, slot], starts[row, slot]
+        copies = np.concatenate([g.copies for g in groups])
+        where = np.repeat(starts, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        row, sims, place = np.repeat(row, counts), np.repeat(sims, counts), copies[where]
+        order = np.lexsort((place, -sims, row))
+        row, sims, place = row[order], sims[order], place[order]
+        first = np.searchsorted(row, np.arange(len(best.sims)))
+        kept = np.arange(len(row)) - first[row] < best.k
+        return row[kept], place[kept], sims[kept]
+    row, slot = np.nonzero(counts)
+    return row, best.place[row, slot], best.sims[row, slot]
+
+
+def _search(side: _Side, groups: list[_Items], item_ids: np.ndarray, k: int, block_rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The k best of these items per requirement, from its floor up; floors rise to the k-th similarity."""
+    columns = block_rows or max(256, _PRODUCT_VALUES // _QUERY_ROWS)
+    for start in range(0, len(side.ids), _QUERY_ROWS):
+        end = min(start + _QUERY_ROWS, len(side.ids))
+        best = _Best(side.floor[start:end], k)
+        for number, items in enumerate(groups):
+            rows = side.part(items.cell, start, end)
+            if len(rows):
+                _compare(best, rows, side.vectors[start + rows], items, number, columns)
+        row, place, sims = _expanded(best, groups)
+        if len(row):
+            counts = np.bincount(row, minlength=end - start)
+            full = np.flatnonzero(counts >= k)
+            least = np.full(end - start, np.inf)
+            np.minimum.at(least, row, sims)
+            side.floor[start + full] = np.maximum(side.floor[start + full], least[full])
+            yield _batch(side.ids[start:end], item_ids, row, place, sims)
+
+
+def _by_cell(table: pa.Table, dim: int | None, with_cells: bool) -> tuple[np.ndarray, list[_Items]]:
+    """Item ids in ascending order and their vectors by cell."""
+    table = table.take(pc.sort_indices(table.column("employee_id"), null_placement="at_start"))
+    vectors, places = _matrix(table.column("vec"), dim, keep_type=True), np.arange(table.num_rows)
+    if not with_cells:
+        return _strings(table.column("employee_id")), [_Items(None, places, vectors)]
+    cells = table.column("cell").to_numpy()
+    parts = ((int(c), np.flatnonzero(cells == c)) for c in np.unique(cells))
+    return _strings(table.column("employee_id")), [_Items(c, places[p], vectors[p]) for c, p in parts]
 
 
 def _batch(query_ids: np.ndarray, item_ids: np.ndarray, rows, cols, sims) -> pa.RecordBatch:
@@ -146,60 +277,43 @@ def _strings(column) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
 
 
-def _scan_task(shared, k: int, with_cells: bool):
-    """mapInArrow body of the broadcast plan."""
+def _scan_task(shared: list, k: int, dim: int, with_cells: bool):
+    """mapInArrow body of the broadcast plan: each block of requirements over the items of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, matrix, start_floor, probes = shared.value
-        dim = matrix.shape[1]
-        floors = _Floors(start_floor, k)
-        block_rows = max(256, _BLOCK_VALUES // dim)
+        sides: list[_Side] = []
+        most_rows = max(256, _SEGMENT_VALUES // dim)
 
         def flush(held):
-            block = pa.Table.from_batches(held)
-            items = _matrix(block.column("vec"), dim)
-            item_ids = _strings(block.column("employee_id"))
-            if with_cells:
-                cells = block.column("cell").to_numpy()
-                groups = [(probes[c], np.flatnonzero(cells == c)) for c in np.unique(cells) if c in probes]
-            else:
-                groups = [(None, None)]
-            for wanted, where in groups:
-                q = matrix if wanted is None else matrix[wanted]
-                it = items if where is None else items[where]
-                ids = item_ids if where is None else item_ids[where]
-                current = floors.values() if wanted is None else floors.values()[wanted]
-                for rows, cols, sims in _compare(q, it, k, current, ids):
-                    full_rows = rows if wanted is None else wanted[rows]
-                    if len(full_rows):
-                        floors.add(full_rows, sims)
-                        yield _batch(query_ids, ids, full_rows, cols, sims)
+            if not sides:
+                sides.extend(_Side(*block.value) for block in shared)
+            item_ids, groups = _by_cell(pa.Table.from_batches(held), dim, with_cells)
+            for side in sides:
+                yield from _search(side, groups, item_ids, k)
 
         held, n = [], 0
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
-            if n >= block_rows:
+            if n >= most_rows:
                 yield from flush(held)
                 held, n = [], 0
-        if held:
+        if n:
             yield from flush(held)
 
     return run
 
 
-def _grid_task(k: int):
-    """Co-group body of the grid plan: one bounded query block against one bounded item block."""
+def _grid_task(k: int, block_rows: int | None):
+    """Co-group body of the grid plan: one bounded stripe of queries against one of items, block by block."""
 
     def run(queries: pa.Table, items: pa.Table) -> pa.Table:
         batches = []
         if queries.num_rows and items.num_rows:
-            matrix = _matrix(queries.column("vec"), None)
-            other = _matrix(items.column("vec"), matrix.shape[1])
-            query_ids, item_ids = _strings(queries.column("requirement_id")), _strings(items.column("employee_id"))
-            floor = queries.column("floor").to_numpy()
-            for rows, cols, sims in _compare(matrix, other, k, floor, item_ids):
-                batches.append(_batch(query_ids, item_ids, rows, cols, sims))
+            matrix = _matrix(queries.column("vec"), None, keep_type=True)
+            item_ids, groups = _by_cell(items, matrix.shape[1], False)
+            side = _Side(_strings(queries.column("requirement_id")), matrix, queries.column("floor").to_numpy(), None)
+            batches.extend(_search(side, groups, item_ids, k, block_rows))
         schema = pa.schema([("requirement_id", pa.string()), ("employee_id", pa.string()), ("similarity", pa.float64())])
         return pa.Table.from_batches(batches, schema=schema)
 
@@ -226,21 +340,32 @@ def _cell_positions(lists: pa.ChunkedArray) -> dict[int, np.ndarray]:
     return dict(zip(found.tolist(), np.split(position[order], starts[1:])))
 
 
-def _broadcast_plan(queries, items, k, with_cells) -> DataFrame:
+def _broadcast_plan(queries, items, k, with_cells, bound: int | None = None) -> DataFrame:
+    """All of ``queries`` over a scan of ``items``, in broadcasts of at most ``bound`` bytes each."""
     spark = queries.sparkSession
     columns = ["requirement_id", "vec", "floor"] + (["cells"] if with_cells else [])
     table = queries.select(*columns).toArrow()  # bounded: the caller has counted the bytes
-    query_ids = _strings(table.column("requirement_id"))
-    matrix = _matrix(table.column("vec"), None)
-    if not len(matrix):
+    if not table.num_rows:
         return spark.createDataFrame([], _OUT)
-    probes, item_columns = None, ["employee_id", "vec"]
+    matrix = _matrix(table.column("vec"), None, keep_type=True)
+    dim, item_columns, everywhere = matrix.shape[1], ["employee_id", "vec"], set()
+    sizes = np.full(table.num_rows, dim * 8 + 8) + pc.fill_null(pc.binary_length(table.column("requirement_id")), 0).to_numpy()
+    if with_cells:
+        sizes = sizes + table.column("cells").combine_chunks().value_lengths().to_numpy(zero_copy_only=False) * 8
+    shared, start = [], 0
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    while start < len(sizes):
+        end = len(sizes) if bound is None else max(start + 1, int(np.searchsorted(before, before[start] + bound, side="right")) - 1)
+        part = table.slice(start, end - start)
+        probes = _cell_positions(part.column("cells")) if with_cells else None
+        everywhere.update(probes or ())
+        shared.append(spark.sparkContext.broadcast(
+            (_strings(part.column("requirement_id")), matrix[start:end], part.column("floor").to_numpy(), probes)))
+        start = end
     if with_cells:
-        probes = _cell_positions(table.column("cells"))
         item_columns.append("cell")
-        items = items.where(F.col("cell").isin(sorted(probes)))  # prunes cell partitions at the scan
-    shared = spark.sparkContext.broadcast((query_ids, matrix, table.column("floor").to_numpy(), probes))
-    return items.select(*item_columns).mapInArrow(_scan_task(shared, k, with_cells), _OUT)
+        items = items.where(F.col("cell").isin(sorted(everywhere)))  # prunes cell partitions at the scan
+    return items.select(*item_columns).mapInArrow(_scan_task(shared, k, dim, with_cells), _OUT)
 
 
 def _query_bytes(dim: int, cells: bool):
@@ -249,23 +374,34 @@ def _query_bytes(dim: int, cells: bool):
     return fixed + F.size("cells") * 8 if cells else fixed
 
 
+def _spread_items(items: DataFrame, with_cells: bool) -> DataFrame:
+    """The items written once, in as many files as there are cores: what makes them runs once, and the work of comparing,
+    which their few bytes do not show, is shared out."""
+    spark = items.sparkSession
+    rows = items.select("employee_id", "vec", *(["cell"] if with_cells else []))
+    target = f"{work_folder(spark)}/items"
+    rows.repartition(max(spark.sparkContext.defaultParallelism, 1), "employee_id").write.parquet(target)
+    return spark.read.schema(rows.schema).parquet(target)
+
+
 def _blocks_plan(queries, items, k, with_cells, options, dim: int, total: int, search) -> DataFrame:
-    """``search`` over blocks of requirements that each fit the bound; the results of a block are written down."""
+    """``search`` over blocks of requirements that each fit the bound. A scan of the items takes many small blocks, a
+    broadcast each; the results of a scan are written down."""
     spark, folder = queries.sparkSession, work_folder(queries.sparkSession)
-    blocks = max(2, math.ceil(total / options.broadcast_bytes * 1.25))
+    if (queries.agg(F.max(_query_bytes(dim, with_cells))).first()[0] or 0) > options.broadcast_bytes:
+        raise ValueError(f"a single requirement of {dim} values exceeds the broadcast bound")
+    most_held = max(options.scan_bytes, options.broadcast_bytes)
+    scans = max(2, math.ceil(total / most_held * 1.25), min(_LEAST_SCANS, math.ceil(total / options.broadcast_bytes * 1.25)))
     while True:
-        number = F.pmod(F.xxhash64("requirement_id"), F.lit(blocks))
-        sizes = queries.groupBy(number.alias("block")).agg(F.sum(_query_bytes(dim, with_cells)).alias("bytes")).orderBy("block").collect()
-        most = max((r["bytes"] for r in sizes), default=0)
-        if most <= options.broadcast_bytes or blocks >= 1 << 20:
+        number = F.pmod(F.xxhash64("requirement_id"), F.lit(scans))
+        sizes = queries.groupBy(number.alias("scan")).agg(F.sum(_query_bytes(dim, with_cells)).alias("bytes")).orderBy("scan").collect()
+        if max((r["bytes"] for r in sizes), default=0) <= most_held or scans >= 1 << 20:
             break
-        blocks *= 2
-    if most > options.broadcast_bytes:
-        raise ValueError(f"a single requirement of {dim} values exceeds the broadcast bound")
+        scans *= 2
     found = None
-    for block in (r["block"] for r in sizes):  # a row per block; none is empty
-        target = f"{folder}/block-{block}"
-        part = search(queries.where(number == block), items)
+    for scan in (r["scan"] for r in sizes):  # a row per scan; none is empty
+        target = f"{folder}/block-{scan}"
+        part = search(queries.where(number == scan), items)
         part.write.parquet(target)
         part = spark.read.schema(part.schema).parquet(target)
         found = part if found is None else found.unionByName(part)
@@ -276,47 +412,61 @@ def _numbers(count: str) -> F.Column:
     return F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1)
 
 
-def _with_block_counts(queries, items, with_cells: bool, rows: int, bounded_cells: bool, cell_sizes: DataFrame | None):
-    """Both sides with ``cell``, ``item_blocks`` and ``query_blocks``, from the counts per cell."""
-    per_block = F.lit(float(rows))
+def _with_stripe_counts(queries, items, with_cells: bool, rows: int, least_rows: int, bounded_cells: bool, cell_sizes: DataFrame | None):
+    """Both sides with ``cell``, ``item_stripes`` and ``query_stripes``, from the counts per cell, and how many tasks they make.
+
+    A stripe has about ``rows`` rows; the items are cut finer, down to ``least_rows``, where that gives every core work.
+    """
+    cores = max(queries.sparkSession.sparkContext.defaultParallelism, 1)
     if not with_cells:
-        blocks = [F.lit(0).alias("cell")]
-        for side, name in ((items, "item_blocks"), (queries, "query_blocks")):
-            blocks.append(F.lit(max(1, math.ceil(side.count() / rows))).cast("bigint").alias(name))
-        return queries.select("*", *blocks), items.select("*", *blocks)
+        n_items, n_queries = items.count(), queries.count()
+        cut = {"item_stripes": max(1, math.ceil(n_items / rows), min(cores, math.ceil(n_items / least_rows))),
+               "query_stripes": max(1, math.ceil(n_queries / rows))}
+        more = [F.lit(0).alias("cell"), *[F.lit(n).cast("bigint").alias(c) for c, n in cut.items()]]
+        return queries.select("*", *more), items.select("*", *more), 3 * max(cores, math.prod(cut.values()))
     queries = queries.withColumn("cell", F.explode("cells"))
     if cell_sizes is None:
         cell_sizes = items.groupBy("cell").agg(F.count("*").alias("n"))
+    per_stripe = F.lit(float(rows))
     sizes = (
         cell_sizes.groupBy("cell").agg(F.sum("n").alias("n_items"))
         .join(queries.groupBy("cell").agg(F.count("*").alias("n_queries")), "cell")
         .select(
             "cell",
-            F.ceil(F.col("n_items") / per_block).cast("bigint").alias("item_blocks"),
-            F.ceil(F.col("n_queries") / per_block).cast("bigint").alias("query_blocks"),
+            F.ceil(F.col("n_items") / per_stripe).cast("bigint").alias("item_stripes"),
+            F.ceil(F.col("n_queries") / per_stripe).cast("bigint").alias("query_stripes"),
         )
     )
+    target = f"{work_folder(items.sparkSession)}/cells"
+    sizes.write.parquet(target)
+    sizes = items.sparkSession.read.schema(sizes.schema).parquet(target)
+    groups = sizes.agg(F.sum(F.col("item_stripes") * F.col("query_stripes"))).first()[0] or 1
     if bounded_cells:
         sizes = F.broadcast(sizes)  # one row per cell, and their bytes have been checked
-    return queries.join(sizes, "cell"), items.join(sizes, "cell")
+    return queries.join(sizes, "cell"), items.join(sizes, "cell"), 3 * max(cores, groups)
 
 
 def _grid_plan(queries, items, k, with_cells, options: KnnOptions, dim: int, bounded_cells: bool, cell_sizes=None) -> DataFrame:
-    """Cells x query blocks x item blocks, co-grouped. Block numbers come from counts per cell."""
-    rows = options.block_rows or max(256, _BLOCK_VALUES // max(dim, 1))
-    queries, items = _with_block_counts(queries, items, with_cells, rows, bounded_cells, cell_sizes)
+    """Cells x query stripes x item stripes, co-grouped. Stripe numbers come from counts per cell.
+
+    A stripe holds many blocks, so a row is copied once per stripe of the other side and not once per block. The number
+    of tasks is given, since the few bytes of a stripe do not show the work.
+    """
+    rows = max(options.block_rows or 256, _SEGMENT_VALUES // max(dim, 1))
+    queries, items, tasks = _with_stripe_counts(queries, items, with_cells, rows, options.block_rows or 256, bounded_cells, cell_sizes)
     cut_items = (
-        items.withColumn("item_block", F.pmod(F.xxhash64("employee_id"), "item_blocks"))
-        .withColumn("query_block", F.explode(_numbers("query_blocks")))
-        .select("cell", "item_block", "query_block", "employee_id", "vec")
+        items.withColumn("item_stripe", F.pmod(F.xxhash64("employee_id"), "item_stripes"))
+        .withColumn("query_stripe", F.explode(_numbers("query_stripes")))
+        .select("cell", "item_stripe", "query_stripe", "employee_id", "vec")
     )
     cut_queries = (
-        queries.withColumn("query_block", F.pmod(F.xxhash64("requirement_id"), "query_blocks"))
-        .withColumn("item_block", F.explode(_numbers("item_blocks")))
-        .select("cell", "item_block", "query_block", "requirement_id", "vec", "floor")
+        queries.withColumn("query_stripe", F.pmod(F.xxhash64("requirement_id"), "query_stripes"))
+        .withColumn("item_stripe", F.explode(_numbers("item_stripes")))
+        .select("cell", "item_stripe", "query_stripe", "requirement_id", "vec", "floor")
     )
-    keys = ["cell", "item_block", "query_block"]
-    return cut_queries.groupBy(*keys).cogroup(cut_items.groupBy(*keys)).applyInArrow(_grid_task(k), _OUT)
+    keys = ["cell", "item_stripe", "query_stripe"]
+    cut_queries, cut_items = cut_queries.repartition(tasks, *keys), cut_items.repartition(tasks, *keys)
+    return cut_queries.groupBy(*keys).cogroup(cut_items.groupBy(*keys)).applyInArrow(_grid_task(k, options.block_rows), _OUT)
 
 
 def _sampled(items: DataFrame, fraction: float) -> DataFrame:
@@ -385,7 +535,7 @@ def top_k(
     def partial(some: DataFrame, side: DataFrame, sizes: DataFrame | None) -> DataFrame:
         if options.plan == "grid":
             return _grid_plan(some, side, k, cells, options, dim, bounded, sizes)
-        return _broadcast_plan(some, side, k, cells)
+        return _broadcast_plan(some, side, k, cells, options.broadcast_bytes)
 
     def search(some: DataFrame, side: DataFrame) -> DataFrame:
         if fraction > 0:
@@ -396,7 +546,9 @@ def top_k(
         target = f"{work_folder(queries.sparkSession)}/requirements"
         queries.write.parquet(target)
         queries.unpersist()
-        return search(queries.sparkSession.read.schema(queries.schema).parquet(target), items)
+        return search(queries.sparkSession.read.schema(queries.schema).parquet(target), _spread_items(items, cells))
+    if size["n"] >= options.spread_min_queries or options.plan == "blocks" or not small:
+        items = _spread_items(items, cells)
     if options.plan == "blocks" or not small:
         found = _blocks_plan(queries, items, k, cells, options, dim, total, search)
     else:

@@ -245,3 +245,91 @@ def test_vector_id_is_the_known_hash(spark):
     from staffmatch.functions import vectors as vx
 
     assert spark.range(1).select(vx.vector_id(F.lit("worker-1"))).first()[0] == int(hashlib.sha256(b"worker-1").hexdigest()[:15], 16)
+
+
+def shipped_items(spark, monkeypatch, queries, items, **more):
+    """Item rows that reach the co-grouped tasks of the grid."""
+    import pyarrow as pa
+
+    from staffmatch.operators import knn
+
+    def counting(*args):
+        def run(queries, items):
+            return pa.table({"requirement_id": ["x"], "employee_id": ["x"], "similarity": [float(items.num_rows)]})
+        return run
+
+    monkeypatch.setattr(knn, "_grid_task", counting)
+    found = knn._grid_plan(queries, items, 5, "cells" in queries.columns, KnnOptions(plan="grid", block_rows=5), 8, True, **more)
+    return sum(r["similarity"] for r in found.collect())
+
+
+def test_the_grid_ships_an_item_once_per_stripe_not_once_per_block(spark, data, monkeypatch):
+    qi, q, ii, it = data
+    queries = frame(spark, "requirement_id", qi, q).selectExpr("*", "double('-inf') AS floor")
+    assert shipped_items(spark, monkeypatch, queries, frame(spark, "employee_id", ii, it)) == 300
+
+
+def test_the_grid_ships_an_item_of_a_cell_once(spark, data, monkeypatch):
+    qi, q, ii, it = data
+    items = frame(spark, "employee_id", ii, it)
+    centres = ivf.train_centroids(items, 6)
+    queries = ivf.probe_cells(frame(spark, "requirement_id", qi, q), centres, 99).selectExpr("*", "double('-inf') AS floor")
+    assert shipped_items(spark, monkeypatch, queries, ivf.assign_cells(items, centres)) == 300
+
+
+def test_many_blocks_share_few_scans_of_items_made_once(spark, data, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from staffmatch.operators import knn
+
+    qi, q, ii, it = data
+    calls, scans, scan = spark.sparkContext.accumulator(0), [], knn._broadcast_plan
+
+    def watched(*args):
+        scans.append(args[0])
+        return scan(*args)
+
+    @F.udf("array<float>")
+    def made(v):
+        calls.add(1)
+        return v
+
+    monkeypatch.setattr(knn, "_broadcast_plan", watched)
+    items = frame(spark, "employee_id", ii, it).select("employee_id", made("vec").alias("vec"))
+    got = top_k(frame(spark, "requirement_id", qi, q), items, 5, options=KnnOptions(plan="blocks", broadcast_bytes=100))
+    assert rows(got) == brute_force(qi, q, ii, it, 5)
+    assert len(scans) <= 8 and calls.value == 300
+
+
+def test_many_requirements_spread_items_that_lie_in_one_partition(spark, data):
+    _, _, ii, it = data
+    rng = np.random.default_rng(8)
+    q, qi = unit(rng, 300, 8), [f"R{i:03d}" for i in range(300)]
+    got = top_k(frame(spark, "requirement_id", qi, q), frame(spark, "employee_id", ii, it, 1), 5)
+    assert len(got.inputFiles()) >= 4
+    assert rows(got) == brute_force(qi, q, ii, it, 5)
+
+
+@pytest.mark.parametrize("dim, size", [(8, 1.0), (64, 1.0), (3, 1e-3), (5, 40.0), (2, 1e25)])
+def test_single_precision_only_leaves_out(dim, size):
+    """Near equal vectors and copies, vectors of other lengths: the kernel gives what double precision gives."""
+    import pyarrow as pa
+
+    from staffmatch.operators import knn
+
+    rng = np.random.default_rng(dim)
+    base = unit(rng, 40, dim)
+    v = np.concatenate([base, base, base + rng.normal(size=base.shape) * 1e-6, unit(rng, 3000, dim)]).astype(np.float32) * np.float32(size)
+    q = np.concatenate([base[:20], unit(rng, 20, dim)]).astype(np.float32)
+    ids, names = [f"E{i:05d}" for i in rng.permutation(len(v))], [f"R{i}" for i in range(len(q))]
+    table = pa.table({"employee_id": ids, "vec": pa.array(v.tolist(), pa.list_(pa.float32()))})
+    item_ids, groups = knn._by_cell(table, dim, False)
+    side = knn._Side(np.array(names, dtype=object), q, np.full(len(q), -np.inf), None)
+    got = [r for b in knn._search(side, groups, item_ids, 30, 100) for r in b.to_pylist()]
+    sims = np.floor(np.einsum("ij,kj->ik", q.astype(float), v.astype(float)) * 1e9 + 0.5) / 1e9
+    assert len(got) == 30 * len(q)
+    for i, name in enumerate(names):
+        mine = sorted((-r["similarity"], r["employee_id"]) for r in got if r["requirement_id"] == name)
+        want = sorted(zip(-sims[i], ids))[:30]
+        assert np.allclose([m[0] for m in mine], [w[0] for w in want], rtol=1e-12, atol=2e-9)
+        assert size != 1.0 or [m[1] for m in mine] == [w[1] for w in want]
