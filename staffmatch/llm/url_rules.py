@@ -21,8 +21,8 @@ LISTED = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com
 #: Share of the labelled URLs that hold all tokens of a rule and its verdict.
 LEAST_SUPPORT = 1 / 64
 LEAST_CONFIDENCE = 7 / 8
-#: Tokens of a labelled URL that mining looks at, the host's first, from its right end; matching looks at all tokens.
-MINED_TOKENS = 12
+#: Tokens of a labelled URL that mining looks at: all, as matching does.
+MINED_TOKENS = None
 #: Listed rules become one expression of a plan.
 MOST_LISTED = 1000
 #: Mined rules up to so many are broadcast; beyond it the index is joined by a shuffle.
@@ -85,7 +85,7 @@ def _hits(sets: DataFrame, index: DataFrame) -> DataFrame:
 
 def mine(labelled: DataFrame, scratch: Scratch, support: float = LEAST_SUPPORT, confidence: float = LEAST_CONFIDENCE) -> DataFrame:
     """Index of mined rules (key, tokens, verdict, confidence, support) from (items, verdict) rows."""
-    baskets = labelled.select(F.array_append(F.slice("items", 1, MINED_TOKENS), F.concat(F.lit("verdict:"), "verdict")).alias("items"))
+    baskets = labelled.select(F.array_append("items", F.concat(F.lit("verdict:"), "verdict")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     supports = scratch.store(model.freqItemsets.where(F.size("items") == 1).select(
         F.get("items", F.lit(0)).alias("token"), "freq"), "supports")
