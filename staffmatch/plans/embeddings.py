@@ -48,9 +48,9 @@ def base_name(model: str) -> str:
     return f"vectors_base/{folder_name(model)}"
 
 
-def _current_texts(store: TableStore, employees: DataFrame, registry: DataFrame) -> DataFrame:
-    """``employee_id, fingerprint, text_hash`` of the snapshot; texts are built only where the fingerprint is not the
-    registered one."""
+def _current_texts(store: TableStore, employees: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``employee_id, fingerprint, text_hash`` of the snapshot, and ``employee_id, profile_text`` as a written table; texts
+    are built, once, only where the fingerprint is not the registered one."""
     folder = work_folder(store.spark)
 
     def kept(rows: DataFrame, name: str) -> DataFrame:
@@ -60,9 +60,10 @@ def _current_texts(store: TableStore, employees: DataFrame, registry: DataFrame)
     prints = kept(profile_fingerprints(employees), "prints")
     unsure = kept(unsure_ids(prints, registry), "unsure")
     if unsure.isEmpty():
-        return prints.withColumn("text_hash", F.lit(None).cast("string"))
-    texts = build_profiles(employees, only=unsure).select("employee_id", F.sha2("profile_text", 256).alias("text_hash"))
-    return prints.join(texts, "employee_id", "left")
+        return prints.withColumn("text_hash", F.lit(None).cast("string")), None
+    texts = kept(build_profiles(employees, only=unsure).select(
+        "employee_id", F.sha2("profile_text", 256).alias("text_hash"), "profile_text"), "texts")
+    return prints.join(texts.select("employee_id", "text_hash"), "employee_id", "left"), texts.select("employee_id", "profile_text")
 
 
 def sync_embeddings(store: TableStore, employees: DataFrame, encoder, *, detect_changes: bool = False,
@@ -77,7 +78,7 @@ def sync_embeddings(store: TableStore, employees: DataFrame, encoder, *, detect_
     before = store.current(name)
     version = before + 1
     registry = read_registry(store, model)
-    current = _current_texts(store, employees, registry) if detect_changes else employees.select("employee_id").distinct()
+    current, texts = _current_texts(store, employees, registry) if detect_changes else (employees.select("employee_id").distinct(), None)
     labels = label_ids(current, registry, detect_changes)
     following = next_registry(labels, model, version, id_function).persist()
     counts = summarize(following).first().asDict()
@@ -92,7 +93,11 @@ def sync_embeddings(store: TableStore, employees: DataFrame, encoder, *, detect_
     to_embed = counts["new_count"] + counts["changed_count"]
     if to_embed:
         wanted = staged.where(F.col("action").isin(EMBED_ACTIONS)).select("employee_id") if to_embed < counts["total_active"] else None
-        vectors = encode_profiles(build_profiles(employees, only=wanted), encoder).select(
+        if texts is None:
+            profiles = build_profiles(employees, only=wanted)
+        else:  # whoever is new or changed has a text there
+            profiles = texts if wanted is None else texts.join(wanted, "employee_id", "left_semi")
+        vectors = encode_profiles(profiles, encoder).select(
             "employee_id", id_function(F.col("employee_id")).alias("vector_id"), "vec"
         )
         seen = Observation("vectors")

@@ -370,3 +370,15 @@ def requirement_text():
     from staffmatch.functions.text import requirement_embedding_text
 
     return requirement_embedding_text()
+
+
+def test_texts_are_built_once_for_hash_and_encoder(spark, store, monkeypatch):
+    calls, real = [], eb.build_profiles
+    monkeypatch.setattr(eb, "build_profiles", lambda *a, **kw: calls.append(1) or real(*a, **kw))
+    eb.sync_embeddings(store, people(spark, "1", "2"), ENCODER, detect_changes=True)
+    assert len(calls) == 1
+    moved = people(spark, "1").unionByName(people(spark, "2", "3", domain="Retail"))
+    result = eb.sync_embeddings(store, moved, ENCODER, detect_changes=True)
+    assert (result.new_count, result.changed_count, len(calls)) == (1, 1, 2)
+    plain = {r["employee_id"]: r["vec"] for r in ENCODER.encode(real(moved).select("employee_id", "profile_text"), "profile_text").collect()}
+    assert {i: v for i, (v, _) in vectors(store).items()} == plain
