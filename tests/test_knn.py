@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from staffmatch.operators import ivf
@@ -333,3 +334,28 @@ def test_single_precision_only_leaves_out(dim, size):
         want = sorted(zip(-sims[i], ids))[:30]
         assert np.allclose([m[0] for m in mine], [w[0] for w in want], rtol=1e-12, atol=2e-9)
         assert size != 1.0 or [m[1] for m in mine] == [w[1] for w in want]
+
+
+def test_few_similarities_are_computed_twice_and_ties_within_the_error_are_kept(monkeypatch):
+    from staffmatch.operators import knn
+
+    rng = np.random.default_rng(11)
+    queries, many, k = unit(rng, 40, 16), unit(rng, 30_000, 16), 10
+    seen, add = [], knn._Best.add
+
+    def counted(self, rows, sims, place, group, at):
+        seen.append(len(rows))
+        add(self, rows, sims, place, group, at)
+
+    monkeypatch.setattr(knn._Best, "add", counted)
+    near = np.repeat(many[:1], 3000, axis=0) + rng.normal(size=(3000, 16)).astype(np.float32) * np.float32(1e-8)
+    rising = many[np.argsort(many @ queries[0])]
+    for items, most in ((many, 2 * k), (rising, 2 * k), (near, None)):
+        seen.clear()
+        names, wanted = [f"E{i:05d}" for i in range(len(items))], [f"R{i:02d}" for i in range(len(queries))]
+        table = pa.table({"employee_id": names, "vec": pa.array(list(items), type=pa.list_(pa.float32()))})
+        ids, groups = knn._by_cell(table, 16, False)
+        side = knn._Side(np.array(wanted, dtype=object), queries, np.full(len(queries), -np.inf), None)
+        got = sorted((r["requirement_id"], r["employee_id"], r["similarity"]) for b in knn._search(side, groups, ids, k) for r in b.to_pylist())
+        assert got == sorted(r[:3] for r in brute_force(wanted, queries, names, items, k))
+        assert most is None or sum(seen) < most * len(queries)
