@@ -359,3 +359,12 @@ def test_few_similarities_are_computed_twice_and_ties_within_the_error_are_kept(
         got = sorted((r["requirement_id"], r["employee_id"], r["similarity"]) for b in knn._search(side, groups, ids, k) for r in b.to_pylist())
         assert got == sorted(r[:3] for r in brute_force(wanted, queries, names, items, k))
         assert most is None or sum(seen) < most * len(queries)
+
+
+def test_copies_are_grouped_by_a_hash_first(spark):
+    rows = [("E3", [0.0, 1.0]), ("E2", [-0.0, 1.0]), ("E1", [1.0, 0.0]), ("E5", [1.0, 0.0]), ("E4", [0.0, 0.0]), ("E6", None),
+            ("E8", [float("nan"), 1.0]), ("E7", [float("nan"), 1.0])]
+    found = ivf.group_copies(spark.createDataFrame(rows, "employee_id string, vec array<float>"))
+    assert sorted((r["first_id"], r["n"]) for r in found.collect()) == [("E1", 2), ("E2", 2), ("E7", 2)]
+    assert found.columns == ["vec", "n", "first_id"]
+    assert "Aggregate [xxhash64(vec" in found._jdf.queryExecution().analyzed().toString()
