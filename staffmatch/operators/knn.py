@@ -8,7 +8,8 @@ among the k best is computed in double precision. Copies of a vector within a se
 Three physical plans, chosen by the counted size of the requirement side:
 
 * ``broadcast`` - the requirement matrix fits the byte bound: it is broadcast and the employee vectors are scanned. Where
-  there are many requirements the vectors are first written down, once, in a file per core.
+  there are many requirements the vectors are first written down, once, in a file per core, and each file is compared with
+  one part of the requirements per task, so that a task has a bounded number of pairs however many there are in all.
 * ``blocks`` - it does not fit: the requirements are cut into blocks that do. The employee vectors are written down once;
   a scan of them takes many small blocks, and its k best are written down before the next scan.
 * ``grid`` - on request; both sides are cut into bounded stripes of blocks by a hash of their ids and every stripe pair meets
@@ -45,6 +46,8 @@ _PRODUCT_VALUES = 1 << 21  # similarities held at once (8 MB as floats)
 _QUERY_ROWS = 1024  # requirements compared at once
 _EXACT_ROWS = 1 << 12  # similarities computed again in double precision at once
 _NOWHERE = np.iinfo(np.int64).max
+_TASK_PAIRS = 1 << 32  # pairs that a task of the broadcast plan compares at the most, about
+_MOST_PARTS = 256  # parts of the requirements in one plan
 _LEAST_SCANS = 8  # scans of the items that many small requirement blocks are dealt to
 _NOBODY = np.zeros(0, dtype=np.int64)
 
@@ -397,32 +400,40 @@ def _cell_positions(lists: pa.ChunkedArray) -> dict[int, np.ndarray]:
     return dict(zip(found.tolist(), np.split(position[order], starts[1:])))
 
 
-def _broadcast_plan(queries, items, k, with_cells, bound: int | None = None) -> DataFrame:
-    """All of ``queries`` over a scan of ``items``, in broadcasts of at most ``bound`` bytes each."""
+def _broadcast_plan(queries, items, k, with_cells, bound: int | None = None, task_rows: int | None = None) -> DataFrame:
+    """All of ``queries`` over a scan of ``items``, in broadcasts of at most ``bound`` bytes each. With ``task_rows`` a task
+    takes about so many requirements, and ``items``, which must be a written table, is scanned again for the others."""
     spark = queries.sparkSession
     columns = ["requirement_id", "vec", "floor"] + (["cells"] if with_cells else [])
     table = queries.select(*columns).toArrow()  # bounded: the caller has counted the bytes
     if not table.num_rows:
         return spark.createDataFrame([], _OUT)
     matrix = _matrix(table.column("vec"), None, keep_type=True)
-    dim, item_columns, everywhere = matrix.shape[1], ["employee_id", "vec"], set()
+    dim, columns = matrix.shape[1], ["employee_id", "vec"] + (["cell"] if with_cells else [])
+    rows = table.num_rows if task_rows is None else max(task_rows, -(-table.num_rows // _MOST_PARTS))
     sizes = np.full(table.num_rows, dim * 8 + 8) + pc.fill_null(pc.binary_length(table.column("requirement_id")), 0).to_numpy()
     if with_cells:
         sizes = sizes + table.column("cells").combine_chunks().value_lengths().to_numpy(zero_copy_only=False) * 8
-    shared, start = [], 0
+    parts, start = [], 0  # broadcasts, rows and cells of each part
     before = np.concatenate([[0], np.cumsum(sizes)])
     while start < len(sizes):
         end = len(sizes) if bound is None else max(start + 1, int(np.searchsorted(before, before[start] + bound, side="right")) - 1)
+        if not parts or parts[-1][1] >= rows:
+            parts.append([[], 0, set()])
+        end = min(end, start + rows - parts[-1][1])
         part = table.slice(start, end - start)
         probes = _cell_positions(part.column("cells")) if with_cells else None
-        everywhere.update(probes or ())
-        shared.append(spark.sparkContext.broadcast(
+        parts[-1][0].append(spark.sparkContext.broadcast(
             (_strings(part.column("requirement_id")), matrix[start:end], part.column("floor").to_numpy(), probes)))
+        parts[-1][1] += end - start
+        parts[-1][2].update(probes or ())
         start = end
-    if with_cells:
-        item_columns.append("cell")
-        items = items.where(F.col("cell").isin(sorted(everywhere)))  # prunes cell partitions at the scan
-    return items.select(*item_columns).mapInArrow(_scan_task(shared, k, dim, with_cells), _OUT)
+    found = None
+    for shared, _, everywhere in parts:
+        side = items.where(F.col("cell").isin(sorted(everywhere))) if with_cells else items  # prunes cell partitions at the scan
+        part = side.select(*columns).mapInArrow(_scan_task(shared, k, dim, with_cells), _OUT)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def _query_bytes(dim: int, cells: bool):
@@ -441,6 +452,19 @@ def _spread_items(items: DataFrame, with_cells: bool) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(target)
 
 
+def _task_rows(queries, items, with_cells: bool, n_queries: int) -> int | None:
+    """Requirements per task that keep it to about ``_TASK_PAIRS`` pairs, for items in a file per core; None: all of them."""
+    files = max(items.sparkSession.sparkContext.defaultParallelism, 1)
+    n_items = items.count()
+    pairs = n_items * n_queries
+    if pairs > files * _TASK_PAIRS and with_cells:
+        probed = queries.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n_queries"))
+        held = items.groupBy("cell").agg(F.count("*").alias("n_items"))
+        pairs = int(probed.join(held, "cell").agg(F.sum(F.col("n_queries").cast("double") * F.col("n_items"))).first()[0] or 0)
+    parts = -(-pairs // (files * _TASK_PAIRS))
+    return None if parts <= 1 else max(1, -(-n_queries // parts))
+
+
 def _blocks_plan(queries, items, k, with_cells, options, dim: int, total: int, search) -> DataFrame:
     """``search`` over blocks of requirements that each fit the bound. A scan of the items takes many small blocks, a
     broadcast each; the results of a scan are written down."""
@@ -589,14 +613,16 @@ def top_k(
     # The statistics per cell (three numbers and a key) are broadcast only if they are known to be small.
     bounded = not cells or (cell_count is not None and cell_count * 32 <= options.broadcast_bytes)
 
-    def partial(some: DataFrame, side: DataFrame, sizes: DataFrame | None) -> DataFrame:
+    task_rows = None
+
+    def partial(some: DataFrame, side: DataFrame, sizes: DataFrame | None, share: float = 1.0) -> DataFrame:
         if options.plan == "grid":
             return _grid_plan(some, side, k, cells, options, dim, bounded, sizes)
-        return _broadcast_plan(some, side, k, cells, options.broadcast_bytes)
+        return _broadcast_plan(some, side, k, cells, options.broadcast_bytes, task_rows and math.ceil(task_rows / share))
 
     def search(some: DataFrame, side: DataFrame) -> DataFrame:
         if fraction > 0:
-            some = with_floors(some, keep_top(partial(some, _sampled(side, fraction), None), k), k)
+            some = with_floors(some, keep_top(partial(some, _sampled(side, fraction), None, fraction), k), k)
         return keep_top(partial(some, side, cell_sizes), k)
 
     if options.plan == "grid":  # lazy, so the requirements it reads later are a written table
@@ -606,6 +632,7 @@ def top_k(
         return search(queries.sparkSession.read.schema(queries.schema).parquet(target), _spread_items(items, cells))
     if size["n"] >= options.spread_min_queries or options.plan == "blocks" or not small:
         items = _spread_items(items, cells)
+        task_rows = _task_rows(queries, items, cells, size["n"])
     if options.plan == "blocks" or not small:
         found = _blocks_plan(queries, items, k, cells, options, dim, total, search)
     else:

@@ -368,3 +368,35 @@ def test_copies_are_grouped_by_a_hash_first(spark):
     assert sorted((r["first_id"], r["n"]) for r in found.collect()) == [("E1", 2), ("E2", 2), ("E7", 2)]
     assert found.columns == ["vec", "n", "first_id"]
     assert "Aggregate [xxhash64(vec" in found._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("name", ["broadcast", "broadcast seeded", "blocks", "cells"])
+def test_a_task_compares_a_bounded_number_of_pairs(spark, data, monkeypatch, name):
+    from pyspark.sql import functions as F
+
+    from staffmatch.operators import knn
+
+    _, _, ii, it = data
+    rng = np.random.default_rng(8)
+    q, qi = unit(rng, 300, 8), [f"R{i:03d}" for i in range(300)]
+    calls, taken, task = spark.sparkContext.accumulator(0), [], knn._scan_task
+
+    def watched(shared, *args):
+        taken.append(sum(len(block.value[0]) for block in shared))
+        return task(shared, *args)
+
+    @F.udf("array<float>")
+    def made(v):
+        calls.add(1)
+        return v
+
+    monkeypatch.setattr(knn, "_scan_task", watched)
+    monkeypatch.setattr(knn, "_TASK_PAIRS", 5_000, raising=False)  # 300 x 300 pairs, four files: 22,500 of them in each
+    queries = frame(spark, "requirement_id", qi, q)
+    items = frame(spark, "employee_id", ii, it).select("employee_id", made("vec").alias("vec"))
+    if name == "cells":  # every requirement probes both cells
+        items = items.withColumn("cell", F.when(F.col("employee_id") < "E050", 0).otherwise(1))
+        queries = queries.withColumn("cells", F.array(F.lit(0), F.lit(1)))
+    got = top_k(queries, items, 5, cells=name == "cells", options=PLANS.get(name, KnnOptions()))
+    assert rows(got) == brute_force(qi, q, ii, it, 5)
+    assert max(taken) <= (200 if "seeded" in name else 60) and calls.value == 300  # a sample of 30 % takes 200 at once
