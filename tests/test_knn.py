@@ -400,3 +400,39 @@ def test_a_task_compares_a_bounded_number_of_pairs(spark, data, monkeypatch, nam
     got = top_k(queries, items, 5, cells=name == "cells", options=PLANS.get(name, KnnOptions()))
     assert rows(got) == brute_force(qi, q, ii, it, 5)
     assert max(taken) <= (200 if "seeded" in name else 60) and calls.value == 300  # a sample of 30 % takes 200 at once
+
+
+@pytest.mark.parametrize("case", ["long along few directions", "any directions", "cells"])
+def test_the_shorter_product_only_leaves_out(monkeypatch, case):
+    from staffmatch.operators import knn
+
+    gains, cells = [], case == "cells"
+
+    class Noted(knn._Gain):
+        def __init__(self):
+            super().__init__()
+            gains.append(self)
+
+    monkeypatch.setattr(knn, "_Gain", Noted)
+    if case == "any directions":
+        monkeypatch.setattr(knn, "_HEAD_TRIAL", 1 << 19)
+    rng = np.random.default_rng(11)
+
+    def made(n):
+        v = rng.normal(size=(n, 128))
+        if case != "any directions":
+            v[:, 6:] *= 0.02
+        return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+
+    items, queries = made(9000), made(600)
+    items[3000:3300] = items[7]  # copies, and a zero vector
+    items[50] = 0
+    ids = pa.array([f"E{i:05d}" for i in range(len(items))])
+    names = np.array([f"R{i:03d}" for i in range(len(queries))], dtype=object)
+    cell = np.arange(len(items)) % 3 if cells else np.zeros(len(items), dtype=int)
+    groups = [knn._Items(int(c) if cells else None, np.flatnonzero(cell == c), items[cell == c]) for c in np.unique(cell)]
+    probes = {c: np.arange(len(queries)) for c in range(3)} if cells else None
+    side = knn._Side(names, queries, np.full(len(queries), -np.inf), probes)
+    got = sorted(tuple(r.values()) for b in knn._search(side, groups, ids, 20) for r in b.to_pylist())
+    assert got == [r[:3] for r in sorted(brute_force(names, queries, ids.to_pylist(), items, 20), key=lambda r: (r[0], r[1], r[2]))]
+    assert len(gains) == 1 and gains[0].pairs and gains[0].pays == (case != "any directions") == (2 * gains[0].cost < gains[0].pairs)

@@ -382,3 +382,20 @@ def test_texts_are_built_once_for_hash_and_encoder(spark, store, monkeypatch):
     assert (result.new_count, result.changed_count, len(calls)) == (1, 1, 2)
     plain = {r["employee_id"]: r["vec"] for r in ENCODER.encode(real(moved).select("employee_id", "profile_text"), "profile_text").collect()}
     assert {i: v for i, (v, _) in vectors(store).items()} == plain
+
+
+def test_words_are_hashed_once_per_task_and_counted_as_the_columns_would(spark):
+    from pyspark.sql import functions as F
+
+    from staffmatch.functions.vectors import hash60
+
+    texts = ["Go go GO  \t Kotlin\u000b\u000cgo\r\nx", "Köln KÖLN köln x İstanbul ΣΑΣ", "a\u001cb a\u001cb", "", "  ", None, "w" * 200 + " w"]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "employee_id string, text string")
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    want = {r["employee_id"]: r["buckets"] for r in rows.select("employee_id", F.transform(words, lambda w: hash60(w) % 16).alias("buckets")).collect()}
+    encoded = HashingEncoder(16).encode(rows)
+    assert "sha2(" not in encoded._jdf.queryExecution().optimizedPlan().toString()
+    for r in encoded.collect():
+        counts = np.bincount(want[r["employee_id"]], minlength=16).astype(float) if want[r["employee_id"]] else np.zeros(16)
+        unit = counts / (np.sqrt((counts * counts).sum()) or 1.0)
+        assert r["vec"] == [float(x) for x in unit.astype(np.float32)]
